@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from postmill.llm.common import table
+from postmill.llm.line_dedup import line_dedup
 from postmill.llm.mixing import mix
 from postmill.llm.token_counts import token_counts
 from postmill.llm.url_filters import url_filters
@@ -21,6 +23,11 @@ URL_RULES = [
 ]
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,12 +45,28 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_line_dedup": op6_line_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_url_filters": op8_url_filters,
     "op9_mixing": op9_mixing,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_line_dedup": r"""
+        with split as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+        line as (select doc_id, unnest(lines) as line, unnest(range(len(lines))) as nth from split),
+        keyed as (
+            select doc_id, line, nth, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from line),
+        repeated as (
+            select key, max(doc_id) as keeper from keyed where length(key) >= 40
+            group by key having count(distinct doc_id) >= 5),
+        judged as (
+            select k.doc_id, k.line, k.nth, r.key is not null and r.keeper <> k.doc_id as dropped
+            from keyed k left join repeated r on k.key = r.key)
+        select doc_id, count(*)::bigint as n_lines, count(*) filter (dropped)::bigint as n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) order by nth) filter (not dropped), '')) as kept_sha256
+        from judged group by doc_id""",
     "op8_url_filters": r"""
         with split as (
             select page_id, coalesce(substr(url, nullif(strpos(url, '://'), 0) + 3), '') as rest from pages),
