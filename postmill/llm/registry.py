@@ -11,6 +11,7 @@ from postmill.llm.common import table
 from postmill.llm.line_dedup import line_dedup
 from postmill.llm.mixing import mix
 from postmill.llm.token_counts import token_counts
+from postmill.llm.toxicity import toxicity
 from postmill.llm.url_filters import url_filters
 
 #: The rules of op8, (host, path, action).
@@ -44,11 +45,18 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity(documents, labels).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": op6_line_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_url_filters": op8_url_filters,
     "op9_mixing": op9_mixing,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
