@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from postmill.llm.common import table
 from postmill.llm.line_dedup import line_dedup
 from postmill.llm.mixing import mix
+from postmill.llm.ngram_join import ngram_join
 from postmill.llm.token_counts import token_counts
 from postmill.llm.toxicity import toxicity
 from postmill.llm.url_filters import url_filters
@@ -24,6 +25,10 @@ URL_RULES = [
 ]
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -52,6 +57,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op6_line_dedup": op6_line_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_url_filters": op8_url_filters,
@@ -60,6 +66,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_ngram_join": r"""
+        with recursive cut as (
+            select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words
+            from documents),
+        gram as (
+            select distinct doc_id, array_to_string(words[i : least(i + 4, len(words))], ' ') as gram
+            from (select doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) as i from cut where len(words) > 0)),
+        size as (select doc_id, count(*) as n from gram group by doc_id),
+        link as (
+            select a.doc_id as a, b.doc_id as b
+            from gram a join gram b on a.gram = b.gram and a.doc_id <> b.doc_id
+                 join size x on x.doc_id = a.doc_id join size y on y.doc_id = b.doc_id
+            group by a.doc_id, b.doc_id, x.n, y.n having 9 * count(*) >= 4 * (x.n + y.n)),
+        reach(doc_id, other) as (
+            select doc_id, doc_id from documents
+            union select link.b, reach.other from reach join link on link.a = reach.doc_id),
+        class as (select doc_id, min(other) as class_id from reach group by doc_id)
+        select class.doc_id, class_id, (select count(*) from link where link.a = class.doc_id)::bigint as n_links from class""",
     "op6_line_dedup": r"""
         with split as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
         line as (select doc_id, unnest(lines) as line, unnest(range(len(lines))) as nth from split),
