@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm.common import table
+from postmill.llm.decontamination import leaks
 from postmill.llm.line_dedup import line_dedup
 from postmill.llm.mixing import mix
 from postmill.llm.ngram_join import ngram_join
@@ -29,6 +30,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -58,6 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
+    "op5_decontamination": op5_decontamination,
     "op6_line_dedup": op6_line_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_url_filters": op8_url_filters,
@@ -85,6 +91,25 @@ ORACLES: dict[str, str] = {
             union select link.b, reach.other from reach join link on link.a = reach.doc_id),
         class as (select doc_id, min(other) as class_id from reach group by doc_id)
         select class.doc_id, class_id, (select count(*) from link where link.a = class.doc_id)::bigint as n_links from class""",
+    "op5_decontamination": r"""
+        with doc as (
+            select doc_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words from documents),
+        item as (
+            select item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words from benchmark),
+        dw as (select doc_id, unnest(words) as w, unnest(range(len(words))) as p, len(words) as length from doc),
+        iw as (
+            select item_id, unnest(words) as w, unnest(range(len(words))) as j, len(words) as n, least(len(words), 13) as span,
+                   case when len(words) >= 13 then 11 else len(words) - 1 end as need
+            from item where len(words) >= 8),
+        shifted as (
+            select doc_id, item_id, p - j as shift, n, length, span, need, list(j) as js
+            from dw join iw on dw.w = iw.w group by all having count(*) >= need),
+        windowed as (select *, unnest(range(n - span + 1)) as s from shifted),
+        judged as (
+            select *, len(list_filter(js, lambda j: j >= s and j < s + span)) as agreeing
+            from windowed where s + shift >= 0 and s + span + shift <= length)
+        select doc_id, item_id, max(n)::bigint as item_words, max(agreeing)::bigint as agreeing, min(shift)::bigint as "at"
+        from judged where agreeing >= need group by doc_id, item_id""",
     "op6_line_dedup": r"""
         with split as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
         line as (select doc_id, unnest(lines) as line, unnest(range(len(lines))) as nth from split),
