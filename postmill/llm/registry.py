@@ -12,6 +12,7 @@ from postmill.llm.decontamination import leaks
 from postmill.llm.line_dedup import line_dedup
 from postmill.llm.mixing import mix
 from postmill.llm.ngram_join import ngram_join
+from postmill.llm.quality_rules import quality_rules
 from postmill.llm.token_counts import token_counts
 from postmill.llm.toxicity import toxicity
 from postmill.llm.url_filters import url_filters
@@ -30,6 +31,12 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    judged = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", *counts, "base_failed", "kept", "n_lines", "n_removed", "n_lost")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -63,6 +70,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
+    "op3_quality_rules": op3_quality_rules,
     "op5_decontamination": op5_decontamination,
     "op6_line_dedup": op6_line_dedup,
     "op7_token_counts": op7_token_counts,
@@ -91,6 +99,38 @@ ORACLES: dict[str, str] = {
             union select link.b, reach.other from reach join link on link.a = reach.doc_id),
         class as (select doc_id, min(other) as class_id from reach group by doc_id)
         select class.doc_id, class_id, (select count(*) from link where link.a = class.doc_id)::bigint as n_links from class""",
+    "op3_quality_rules": r"""
+        with doc as (select doc_id, coalesce(text, '') as body from documents),
+        cut as (
+            select doc_id, body, list_filter(regexp_split_to_array(body, '[\x20\x09-\x0D]+'), lambda w: w <> '') as words,
+                   list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+            from doc),
+        judged as (
+            select *, list_filter(lines, lambda x:
+                regexp_matches(regexp_replace(x, '[\x20\x09-\x0D]+$', ''), '[.!?…:;]["''”’»)\]]*\z')
+                and not 100 * length(regexp_replace(x, '[^#*$%&|<>]', '', 'g'))
+                    >= 10 * length(regexp_replace(regexp_replace(x, '[\x20\x09-\x0D]+$', ''), '^[\x20\x09-\x0D]+', ''))
+                and not regexp_matches(x, '(?:^|\s)[|»›>·•/](?:\s(?:.*\s)?[|»›>·•/]){2}(?:\s|$)')
+                and not regexp_matches(x, '(?i)all rights reserved|cookie (?:policy|settings)|we use cookies|privacy policy|terms (?:of use|of service|and conditions)|enable javascript|click here|sign (?:in|up)\b|log ?in\b|subscribe to|share (?:this|on)\b|read more|skip to (?:main )?content|powered by|lorem ipsum')) as stay
+            from cut),
+        windows as (
+            select doc_id, i, array_to_string(words[i : i + 4], ' ') as gram
+            from (select doc_id, words, unnest(range(1, len(words) - 3)) as i from cut where len(words) >= 5)),
+        often as (select doc_id, i, count(*) over (partition by doc_id, gram) as k from windows),
+        repeated as (
+            select doc_id, count(distinct i + d) as n
+            from (select doc_id, i, unnest(range(5)) as d from often where k > 1) group by doc_id),
+        counted as (
+            select j.doc_id, len(words)::bigint as n_words, length(array_to_string(words, ''))::bigint as word_chars,
+                   length(regexp_replace(body, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+                   (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words,
+                   len(lines)::bigint as n_lines, (len(lines) - len(stay))::bigint as n_removed,
+                   length(array_to_string(lines, ''))::bigint as chars,
+                   (length(array_to_string(lines, '')) - length(array_to_string(stay, '')))::bigint as n_lost
+            from judged j left join repeated r on r.doc_id = j.doc_id)
+        select * exclude (chars), n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+               not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and n_lost * 100 <= chars * 50 as kept
+        from counted""",
     "op5_decontamination": r"""
         with doc as (
             select doc_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words from documents),
