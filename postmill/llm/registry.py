@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from postmill.llm.common import table
 from postmill.llm.decontamination import leaks
 from postmill.llm.line_dedup import line_dedup
+from postmill.llm.lm_scoring import lm_scores
 from postmill.llm.mixing import mix
 from postmill.llm.ngram_join import ngram_join
 from postmill.llm.quality_rules import quality_rules
@@ -37,6 +38,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept", "n_lines", "n_removed", "n_lost")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -71,6 +76,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op3_quality_rules": op3_quality_rules,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_decontamination": op5_decontamination,
     "op6_line_dedup": op6_line_dedup,
     "op7_token_counts": op7_token_counts,
