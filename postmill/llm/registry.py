@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from postmill.llm.common import table
 from postmill.llm.decontamination import leaks
+from postmill.llm.license_scan import documents_as_files, license_scan
 from postmill.llm.line_dedup import line_dedup
 from postmill.llm.lm_scoring import lm_scores
 from postmill.llm.mixing import mix
@@ -32,6 +33,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = documents_as_files(table(spark, sf_dir, "documents"))
+    return license_scan(files).select("doc_id", "path", "own_license", "own_score", "license", "license_from")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     judged = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -75,6 +81,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_license_scan": op2_license_scan,
     "op3_quality_rules": op3_quality_rules,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_decontamination": op5_decontamination,
