@@ -375,10 +375,10 @@ def linkable_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Invisible characters and ballast
 
 
-@query(f"select doc_id::varchar as mail_id, {_CLEAN} as body, 'invisible characters: removed 9 (zero-width chains 6, tag characters 1, ZWSP 1, BOM 1), kept 3 (ZWJ 1, LRM/RLM 1, bidi controls 1)' as summary from (select doc_id, text || ' \u200d\u200e\u202e.' as text from documents)")
+@query(f"select doc_id::varchar as mail_id, {_CLEAN} as body, 'invisible characters: removed 9 (zero-width chains 6, tag characters 1, ZWSP 1, BOM 1), kept 3 (ZWJ 1, LRM/RLM 1, bidi controls 1)' as summary from (select doc_id, text || ' ab\u200dc\u200ed\u202eef.' as text from documents)")
 def invisible_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fillers and strays are removed, what may be meant is kept and counted."""
-    put = lambda t: F.concat(F.lit("\u034f \u200c \u200d \u034f \u200c \u200d\n"), t, F.lit(" \ufeff\u200d\u200e\u202e\u200b\U000e0041."))
+    put = lambda t: F.concat(F.lit("\u034f \u200c \u200d \u034f \u200c \u200d\n"), t, F.lit(" a\ufeffb\u200dc\u200ed\u202ee\u200bf\U000e0041."))
     documents = table(spark, sf_dir, "documents")
     raw = F.concat(lines("Content-Type: text/plain; charset=utf-8", "Content-Transfer-Encoding: base64", ""), F.lit("\r\n"), base64(put(F.col("text"))))
     done = M.parse(mail(documents, "doc_id", raw).select("mail_id", "content"))
