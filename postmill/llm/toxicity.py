@@ -79,7 +79,7 @@ def _segments(cut: list[bytes]) -> set[bytes]:
     return {b" " + x[:k] for x in words for k in range(3, min(len(x), 9) + 1)}
 
 
-def telling(mine: list[set[bytes]], other: list[set[bytes]]) -> list[bytes]:
+def telling(mine: list[list[bytes]], other: list[list[bytes]]) -> list[bytes]:
     """Segments that texts of the one class hold and the other's hardly do, strongest first.
 
     A text stops to count after three of its segments were chosen, so rarer segments
@@ -87,11 +87,13 @@ def telling(mine: list[set[bytes]], other: list[set[bytes]]) -> list[bytes]:
     """
     if not mine or not other:
         return []
-    held, rest = Counter(), Counter()
-    for s in mine:
-        held.update(s)
-    for s in other:
-        rest.update(s)
+    held: Counter = Counter()
+    for cut in mine:
+        held.update(_segments(cut))
+    held = Counter({s: k for s, k in held.items() if k >= 4})
+    rest: Counter = Counter()
+    for cut in other:  # one text's segments at a time
+        rest.update(held.keys() & _segments(cut))
     n, m, chosen = len(mine), len(other), []
 
     def strength(segment: bytes) -> float:
@@ -102,7 +104,7 @@ def telling(mine: list[set[bytes]], other: list[set[bytes]]) -> list[bytes]:
         return 2 * (k * math.log(k / n / both) + (j * math.log(j / m / both) if j else 0.0))
 
     open_ = [s for s in held if strength(s) >= TELLS]
-    left = [(set(open_) & s, 3) for s in mine]
+    left = [(set(open_) & _segments(cut), 3) for cut in mine]
     while open_:
         best = max(open_, key=lambda s: (strength(s), len(s), s))
         if strength(best) < TELLS:
@@ -128,8 +130,7 @@ def train(sample: list[tuple[list[bytes], int]]) -> tuple[bytes, bytes]:
         shared = zstandard.train_dictionary(SHARED, ordinary).as_bytes()[-SHARED:]
     except zstandard.ZstdError:  # too little text
         shared = b"".join(ordinary)[:SHARED]
-    found = {y: [_segments(cut) for cut, label in texts if label == y] for y in (0, 1)}
-    toxic = telling(found[1], found[0])
+    toxic = telling(*([cut for cut, label in texts if label == y] for y in (1, 0)))
     forms = Counter(b" " + x for cut, y in texts if y for w in cut for x in w.split() if any((b" " + x).startswith(s) for s in toxic))
     own = b"".join(reversed(toxic))[-OWN:]
     for form, _ in forms.most_common():
