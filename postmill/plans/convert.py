@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postmill import VERSION
 from postmill.functions.columns import NamePattern
 from postmill.operators import notes as N
 from postmill.operators.messages import parse
@@ -83,12 +84,15 @@ def main(arguments: list[str] | None = None) -> int:
     parser.add_argument("--format", dest="style", default="markdown", help="markdown or obsidian")
     parser.add_argument("--zone", default="UTC", help="the reader's time zone")
     parser.add_argument("-v", "--verbose", action="store_true", help="say what was found")
+    parser.add_argument("--version", action="version", version=f"postmill {VERSION}")
     try:
         given = vars(parser.parse_args(arguments))
         inputs = tuple(given.pop("inputs"))
         if not inputs or (len(inputs) > 1 and (given["output"] or "-" in inputs)):
             raise UsageError("one mail, or several without --output")
         options = Options(inputs=inputs, **given)
+    except SystemExit as done:  # help and version are all that was asked for
+        return int(done.code or 0)
     except (argparse.ArgumentError, argparse.ArgumentTypeError, UsageError) as error:
         print(f"postmill: {error}", file=sys.stderr)
         return 64

@@ -74,5 +74,6 @@ def test_command_line(spark, folder, capsys):
     capsys.readouterr()
     assert main([str(folder / "none.eml")]) == 1 and "No such file" in capsys.readouterr().err
     assert main([str(folder)]) == 1 and "Is a directory" in capsys.readouterr().err
+    assert main(["--version"]) == 0 and main(["-h"]) == 0 and "postmill 0" in capsys.readouterr().out
     for bad in ([], ["--format=x", path], ["--attachment-name={q}", path], ["-x", "-o", "-", path], ["--no", path], [path, path, "-o", "y"]):
         assert main(bad) == 64, bad
