@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import Scratch
+from postmill.llm.common import Scratch, small_batches
 
 #: Notices by which licences are known.
 TEMPLATES = [
@@ -110,6 +110,7 @@ def license_scan(frame: DataFrame, path: str = "path", text: str = "text", is_li
     from. Directories end at the last "/"; "" is above all. Null paths have no
     directory and inherit nothing. Null and empty texts have no own licence.
     """
+    small_batches(frame.sparkSession)
     scratch = Scratch(frame.sparkSession)
     matcher = Matcher(templates, *rarity(frame, text, templates), threshold)
     added = ("own_license", "own_score", "license", "license_from")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import Scratch
+from postmill.llm.common import Scratch, small_batches
 
 #: Keys of a shard, on average, and bytes of a block of shards, which is shipped at once.
 SHARD_KEYS = 50_000
@@ -177,6 +177,7 @@ def line_dedup(frame: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     their lines alike; rows with a null doc_id never keep and do not count as holders.
     """
     spark = frame.sparkSession
+    small_batches(frame.sparkSession)
     scratch = Scratch(spark)
     keys = scratch.write(repeated_lines(frame, text, doc_id, least, holders), "lines")
     n = keys.count()

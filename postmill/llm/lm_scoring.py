@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import Scratch
+from postmill.llm.common import Scratch, small_batches
 from postmill.llm.ngram_join import STEP, word_hashes
 
 PMIN, QMIN = 1e-4, 1e-6
@@ -200,6 +200,7 @@ def lm_scores(frame: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     Null and empty texts are their end alone. Rows of one doc_id are texts of their own.
     Without training rows every token has the probability 1 / (V + 1) = 1.
     """
+    small_batches(frame.sparkSession)
     scratch = Scratch(frame.sparkSession)
     base = frame.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"))
     tree, table = train(base.where(~held_out(F.col("doc_id"))).select("text"), scratch)

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postmill.llm.common import small_batches
+
 #: Distinct pre-tokens that a task remembers at once.
 REMEMBERED = 400_000
 MARK = "▁"
@@ -143,6 +145,7 @@ def token_counts(frame: DataFrame, model_path: str, text: str = "text", limit: i
     narrow pass: no shuffle, a task holds one Arrow batch. Null texts count as empty
     (0 bytes); empty texts have the library's count, 0; repeated rows each get theirs.
     """
+    small_batches(frame.sparkSession)
     kind, model = Path(model_path).suffix, Path(model_path).read_bytes()
     shipped = frame.sparkSession.sparkContext.broadcast((kind, model, counter(kind, model).single))
     added = ("n_bytes", "n_tokens", "over_limit")

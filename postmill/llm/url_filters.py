@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postmill.llm.common import small_batches
+
 #: Bytes of one index; longer rule lists become several indexes, probed in turn.
 INDEX_BYTES = 64 << 20
 #: Characters that lower() may touch in a host; others have no case here.
@@ -117,6 +119,7 @@ def url_filters(frame: DataFrame, rules, url: str = "url", otherwise: str = "all
     rule and the verdict otherwise. One narrow pass without a shuffle; repeated rows
     each get a verdict.
     """
+    small_batches(frame.sparkSession)
     context = frame.sparkSession.sparkContext
     shipped = [context.broadcast(x) for x in _indexes(rules)]
     added = ("host", "path", "rule", "verdict")
