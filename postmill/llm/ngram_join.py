@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import Scratch, components
+from postmill.llm.common import SPACES, Scratch, components, small_batches
 
 #: Words of a shingle, the similarity that links, and the recall that banding must reach there.
 WORDS, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.998, 6
@@ -340,6 +340,7 @@ def ngram_classes(frame: DataFrame, text: str = "text", doc_id: str = "doc_id",
     documents of their own. th: xxhash64 of the text.
     """
     scratch = scratch or Scratch(frame.sparkSession)
+    small_batches(frame.sparkSession)
     minhash = MinHash(bands(similarity, recall))
     base = frame.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("th"))
     rows = scratch.write(signatures(base, minhash), "signatures")
@@ -402,13 +403,17 @@ def one_of_each(frame: DataFrame, text: str = "text", doc_id: str = "doc_id", si
     """frame with one row of each class: one of the least doc_id; rows without words all stay."""
     scratch = Scratch(frame.sparkSession)
     classes = scratch.write(ngram_classes(frame, text, doc_id, similarity, recall, scratch), "result")
-    first = classes.where(F.col("class_node").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id")))
-    first = first.groupBy("class_node").agg(F.min("doc_id").alias("_d"), F.min("th").alias("_th")).select("_d", "_th")
-    lone = classes.where(F.col("class_node").isNull()).select(F.col("doc_id").alias("_d"), F.col("th").alias("_th")).distinct()
-    keyed = frame.withColumn("_h", F.xxhash64(F.col(text)))
+    full = classes.where(F.col("class_node").isNotNull())
+    first = full.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_node").agg(F.min("doc_id").alias("_d"), F.min("th").alias("_th"))
+    stays = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_th"))
+    # those that go are fewer than those that stay
+    gone = full.join(first, "class_node").where(~stays).select(F.col("doc_id").alias("_d"), F.col("th").alias("_th")).distinct()
+    gone = scratch.write(gone, "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
     agree = F.col(doc_id).cast("long").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_th"))
-    kept = keyed.join(first, agree, "left_semi")
-    repeated = classes.where(F.col("class_node").isNotNull()).groupBy("doc_id", "th").agg(F.count("*").alias("k")).where("k > 1")
+    kept = frame.withColumn("_h", F.xxhash64(F.col(text))).join(gone, agree, "left_anti")
+    repeated = full.groupBy("doc_id", "th").agg(F.count("*").alias("k")).where("k > 1")
     if not repeated.isEmpty():  # rows that agree in doc_id and text: one of them
-        kept = kept.dropDuplicates([doc_id, "_h"])
-    return kept.unionByName(keyed.join(lone, agree, "left_semi")).drop("_h")
+        blank = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(SPACES)) == ""
+        kept = kept.where(~blank).dropDuplicates([doc_id, "_h"]).unionByName(kept.where(blank))
+    return kept.drop("_h")
