@@ -15,10 +15,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postmill.llm.common import SPACES, Scratch
+from postmill.llm.common import SPACES, Scratch, small_batches
 
 #: Documents that one group of the tree takes in, on average; residuals likewise.
 GROUP = 50_000
+#: Rows of the mix that may be broadcast to its texts (60 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: No source's target is above so many times its size.
 MOST = 3
 
@@ -156,6 +158,7 @@ def mix(frame: DataFrame, text: str = "text", source: str = "source", doc_id: st
     keep: with all other columns of frame. The draws depend on seed, doc_id, size and
     text alone, so reruns agree however the table is partitioned.
     """
+    small_batches(frame.sparkSession)
     scratch = Scratch(frame.sparkSession)
     base = frame.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("of"))
     # rows that agree in all of this are as good as each other; they get numbers of their own
@@ -175,7 +178,13 @@ def mix(frame: DataFrame, text: str = "text", source: str = "source", doc_id: st
         return mixed.select("doc_id", *found)
     rest = [c for c in frame.columns if c not in ("size", "source_size", "target", "taken", "copies")]
     mixed = mixed.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("of").alias("_of"), F.col("nth").alias("_nth"), *found)
+    mixed = scratch.write(mixed, "mixed")
+    count, most = mixed.agg(F.count("*"), F.max("_nth")).first()
     whole = frame.select(*[F.col(f"`{c}`") for c in rest], F.xxhash64(F.col(text)).alias("_of"))
-    whole = whole.withColumn("_nth", F.row_number().over(Window.partitionBy(doc_id, source, "_of").orderBy(doc_id)))
+    if (most or 1) > 1:  # only then are rows numbered, which moves their texts once more
+        same = Window.partitionBy(doc_id, source, "_of").orderBy(doc_id)
+        whole = whole.withColumn("_nth", F.row_number().over(same))
+    else:
+        whole = whole.withColumn("_nth", F.lit(1))
     agree = whole[doc_id].eqNullSafe(mixed["_id"]) & whole[source].eqNullSafe(mixed["_source"]) & (whole["_of"] == mixed["_of"]) & (whole["_nth"] == mixed["_nth"])
-    return whole.join(mixed, agree).drop("_id", "_source", "_of", "_nth")
+    return whole.join(F.broadcast(mixed) if count <= BROADCAST_ROWS else mixed, agree).drop("_id", "_source", "_of", "_nth")
