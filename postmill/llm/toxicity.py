@@ -21,6 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postmill.llm.common import small_batches
+
 #: Bytes of a window; bytes of the shared part of a dictionary and of a class's own part.
 WINDOW, SHARED, OWN = 96, 8192, 4096
 #: The training sample: labelled documents of each class at most, windows of each at most.
@@ -46,7 +48,7 @@ def windows(text: str | None) -> list[bytes]:
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     how = zstandard.ZstdCompressionParameters(
-        window_log=15, hash_log=14, chain_log=14, search_log=4, min_match=5, strategy=zstandard.STRATEGY_GREEDY, write_content_size=0, write_checksum=0, write_dict_id=0
+        window_log=15, hash_log=14, chain_log=14, search_log=5, min_match=4, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0
     )
     held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     held.precompute_compress(compression_params=how)
@@ -210,6 +212,7 @@ def toxicity(frame: DataFrame, labels: DataFrame, text: str = "text", doc_id: st
     labels of both classes nothing tells them apart, and scores say how frequent toxic
     labels are. One narrow pass; a task holds one Arrow batch.
     """
+    small_batches(frame.sparkSession)
     model = fit(frame, labels, text, doc_id, label)
     added = ("held_out", "score", "predicted")
     rest = [c for c in frame.columns if c not in added]
