@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from urllib.parse import unquote_to_bytes
 
 from postmill.functions import css
@@ -27,6 +28,8 @@ DESCRIPTIONS = (
     "ai-generated content may be incorrect",
 )
 BOLD, ITALIC = "**", "*"
+#: Calls that the deepest tree needs at once.
+FRAMES = 20_000
 #: From so many points on, room between elements is seen.
 SEEN = 3
 #: Code points that are never shown (Default_Ignorable_Code_Point).
@@ -562,6 +565,8 @@ def convert(html: str, names: dict[str, str] | None = None, style: str = "markdo
     left out. style: markdown, or obsidian for cards as callouts. pictures: (Content-ID,
     width, height) of each picture of the mail that a reader sees, in order.
     """
+    if sys.getrecursionlimit() < FRAMES:
+        sys.setrecursionlimit(FRAMES)
     body = parse(html)
     writer = _Writer(body, names or {}, style)
     out = compose(writer.inside(body)).trimmed

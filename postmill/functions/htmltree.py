@@ -14,6 +14,8 @@ ENDS_PARAGRAPH = frozenset(
 TABLE_PARTS = frozenset("table thead tbody tfoot tr".split())
 TABLE_TAGS = frozenset("caption colgroup col thead tbody tfoot tr td th".split())
 CELLS = frozenset(("td", "th", "caption"))
+#: Open elements at most; what would nest deeper stands beside.
+DEEPEST = 512
 _HALF = re.compile(r"&#(?:([0-9]{1,7})|[xX]([0-9A-Fa-f]{1,6}));")
 _HALVES = re.compile(f"({_HALF.pattern})({_HALF.pattern})")
 
@@ -98,14 +100,15 @@ class _Builder(HTMLParser):
     def _push(self, tag: str, attrs: dict | None = None) -> Node:
         node = Node(tag, attrs)
         self._put(node)
-        self.open.append(node)
+        if len(self.open) < DEEPEST:
+            self.open.append(node)
         return node
 
     def _reopen(self) -> None:
         start = len(self.active)
         while start and self.active[start - 1] is not None and self.active[start - 1] not in self.open:
             start -= 1
-        for k in range(start, len(self.active)):
+        for k in range(start, len(self.active)) if len(self.open) + len(self.active) - start < DEEPEST else ():
             self.active[k] = self._push(self.active[k].tag, dict(self.active[k].attrs))
 
     def _close(self, tags, stop=()) -> bool:

@@ -13,6 +13,10 @@ from postmill.functions.html import convert
 SMIME = frozenset(("application/pkcs7-signature", "application/x-pkcs7-signature", "application/pkcs7-mime", "application/x-pkcs7-mime"))
 
 
+#: Containers that may stand inside each other; a deeper one is taken for one that does not split.
+DEEPEST = 100
+
+
 @dataclass
 class Part:
     """A node of the MIME tree; path counts from 0 at each level, and the root has an empty one."""
@@ -92,7 +96,7 @@ class Message:
         head, rest = mail.split_message(raw)
         part = Part(path, self._headers(head), rest, container)
         boundary = part.params.get("boundary")
-        if part.is_container and boundary is not None:
+        if part.is_container and boundary is not None and len(path) < DEEPEST:
             part.children = [self._tree(x, (*path, k), part.media_type) for k, x in enumerate(split_parts(rest, boundary))]
         return part
 
