@@ -107,6 +107,19 @@ def _fit(width, height, natural):
     return display_size(width, height, natural) or (width, height)
 
 
+def read_again(frame: DataFrame, content: str, names: str, style: str = "markdown") -> DataFrame:
+    """frame without content, with body as it reads with the pictures of names (Content-ID to file) embedded.
+
+    Rows with a null content keep their body and cost no second reading.
+    """
+
+    def read(data, given):
+        return {"_again": None if data is None else Message(data).fields(dict(given or ()), style)["body"]}
+
+    done = _map_mails(frame, content, "_again string", read, names)
+    return done.withColumn("body", F.coalesce("_again", "body")).drop("_again")
+
+
 def parts(frame: DataFrame, content: str = "content", bytes_: bool = False) -> DataFrame:
     """A row for each part of each mail, in document order, with its place (path) in the MIME tree.
 

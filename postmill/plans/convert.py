@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from postmill import VERSION
 from postmill.functions.columns import NamePattern
 from postmill.operators import notes as N
-from postmill.operators.messages import parse
+from postmill.operators.messages import parse, read_again
 
 
 class UsageError(ValueError):
@@ -48,20 +48,19 @@ def convert(mails: DataFrame, options: Options = Options(), taken: str | None =
     Read once; with pictures, mails that show some are read again with their names.
     """
     wanted = options.extract or options.pictures
+    if options.pictures:
+        mails = mails.withColumn("_raw", F.col("content"))
     first = parse(mails, style=options.style, files=wanted)
     if not wanted:
         return N.render(N.omissions(first), options.zone, False, options.style)
     planned = N.plan_files(first, options.pattern, options.zone, options.pictures, taken)
     if not options.pictures:
         return N.render(N.omissions(N.link_planned(planned)), options.zone, True, options.style)
-    named = planned.withColumn("_names", N.picture_names(F.col("planned")))
-    # the second reading needs the mail again, beside what the first one found
-    again = mails.select("mail_id", "content").join(named.where(F.size("pictures") > 0).select("mail_id", "_names"), "mail_id")
-    second = parse(again, style=options.style, names="_names").select("mail_id", F.col("body").alias("_body"))
-    body = F.coalesce("_body", "body")
-    whole = named.drop("_names").join(second, "mail_id", "left").withColumn("body", body).drop("_body")
-    left = whole.withColumn("omitted", F.lit(""))
-    return N.render(N.link_planned(left, embed=True), options.zone, True, options.style)
+    # the mail rides along to its second reading: nothing is joined or shuffled
+    again = F.when(F.size("pictures") > 0, F.col("_raw"))
+    named = planned.withColumn("_raw", again).withColumn("_names", N.picture_names(F.col("planned")))
+    whole = read_again(named, "_raw", "_names", options.style).drop("_names").withColumn("omitted", F.lit(""))
+    return N.render(N.link_planned(whole, embed=True), options.zone, True, options.style)
 
 
 def main(arguments: list[str] | None = None) -> int:
