@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,22 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(size, f"{BATCH_BYTES}b")
 
 
+def lean(function):
+    """function for mapInArrow, with Arrow's memory taken from and given back to the system when a task ends.
+
+    Workers outlive tasks, and by default keep what their largest batch needed.
+    """
+
+    def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from function(batches)
+        finally:
+            pa.system_memory_pool().release_unused()
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where none is set."""
     context = spark.sparkContext

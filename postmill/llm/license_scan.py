@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import Scratch, small_batches
+from postmill.llm.common import Scratch, lean, small_batches
 
 #: Notices by which licences are known.
 TEMPLATES = [
@@ -94,7 +94,7 @@ def rarity(frame: DataFrame, text: str, templates) -> tuple[int, dict[str, int]]
         keys = ["", *holding]
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([lines, *holding.values()], pa.int64())], names=["term", "n"])
 
-    rows = frame.select(F.col(text)).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = frame.select(F.col(text)).mapInArrow(lean(run), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     counts = {r["term"]: r["n"] for r in rows}
     return counts.pop("", 0), counts
 
@@ -131,7 +131,7 @@ def license_scan(frame: DataFrame, path: str = "path", text: str = "text", is_li
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["r", "f", "own_license", "own_score"])
 
     # the verdicts are needed three times, the texts once
-    own = scratch.write(packed.mapInArrow(run, schema), "own")
+    own = scratch.write(packed.mapInArrow(lean(run), schema), "own")
     own = own.withColumn("_path", F.col(f"r.`{path}`")).withColumn("_dir", F.regexp_replace("_path", r"[^/]*\z", ""))
     giving = own.where(F.col("f") & F.col("own_license").isNotNull() & F.col("_path").isNotNull())
     giving = giving.groupBy(F.col("_dir").alias("above")).agg(F.min(F.struct((-F.col("own_score")).alias("s"), F.col("_path").alias("p"), F.col("own_license").alias("l"))).alias("best"))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import Scratch, small_batches
+from postmill.llm.common import Scratch, lean, small_batches
 
 #: Keys of a shard, on average, and bytes of a block of shards, which is shipped at once.
 SHARD_KEYS = 50_000
@@ -160,7 +160,7 @@ def repeated_lines(frame: DataFrame, text: str, doc_id: str, least: int, holders
             high, low = digests(keys)
             yield pa.RecordBatch.from_arrays([pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(ids, pa.int64())], names=["high", "low", "doc_id"])
 
-    lines = frame.select(F.col(text), F.col(doc_id).cast("long")).mapInArrow(run, "high long, low long, doc_id long")
+    lines = frame.select(F.col(text), F.col(doc_id).cast("long")).mapInArrow(lean(run), "high long, low long, doc_id long")
     # a document in several rows is one document; both steps combine before they shuffle
     once = lines.groupBy("high", "low", "doc_id").agg(F.count("*").alias("rows"))
     found = once.groupBy("high", "low").agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper"))
@@ -229,6 +229,6 @@ def line_dedup(frame: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
                 names=["r", "t", "n_lines", "n_dropped"],
             )
 
-    done = packed.mapInArrow(run, schema)
+    done = packed.mapInArrow(lean(run), schema)
     columns = [F.col("t").alias(c) if c == text else F.col(f"r.`{c}`").alias(c) for c in frame.columns if c not in added]
     return done.select(*columns, *added)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import Scratch, small_batches
+from postmill.llm.common import Scratch, lean, small_batches
 from postmill.llm.ngram_join import STEP, word_hashes
 
 PMIN, QMIN = 1e-4, 1e-6
@@ -153,7 +153,7 @@ def train(frame: DataFrame, scratch: Scratch) -> tuple[Tree, DataFrame]:
             for hashes, _ in token_hashes(batch.column(0)):
                 yield _counted(hashes, "h")
 
-    table = scratch.write(frame.mapInArrow(words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
+    table = scratch.write(frame.mapInArrow(lean(words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
     tokens, vocabulary = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     often = table.where(F.col("n") >= QMIN * tokens).toPandas()  # 1 / QMIN at most
     hashes = often["h"].to_numpy(np.int64).view(np.uint64)
@@ -178,7 +178,7 @@ def train(frame: DataFrame, scratch: Scratch) -> tuple[Tree, DataFrame]:
                     both = (number >= 0) & (places >= 0)
                     yield _counted(number[both] * len(tree.words) + places[both], "k")
 
-        pairs = frame.mapInArrow(follow, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+        pairs = frame.mapInArrow(lean(follow), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
         found = pairs.where(F.col("n") >= QMIN * tokens).toPandas()  # 1 / QMIN at most
         keys, nexts = found["k"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
         order = np.argsort(keys)
@@ -231,7 +231,7 @@ def lm_scores(frame: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
                 begin += len(firsts)
                 yield pa.RecordBatch.from_arrays([batch.column(1).take(mine), batch.column(2).take(mine), *map(pa.array, sums), *lists], names=["doc_id", "th", "n_tokens", "known", "base", "score", "h", "n"])
 
-    local = scratch.write(base.mapInArrow(score, schema), "local")
+    local = scratch.write(base.mapInArrow(lean(score), schema), "local")
     total, least = tree.tokens + ADDED * (tree.vocabulary + 1), ADDED
     asked = local.select("doc_id", "th", F.explode(F.arrays_zip("h", "n")).alias("x")).select("doc_id", "th", F.col("x.h").alias("h"), F.col("x.n").alias("k"))
     rare = table.where(F.col("n") < QMIN * tree.tokens)

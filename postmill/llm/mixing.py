@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postmill.llm.common import SPACES, Scratch, small_batches
+from postmill.llm.common import SPACES, Scratch, lean, small_batches
 
 #: Documents that one group of the tree takes in, on average; residuals likewise.
 GROUP = 50_000
@@ -137,7 +137,7 @@ def pivotal(frame: DataFrame, scratch: Scratch, seed: int = 1, group: int = GROU
             if made:
                 yield packed()
 
-        settled = scratch.write(dealt.mapInArrow(run, schema), f"level-{level}")
+        settled = scratch.write(dealt.mapInArrow(lean(run), schema), f"level-{level}")
         part = settled.where("done").select("key", F.col("fraction").cast("long").alias("up"))
         done = part if done is None else done.union(part)
         rows = settled.where("not done").select("key", "source", "size", "fraction")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import SPACES, Scratch, components, small_batches
+from postmill.llm.common import SPACES, Scratch, components, lean, small_batches
 
 #: Words of a shingle, the similarity that links, and the recall that banding must reach there.
 WORDS, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.998, 6
@@ -183,7 +183,7 @@ def signatures(frame: DataFrame, minhash: MinHash) -> DataFrame:
             if keep:
                 yield packed()
 
-    return frame.select("text", "doc_id", "th").mapInArrow(run, "doc_id long, th long, node binary, n long, sketch binary, bands array<long>")
+    return frame.select("text", "doc_id", "th").mapInArrow(lean(run), "doc_id long, th long, node binary, n long, sketch binary, bands array<long>")
 
 
 def _groups(batches, n_keys: int):
@@ -273,7 +273,7 @@ def candidates(nodes: DataFrame, scratch: Scratch, similarity: float, n_minima:
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+    return dealt.mapInArrow(lean(run), "a binary, b binary").distinct()
 
 
 def verify(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, cross: bool, similarity: Fraction) -> tuple[np.ndarray, list[int]]:
@@ -364,7 +364,7 @@ def ngram_classes(frame: DataFrame, text: str = "text", doc_id: str = "doc_id",
             mine = pa.array([k for k, x in enumerate(made) if x is not None], pa.int64())
             yield pa.RecordBatch.from_arrays([*[batch.column(k).take(mine) for k in range(1, 6)], pa.array([x for x in made if x is not None], pa.binary())], names=["node", "root", "copies", "m", "total", "shingles"])
 
-    full_sets = found.mapInArrow(sets, "node binary, root binary, copies long, m long, total long, shingles binary")
+    full_sets = found.mapInArrow(lean(sets), "node binary, root binary, copies long, m long, total long, shingles binary")
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK_NODES, F.col("total") / BLOCK_SHINGLES))
     dealt = _blocks(full_sets, "root", blocks).select("root", "i", "j", "node", "copies", "block", "shingles")
     dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
@@ -382,7 +382,7 @@ def ngram_classes(frame: DataFrame, text: str = "text", doc_id: str = "doc_id",
             names = [node for node, _ in kept]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([names[k] for k in roots], pa.binary()), pa.array(links, pa.int64())], names=["a", "b", "links"])
 
-    verified = scratch.write(dealt.mapInArrow(check, "a binary, b binary, links long"), "verified")
+    verified = scratch.write(dealt.mapInArrow(lean(check), "a binary, b binary, links long"), "verified")
     classes = components(scratch, verified.select("a", "b"), "classes")
     links = verified.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "node")
     known = nodes.join(links, "node", "left").join(classes, "node", "left")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import small_batches
+from postmill.llm.common import lean, small_batches
 
 #: Distinct pre-tokens that a task remembers at once.
 REMEMBERED = 400_000
@@ -161,5 +161,5 @@ def token_counts(frame: DataFrame, model_path: str, text: str = "text", limit: i
             sizes = [len(x.encode()) for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sizes, pa.int64()), pa.array(count(texts), pa.int64())], names=["r", "n_bytes", "n_tokens"])
 
-    done = packed.mapInArrow(run, schema)
+    done = packed.mapInArrow(lean(run), schema)
     return done.select(*[F.col(f"r.`{c}`").alias(c) for c in rest], "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

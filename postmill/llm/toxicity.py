@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import small_batches
+from postmill.llm.common import lean, small_batches
 
 #: Bytes of a window; bytes of the shared part of a dictionary and of a class's own part.
 WINDOW, SHARED, OWN = 96, 8192, 4096
@@ -191,7 +191,7 @@ def fit(frame: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in (1, 2, 3)], pa.array(few, pa.list_(pa.binary())), pa.array([len(x) for x in rows], pa.int64())], names=["d", "y", "k", "cut", "n"])
 
     joined = frame.select(F.col(text).alias("t"), F.col(doc_id).cast("long").alias("d")).join(chosen, "d").select("t", "d", "y", "k")
-    found = joined.mapInArrow(cut, "d long, y int, k int, cut array<binary>, n long").collect()
+    found = joined.mapInArrow(lean(cut), "d long, y int, k int, cut array<binary>, n long").collect()
     rows = {}
     for r in sorted(found, key=lambda r: (r["k"], r["y"], [bytes(w) for w in r["cut"]])):
         rows.setdefault(r["d"], ([bytes(w) for w in r["cut"]], r["y"], r["k"], r["n"]))
@@ -229,6 +229,6 @@ def toxicity(frame: DataFrame, labels: DataFrame, text: str = "text", doc_id: st
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(scores, pa.float64())], names=["r", "score"])
 
-    done = packed.mapInArrow(run, schema)
+    done = packed.mapInArrow(lean(run), schema)
     held_out = F.coalesce(~_learnable(F.col(f"r.`{doc_id}`")), F.lit(False))
     return done.select(*[F.col(f"r.`{c}`").alias(c) for c in rest], held_out.alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.llm.common import small_batches
+from postmill.llm.common import lean, small_batches
 
 #: Bytes of one index; longer rule lists become several indexes, probed in turn.
 INDEX_BYTES = 64 << 20
@@ -149,5 +149,5 @@ def url_filters(frame: DataFrame, rules, url: str = "url", otherwise: str = "all
             columns = [[x[0] for x in split], [x[1] for x in split], rule, verdict]
             yield pa.RecordBatch.from_arrays([batch.column(1), *[pa.array(x, pa.string()) for x in columns]], names=["r", *added])
 
-    done = packed.mapInArrow(run, schema)
+    done = packed.mapInArrow(lean(run), schema)
     return done.select(*[F.col(f"r.`{c}`").alias(c) for c in rest], *added)
