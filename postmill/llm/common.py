@@ -97,18 +97,25 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "components") ->
 
     Alternating large-star and small-star steps: every step keeps at most as many edges
     as it found and sends a node only to its least neighbour, so no component is ever
-    gathered in one task. The number of steps grows with the logarithm of the component.
+    gathered in one task. The least neighbours are combined before they are shuffled and
+    written before they are joined, so the edges of a hub, dealt by that node, are the
+    plain side of a join, which Spark can split. The number of steps grows with the
+    logarithm of the component.
     """
+
+    def least(pairs: DataFrame, part: str) -> DataFrame:
+        return scratch.write(pairs.groupBy("u").agg(F.min("v").alias("m")), f"{name}-{part}")
+
     directed = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     current, step, before = scratch.write(directed, f"{name}-0"), 0, None
     while True:
         both = current.select("u", "v").union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = large.where("u <> v").distinct()
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        after = small.union(least.select("u", F.col("m").alias("v"))).distinct()
+        near = least(both, "near").select("u", F.least("u", "m").alias("m"))
+        large = both.join(near, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        down = scratch.write(large.where("u <> v").distinct(), f"{name}-down")
+        near = least(down, "least")
+        small = down.join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        after = small.union(near.select("u", F.col("m").alias("v"))).distinct()
         step += 1
         following = scratch.write(after, f"{name}-{step}")
         state = following.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
