@@ -216,7 +216,8 @@ def stem(name) -> Column:
 def safe_name(filename, media_type) -> Column:
     """The last component of a path; "unnamed" and the media type's extension where it has none."""
     last = F.try_element_at(F.filter(F.split(F.coalesce(_col(filename), F.lit("")), "/"), lambda x: x != ""), F.lit(-1))
-    types = {t: e[1:] for t in sorted(set(mimetypes.types_map.values())) if (e := mimetypes.guess_extension(t))}
+    types = {t: e[1:] for t in sorted(set(mimetypes.types_map.values())) if (e := mimetypes.guess_extension(t))} | {"image/jpeg": "jpeg"}
+    types.pop("application/octet-stream", None)  # bytes of no known kind
     known = F.try_element_at(F.create_map(*[F.lit(x) for pair in types.items() for x in pair]), _col(media_type))
     return F.when(last.isNull() | last.isin(".", ".."), F.concat(F.lit("unnamed"), F.coalesce(F.concat(F.lit("."), known), F.lit("")))).otherwise(last)
 

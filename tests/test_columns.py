@@ -47,9 +47,9 @@ def test_mailboxes(spark):
 
 
 def test_names(spark):
-    own = [("a/b.pdf", "x"), ("..", "application/pdf"), (None, "image/png"), ("", "no/such"), ("/", "text/plain"), (".rc", "x")]
+    own = [("a/b.pdf", "x"), ("..", "application/pdf"), (None, "image/png"), ("", "no/such"), ("/", "text/plain"), (".rc", "x"), (None, "image/jpeg"), (None, "application/octet-stream")]
     frame = spark.createDataFrame([(k, *r) for k, r in enumerate(own)], "k int, n string, t string").orderBy("k")
-    assert [r[0] for r in frame.select(C.safe_name("n", "t")).collect()] == ["b.pdf", "unnamed.pdf", "unnamed.png", "unnamed", "unnamed.txt", ".rc"]
+    assert [r[0] for r in frame.select(C.safe_name("n", "t")).collect()] == ["b.pdf", "unnamed.pdf", "unnamed.png", "unnamed", "unnamed.txt", ".rc", "unnamed.jpeg", "unnamed"]
     split = ["a.b.c", ".rc", "a.", "plain", "a.b\n.c", ""]
     assert list(zip(values(spark, C.stem("x"), split), values(spark, C.extension("x"), split), strict=True)) == [("a.b", "c"), (".rc", ""), ("a.", ""), ("plain", ""), ("a.b\n", "c"), ("", "")]
     assert values(spark, C.linkable("x"), ["a#b|c", "a[b]c", "[[a", "a]", "a]]b", "[a] b"]) == ["a-b-c", "a[b]c", "--a", "a-", "a--b", "[a] b"]

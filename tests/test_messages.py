@@ -102,11 +102,11 @@ def test_attachments_and_notes(spark):
     zone = convert(mails, Options(zone="Europe/Zurich")).first().markdown
     assert "created: 2026-02-03T04:05\n" in zone
     linked = convert(mails, Options(extract=True, style="obsidian")).first()
-    names = ["a-.pdf", "a--1.pdf", "f.jpg", "between.gif", "in.zip", "unnamed.bin"]
+    names = ["a-.pdf", "a--1.pdf", "f.jpg", "between.gif", "in.zip", "unnamed"]
     assert [f[0] for f in files(linked)] == names
     assert [f[2] for f in files(linked)] == [b"\xff\0", "café".encode(), b"raw", b"y", b"z", b"n"]
     assert linked.markdown.endswith(
-        "hi \\#x\n\nend\n\n|  |  |\n|---|---|\n| ![[f.jpg]] | ![[between.gif]] |\n\n[[a-.pdf|../a#.pdf]]\n\n[[a--1.pdf|a-.pdf]]\n\n[[in.zip]]\n\n[[unnamed.bin|unnamed]]\n"
+        "hi \\#x\n\nend\n\n|  |  |\n|---|---|\n| ![[f.jpg]] | ![[between.gif]] |\n\n[[a-.pdf|../a#.pdf]]\n\n[[a--1.pdf|a-.pdf]]\n\n[[in.zip]]\n\n[[unnamed]]\n"
     )
     shown = convert(mails, Options(pictures=True, pattern="{date:yyMMdd} {name}{ext}")).first()
     assert [f[0] for f in files(shown)] == [f"260203 {n}" for n in names] + ["260203 l.png"]

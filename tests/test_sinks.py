@@ -45,7 +45,7 @@ def test_read_and_write(spark, folder):
 def test_attachments(spark, folder):
     planned = convert(mail.read_mail(spark, str(folder / "in")), Options(pictures=True))
     sinks.write_files(planned, str(folder / "out"))
-    assert sorted(os.listdir(folder / "out")) == ["a--1.pdf", "a-.pdf", "between.gif", "f.jpg", "in.zip", "l.png", "unnamed.bin"]
+    assert sorted(os.listdir(folder / "out")) == ["a--1.pdf", "a-.pdf", "between.gif", "f.jpg", "in.zip", "l.png", "unnamed"]
     assert (folder / "out" / "a-.pdf").read_bytes() == b"\xff\0"
     sinks.write_file_table(planned, str(folder / "files"))
     assert spark.read.parquet(str(folder / "files")).where("name = 'f.jpg'").first().content == b"raw"
