@@ -17,7 +17,6 @@ CELLS = frozenset(("td", "th", "caption"))
 #: Open elements at most; what would nest deeper stands beside.
 DEEPEST = 512
 _HALF = re.compile(r"&#(?:([0-9]{1,7})|[xX]([0-9A-Fa-f]{1,6}));")
-_HALVES = re.compile(f"({_HALF.pattern})({_HALF.pattern})")
 
 
 class Node:
@@ -68,14 +67,17 @@ class Node:
 
 def join_halves(html: str) -> str:
     """Two character references that are the halves of one UTF-16 pair, as one reference."""
-
-    def join(m):
-        high, low = (int(m[a]) if m[a] else int(m[b], 16) for a, b in ((2, 3), (5, 6)))
-        if 0xD800 <= high < 0xDC00 <= low < 0xE000:
-            return f"&#x{0x10000 + ((high - 0xD800) << 10) + (low - 0xDC00):X};"
-        return m[1] + _HALVES.sub(join, m[4])
-
-    return _HALVES.sub(join, html) if "&#" in html else html
+    if "&#" not in html:
+        return html
+    out, done, before = [], 0, None
+    for m in _HALF.finditer(html):
+        code = int(m[1]) if m[1] else int(m[2], 16)
+        if before and before[1] == m.start() and 0xDC00 <= code < 0xE000:
+            out += [html[done : before[0]], f"&#x{0x10000 + ((before[2] - 0xD800) << 10) + (code - 0xDC00):X};"]
+            done, before = m.end(), None
+        else:
+            before = (m.start(), m.end(), code) if 0xD800 <= code < 0xDC00 else None
+    return "".join(out) + html[done:]
 
 
 class _Builder(HTMLParser):

@@ -99,6 +99,14 @@ CASES = {
     "<table><tr><td>a<td>b<tr><td>c<td>d</table>": "|  |  |\n|---|---|\n| a | b |\n| c | d |",
     "<title>t</title><script>var a='</p>'</script><style>p{}</style><noscript>n</noscript>x": "x",
     "&amp;lt; &#55357;&#56832; &#xD83D;&#xDE00; &#55357;": "&lt; \U0001f600 \U0001f600 �",
+    "&#55357;&#55357;&#56832; a&#55357; b&#56832;&#65;": "\ufffd\U0001f600 a\ufffd b\ufffdA",
+    "<a href='/r'><table><tr><td><a href='/r'>x/r</a> <a href='/s'>s</a></td></tr></table></a>": "[x/r](/r) [s](/s)",
+    "<a href='/k'><table><tr><td><a name=k></a>To k<a href='/h' style='display:none'>h</a></td></tr></table></a>": "[To k](/k)",
+    "<div>\u200ba\u200b</div><div>\u200bb</div>": "\u200ba\u200b\n\u200bb",
+    "<div dir=ltr>Hi,<div><br></div><div>thanks.</div><div><br></div><div>J</div></div><br><div class=q><div>On Mo wrote A &lt;<a href='mailto:a@x'>a@x</a>&gt;:<br></div><blockquote class=q style='margin:0 0 0 0.8ex'><div>Hello,<div><br></div><div>cv.</div></div></blockquote></div>": "Hi,\n\nthanks.\n\nJ\n\nOn Mo wrote A <a@x>:\n\n> Hello,\n>\n> cv.",
+    "Dear,<div><br></div><div>form.</div><div><br><blockquote type=cite><div>At 9 wrote J:</div><br class=x><div><div>Dear,</div><div>send.</div></div></blockquote></div>": "Dear,\n\nform.\n\n> At 9 wrote J:\n>\n> Dear,\n> send.",
+    "<p class=MsoNormal style='margin-bottom:12.0pt'>Best<br>J<o:p></o:p></p><p class=MsoNormal>HR</p>\n<p class=MsoNormal><o:p>&nbsp;</o:p></p><div style='border:none;border-top:solid #E1E1E1 1.0pt;padding:3.0pt 0cm 0cm 0cm'><p class=MsoNormal><b>From:</b> A<br><b>To:</b> J</p></div>": "Best\nJ\n\nHR\n\n**From:** A\n**To:** J",
+    "<body style='background-color:#f4f4f5'><table role=presentation><tbody><tr><td style='padding-top:24px'><table role=presentation><tr><td><img src=l.png></td></tr></table><h1>T</h1><p style='margin:0;padding-top:0.5em;padding-bottom:0.5em'>Hi <!-- -->all<!-- -->,</p><ul style='margin:0'><li><p style='margin:0'><strong>A</strong> b.</p></li></ul></td></tr></tbody></table></body>": "# T\n\nHi all,\n\n- **A** b.",
     "": "",
     "<div></div><p> </p>": "",
 }
