@@ -99,7 +99,7 @@ def _settle(rows, seed: int, level: int):
 
 
 def pivotal(frame: DataFrame, scratch: Scratch, seed: int = 1, group: int = GROUP) -> DataFrame:
-    """(key, taken01) for rows (key long, source string, size long, fraction double).
+    """(key, source, size, up) for rows (key long, source string, size long, fraction double); up is 0 or 1.
 
     Groups are ranges of a hash of the key within no regard to the source, so a hot
     source is dealt over all of them; a task keeps one residual a source. A level
@@ -138,7 +138,7 @@ def pivotal(frame: DataFrame, scratch: Scratch, seed: int = 1, group: int = GROU
                 yield packed()
 
         settled = scratch.write(dealt.mapInArrow(lean(run), schema), f"level-{level}")
-        part = settled.where("done").select("key", F.col("fraction").cast("long").alias("up"))
+        part = settled.where("done").select("key", "source", "size", F.col("fraction").cast("long").alias("up"))
         done = part if done is None else done.union(part)
         rows = settled.where("not done").select("key", "source", "size", "fraction")
         before, count, level = count, 0 if last else rows.count(), level + 1
@@ -172,7 +172,10 @@ def mix(frame: DataFrame, text: str = "text", source: str = "source", doc_id: st
     asked = rated.select("key", "source", "size", (F.col("rate") - F.col("whole")).alias("fraction"))
     rounded = pivotal(asked, scratch, seed)
     copies = F.when(F.col("size") > 0, F.least(F.col("whole") + F.col("up"), F.lit(MOST).cast("long"))).otherwise(F.lit(0).cast("long"))
-    mixed = rated.join(rounded, "key").withColumn("copies", copies)
+    # of documents whose keys collide, source and size tell the rows apart
+    rounded = rounded.select("key", F.col("source").alias("_s"), F.col("size").alias("_n"), "up")
+    mixed = rated.join(rounded, (rated["key"] == rounded["key"]) & rated["source"].eqNullSafe(rounded["_s"]) & (rated["size"] == rounded["_n"]))
+    mixed = mixed.withColumn("copies", copies)
     found = ["size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"]
     if not keep:
         return mixed.select("doc_id", *found)
