@@ -1,36 +1,44 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-The tree's root holds the words' frequencies. A context (the one or two words before) is
-a candidate if it makes up PMIN of the training tokens, and it is retained, with the
-contexts it ends on, if its next-word distribution diverges enough from that of the next
-shorter context. A distribution lists the next words that make up QMIN of the training
-tokens in that context; what it does not list is left to the shorter context, so all
-distributions are smoothed down to the root and sum to one. A token is scored in the
-longest retained context that it follows.
-
-PMIN and QMIN bound contexts (1 / PMIN a length) and listed words and next words
-(1 / QMIN each), whatever the corpus; only these are broadcast. Words below QMIN are
-counted and looked up by shuffles.
+The tree's root holds the words' frequencies. Every context (the one or two words before)
+of the training texts is a candidate, and it is retained, with the contexts it ends on,
+if its next-word distribution diverges enough from that of the next shorter context. A
+distribution lists all next words seen in that context; what it does not list is left to
+the shorter context, so all distributions are smoothed down to the root and sum to one.
+A token is scored in the longest retained context that it follows.
+
+The tree grows with the training texts and is never gathered. Tokens, each with the two
+words before it, are dealt into shards by the word before; so a shard holds all that
+follows that word, builds that part of the tree, scores the tokens and returns sums by
+text. Words are written as short codes, frequent ones by a broadcast table; counts of
+rarer words reach the shards by joins.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.llm.common import Scratch, lean, small_batches
 from postmill.llm.ngram_join import STEP, word_hashes
 
-PMIN, QMIN = 1e-4, 1e-6
-#: Words of the longest context, and nats a token by which a retained one diverges.
-DEPTH, DIVERGENCE = 2, 0.01
+#: Shares of the training tokens that a context and a listed next word must make up: none, so that nothing is cut.
+PMIN, QMIN = 0.0, 0.0
+#: Nats a token by which a retained context diverges.
+DIVERGENCE = 0.01
 #: Hash of the end of a text, which is a token.
 END = np.uint64(0x5851F42D4C957F2D)
 ADDED = 0.1
+#: Words that may have a code in the broadcast table (those that make up 1 / COMMON of the tokens); results do not depend on it.
+COMMON = 1 << 24
+#: Tokens of a shard on average, and those that a task deals at once.
+SHARD_TOKENS, BLOCK_TOKENS = 1_000_000, 1_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -67,127 +75,109 @@ def _find(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == asked, at, -1)
 
 
-class Tree:
-    """words: hashes in order, with counts. levels: for each length, contexts and their listed next words.
+class Codes:
+    """Codes 1, 2, ... of common words, the most frequent first; hashes in order, with their codes, and counts by code."""
 
-    A context is a code: its last word's place for length 1; for length 2, place of the
-    context without its last word * len(words) + its last word's place. Its number is
-    its place among the codes of its length.
-    """
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        by_count = np.lexsort((hashes, -counts))
+        self.counts = np.concatenate([[0], counts[by_count]])
+        code = np.empty(len(hashes), np.int64)
+        code[by_count] = np.arange(1, len(hashes) + 1)
+        order = np.argsort(hashes)
+        self.hashes, self.codes = hashes[order], code[order].astype(np.int32)
 
-    def __init__(self, tokens: int, vocabulary: int, words: np.ndarray, counts: np.ndarray):
-        self.tokens, self.vocabulary, self.words, self.counts = tokens, vocabulary, words, counts
-        self.root = (counts + ADDED) / (tokens + ADDED * (vocabulary + 1))
-        self.levels: list[dict] = []
-
-    def contexts(self, places: np.ndarray, firsts: np.ndarray) -> list[np.ndarray]:
-        """For each length, the numbers of the contexts before the tokens at places, -1 where none is."""
-        out, before = [], np.full(len(places), -1, np.int64)
-        for length, level in enumerate(self.levels, 1):
-            # the context of this length that ends with the token before
-            last = np.concatenate([[-1], places[:-1]])
-            if length == 1:
-                code = last
-            else:
-                shorter = np.concatenate([[-1], before[:-1]])  # the context before the token before
-                code = np.where((shorter >= 0) & (last >= 0), shorter * len(self.words) + last, -1)
-            number = np.where(code >= 0, _find(level["codes"], code), -1)
-            number[firsts] = -1
-            out.append(number)
-            before = number
-        return out
-
-    def probabilities(self, places: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
-        """P(token | longest retained context); of words that are not listed, the factor on their root probability."""
-        p = np.where(places >= 0, self.root[np.maximum(places, 0)] if len(self.root) else 1.0, 1.0)
-        for level, number in zip(self.levels, contexts, strict=True):
-            use = number >= 0
-            use[use] = level["kept"][number[use]]
-            k, w = number[use], places[use]
-            hit = np.where(w >= 0, _find(level["keys"], k * len(self.words) + np.maximum(w, 0)), -1)
-            listed = np.where(hit >= 0, level["next"][np.maximum(hit, 0)] if len(level["next"]) else 0, 0)
-            p[use] = (listed + level["left"][k] * p[use]) / level["all"][k]
-        return p
-
-    def grow(self, codes: np.ndarray, counts: np.ndarray, keys: np.ndarray, found: np.ndarray) -> None:
-        """Adds a length: contexts (codes, counts) with listed next words (keys: number * len(words) + place; counts)."""
-        own = keys // len(self.words) if len(keys) else keys
-        listed = np.bincount(own, minlength=len(codes)).astype(float)
-        mass = np.bincount(own, found, minlength=len(codes))
-        level = {"codes": codes, "counts": counts, "keys": keys, "next": found.astype(float), "left": counts - mass + listed + 1, "all": counts + listed + 1}
-        shorter = self._shorter(keys % len(self.words), codes[own] if len(keys) else own)
-        here = found / counts[own] if len(keys) else found.astype(float)
-        gain = np.bincount(own, here * np.log(here / shorter), minlength=len(codes))
-        rest, rest_shorter = 1 - mass / counts, 1 - np.bincount(own, shorter, minlength=len(codes))
-        some = (rest > 1e-9) & (rest_shorter > 1e-9)
-        gain[some] += rest[some] * np.log(rest[some] / rest_shorter[some])
-        level["kept"] = gain - listed / (2 * counts) >= DIVERGENCE
-        self.levels.append(level)
-        if len(self.levels) > 1:  # what a retained context ends on is retained
-            ends = codes[level["kept"]] % len(self.words)
-            at = _find(self.levels[-2]["codes"], ends)
-            self.levels[-2]["kept"][at[at >= 0]] = True
-
-    def _shorter(self, places: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """P(word | the context without its first word), in all candidates of that length."""
-        p = self.root[places]
-        if self.levels:
-            level = self.levels[0]
-            number = _find(level["codes"], codes % len(self.words))
-            hit = _find(level["keys"], number * len(self.words) + places)
-            listed = np.where(hit >= 0, level["next"][np.maximum(hit, 0)] if len(level["next"]) else 0, 0)
-            p = np.where(number >= 0, (listed + level["left"][number] * p) / level["all"][number], p)
-        return p
-
-
-def _counted(hashes: np.ndarray, name: str) -> pa.RecordBatch:
-    keys, counts = np.unique(hashes, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=[name, "n"])
-
-
-def train(frame: DataFrame, scratch: Scratch) -> tuple[Tree, DataFrame]:
-    """The tree and the table (h, n) of all words of frame (text)."""
 
-    def words(batches):
-        for batch in batches:
-            for hashes, _ in token_hashes(batch.column(0)):
-                yield _counted(hashes, "h")
-
-    table = scratch.write(frame.mapInArrow(lean(words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
-    tokens, vocabulary = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    often = table.where(F.col("n") >= QMIN * tokens).toPandas()  # 1 / QMIN at most
-    hashes = often["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    tree = Tree(int(tokens), int(vocabulary), hashes[order], often["n"].to_numpy(np.int64)[order])
-    spark = frame.sparkSession
-    is_word = tree.words != END
-    codes = np.flatnonzero((tree.counts >= PMIN * tokens) & is_word)
-    counts = tree.counts[codes]
-    for length in range(1, DEPTH + 1):
-        if not len(codes):
-            break
-        tree.levels.append({"codes": codes})
-        shipped = spark.sparkContext.broadcast(tree)
-
-        def follow(batches, shipped=shipped):
-            tree = shipped.value
-            for batch in batches:
-                for hashes, firsts in token_hashes(batch.column(0)):
-                    places = _find(tree.words, hashes)
-                    number = tree.contexts(places, firsts)[-1]
-                    both = (number >= 0) & (places >= 0)
-                    yield _counted(number[both] * len(tree.words) + places[both], "k")
-
-        pairs = frame.mapInArrow(lean(follow), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-        found = pairs.where(F.col("n") >= QMIN * tokens).toPandas()  # 1 / QMIN at most
-        keys, nexts = found["k"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
-        order = np.argsort(keys)
-        keys, nexts = keys[order], nexts[order]
-        tree.levels.pop()
-        tree.grow(codes, counts, keys, nexts)
-        longer = (nexts >= PMIN * tokens) & is_word[keys % len(tree.words)] if len(keys) else np.zeros(0, bool)
-        codes, counts = keys[longer], nexts[longer]
-    return tree, table
+def _packed(columns: list[np.ndarray]) -> bytes:
+    planes = b"".join(x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in columns)
+    return zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, 4, -1)
+    return [np.ascontiguousarray(x.T).view("<i4").ravel().astype(np.int64) for x in planes]
+
+
+def _shard(hashes: np.ndarray, into: np.ndarray, shards: int) -> np.ndarray:
+    """Shards of tokens by the word before, or by themselves where into, the place in the text, is 0."""
+    key = np.where(into >= 1, np.roll(hashes, 1), hashes)
+    key = (key ^ (key >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((key >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+
+
+def deal(hashes: np.ndarray, firsts: np.ndarray, ids: np.ndarray, learned: np.ndarray, codes: Codes, shards: int) -> pa.RecordBatch:
+    """Tokens of some texts (ids, learned) dealt by the word before, or by themselves at the head of a text.
+
+    data: codes of the second last word (0: none), the last word (0: none) and the token,
+    and the place of its text in ids. Words without a code have one after those, by their
+    place in rare.
+    """
+    n, most = len(hashes), len(codes.counts)
+    at = _find(codes.hashes, hashes)
+    word = np.empty(n, np.int64)
+    word[at >= 0] = codes.codes[at[at >= 0]]
+    unknown, place = np.unique(hashes[at < 0], return_inverse=True)
+    word[at < 0] = most + place
+    rows = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, n)))
+    into = np.arange(n) - firsts[rows]
+    last = np.where(into >= 1, np.roll(word, 1), 0)
+    second = np.where(into >= 2, np.roll(word, 2), 0)
+    shard = _shard(hashes, into, shards)
+    order = np.argsort(shard, kind="stable")
+    bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+    out = []
+    for s in np.flatnonzero(np.diff(bounds)):
+        take = order[bounds[s] : bounds[s + 1]]
+        three, mine = [x[take] for x in (second, last, word)], rows[take]
+        rare = np.unique(np.concatenate([x[x >= most] for x in three]))
+        three = [np.where(x >= most, most + np.searchsorted(rare, x), x) for x in three]
+        texts = mine[np.concatenate([[True], mine[1:] != mine[:-1]])]
+        out.append((s, _packed([*three, np.searchsorted(texts, mine)]), ids[texts], learned[texts], unknown[rare - most].view(np.int64)))
+    kinds = [pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["s", "data", "ids", "learned", "rare"])
+
+
+def _level(own: np.ndarray, n: np.ndarray, counts: np.ndarray, shorter: np.ndarray, least: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(listed counts, left, all, kept) of contexts of counts, of which own are followed n times by words of probability shorter.
+
+    least: the counts from which a context is a candidate and a next word is listed.
+    """
+    size = len(counts)
+    use = (n >= least[1]) & (counts[own] >= least[0])
+    mine, found, p = own[use], n[use], shorter[use]
+    mass, listed = np.bincount(mine, found, size), np.bincount(mine, minlength=size)
+    some = np.maximum(counts, 1)
+    here = found / counts[mine]
+    gain = np.bincount(mine, here * np.log(here / p), size).astype(float)  # of nothing it is of integers
+    rest, rest_shorter = 1 - mass / some, 1 - np.bincount(mine, p, size)
+    both = (rest > 1e-9) & (rest_shorter > 1e-9)
+    gain[both] += rest[both] * np.log(rest[both] / rest_shorter[both])
+    kept = (counts >= least[0]) & (gain - listed / (2 * some) >= DIVERGENCE)
+    return np.where(use, n, 0), counts - mass + listed + 1, counts + listed + 1, kept
+
+
+def score_shard(second: np.ndarray, last: np.ndarray, word: np.ndarray, learned: np.ndarray, root: np.ndarray, least: tuple[float, float]) -> np.ndarray:
+    """The probability of each token; the arrays hold all tokens that follow the words of last, learned those that count."""
+    width = len(root)
+    pairs, pair = np.unique(last * width + word, return_inverse=True)
+    n = np.bincount(pair, learned, len(pairs))
+    lasts, own = np.unique(pairs // width, return_inverse=True)
+    counts = np.where(lasts > 0, np.bincount(own, n, len(lasts)), 0)
+    base = root[pairs % width]
+    listed, left, total, kept = _level(own, n, counts, base, least)
+    longer = (listed + left[own] * base) / total[own]
+    p_all = np.where(counts[own] >= least[0], longer, base)
+    deep = np.flatnonzero(second > 0)
+    contexts, context = np.unique(last[deep] * width + second[deep], return_inverse=True)
+    triples, triple = np.unique(context * len(pairs) + pair[deep], return_inverse=True)
+    n3, own3, pair3 = np.bincount(triple, learned[deep], len(triples)), triples // len(pairs), triples % len(pairs)
+    counts3 = np.bincount(own3, n3, len(contexts))
+    listed3, left3, total3, kept3 = _level(own3, n3, counts3, p_all[pair3], least)
+    kept[np.searchsorted(lasts, contexts[kept3] // width)] = True  # what a retained context ends on is retained
+    p = np.where(kept[own], p_all, base)
+    out = p[pair]
+    p3 = np.where(kept3[own3], (listed3 + left3[own3] * p[pair3]) / total3[own3], p[pair3])
+    out[deep] = p3[triple]
+    return out
 
 
 def lm_scores(frame: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -201,48 +191,83 @@ def lm_scores(frame: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     Without training rows every token has the probability 1 / (V + 1) = 1.
     """
     small_batches(frame.sparkSession)
-    scratch = Scratch(frame.sparkSession)
-    base = frame.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"))
-    tree, table = train(base.where(~held_out(F.col("doc_id"))).select("text"), scratch)
-    shipped = frame.sparkSession.sparkContext.broadcast(tree)
-    kind = base.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, th long, n_tokens long, known long, base double, score double, h array<long>, n array<int>"
-
-    def score(batches):
-        tree = shipped.value
+    scratch, context = Scratch(frame.sparkSession), frame.sparkSession.sparkContext
+    given = F.col(doc_id)
+    key = F.xxhash64(given.cast("string"), F.col(text), given.isNull(), F.col(text).isNull())
+    base = frame.select(F.col(text).alias("text"), given.alias("doc_id"), key.alias("d"), (~held_out(given)).alias("learned"))
+
+    def words(batches):
+        for batch in batches:
+            for hashes, _ in token_hashes(batch.column(0)):
+                keys, counts = np.unique(hashes, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["h", "n"])
+
+    table = scratch.write(base.where("learned").select("text").mapInArrow(lean(words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
+    tokens, vocabulary = map(int, table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first())
+    often = table.where(F.col("n") * COMMON >= tokens).toPandas()  # COMMON at most
+    shipped = context.broadcast(Codes(often["h"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)))
+    shards, least = max(1, math.ceil(tokens / SHARD_TOKENS)), (max(1, PMIN * tokens), max(1, QMIN * tokens))
+
+    def dealt(batches):
+        codes, held, size = shipped.value, [], 0
+        for batch in batches:
+            ids, learned, begin = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False), 0
+            for hashes, firsts in token_hashes(batch.column(0)):
+                rows = slice(begin, begin + len(firsts))
+                held.append((hashes, firsts + size, ids[rows], learned[rows]))
+                begin, size = begin + len(firsts), size + len(hashes)
+                if size >= BLOCK_TOKENS:
+                    yield deal(*map(np.concatenate, zip(*held, strict=True)), codes, shards)
+                    held, size = [], 0
+        if held:
+            yield deal(*map(np.concatenate, zip(*held, strict=True)), codes, shards)
+
+    def scored(part: pa.Table, counts: pa.Table) -> pa.Table:
+        codes = shipped.value
+        most, threes, ids, learned = len(codes.counts), [], [], []
+        rare = np.unique(np.concatenate([np.zeros(0, np.int64), *(x.values.to_numpy() for x in part["rare"])]))
+        texts = 0
+        for data, mine, known, few in zip(part["data"], part["ids"], part["learned"], part["rare"], strict=True):
+            *three, text = _unpacked(data.as_py())
+            code = np.concatenate([np.arange(most), most + np.searchsorted(rare, few.values.to_numpy())])
+            threes.append([*(code[x] for x in three), text + texts])
+            ids.append(mine.values.to_numpy())
+            learned.append(known.values.to_numpy(zero_copy_only=False))
+            texts += len(ids[-1])
+        second, last, word, text = (np.concatenate(x) for x in zip(*threes, strict=True))
+        del threes
+        n = np.concatenate([codes.counts, np.zeros(len(rare), np.int64)])
+        n[most + np.searchsorted(rare, counts["h"].to_numpy())] = counts["n"].to_numpy()
+        root = (n + ADDED) / (tokens + ADDED * (vocabulary + 1))
+        p = score_shard(second, last, word, np.concatenate(learned)[text].astype(float), root, least)
+        ids, place = np.unique(np.concatenate(ids), return_inverse=True)
+        text = place[text]
+        whole = [np.bincount(text, x, len(ids)).astype(np.int32) for x in (None, n[word] > 0)]
+        sums = [np.bincount(text, np.log10(x), len(ids)) for x in (root[word], p)]
+        return pa.table([pa.array(x) for x in (ids, *whole, *sums)], names=["d", "n_tokens", "n_known", "base_score", "score"])
+
+    def rare_words(batches):
+        codes = shipped.value
         for batch in batches:
-            begin = 0
             for hashes, firsts in token_hashes(batch.column(0)):
-                places = _find(tree.words, hashes)
-                seen = places >= 0
-                p = np.log10(tree.probabilities(places, tree.contexts(places, firsts)))
-                q = np.where(seen, np.log10(tree.root[np.maximum(places, 0)]) if len(tree.root) else 0.0, 0.0)
-                sums = [np.add.reduceat(x, firsts) for x in (np.ones(len(p), np.int64), seen.astype(np.int64), q, p)]
-                rare, rows = hashes[~seen], (np.cumsum(np.bincount(firsts, minlength=len(p))) - 1)[~seen]
-                order = np.lexsort((rare, rows))  # the rare words of each text, counted
-                rare, rows = rare[order], rows[order]
-                new = np.ones(len(rare), bool)
-                new[1:] = (rare[1:] != rare[:-1]) | (rows[1:] != rows[:-1])
-                at = np.flatnonzero(new)
-                times = np.diff(np.append(at, len(rare))).astype(np.int32)
-                ends = np.searchsorted(rows[at], np.arange(len(firsts) + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (rare[at].view(np.int64), times)]
-                mine = pa.array(np.arange(begin, begin + len(firsts)))
-                begin += len(firsts)
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(mine), batch.column(2).take(mine), *map(pa.array, sums), *lists], names=["doc_id", "th", "n_tokens", "known", "base", "score", "h", "n"])
-
-    local = scratch.write(base.mapInArrow(lean(score), schema), "local")
-    total, least = tree.tokens + ADDED * (tree.vocabulary + 1), ADDED
-    asked = local.select("doc_id", "th", F.explode(F.arrays_zip("h", "n")).alias("x")).select("doc_id", "th", F.col("x.h").alias("h"), F.col("x.n").alias("k"))
-    rare = table.where(F.col("n") < QMIN * tree.tokens)
-    met = asked.join(rare, "h", "left").select("doc_id", "th", "k", F.coalesce("n", F.lit(0)).alias("n"))
-    sums = met.groupBy("doc_id", "th").agg(F.sum(F.col("k") * F.log10((F.col("n") + least) / F.lit(total))).alias("rest"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("more"))
+                into = np.arange(len(hashes)) - np.repeat(firsts, np.diff(np.append(firsts, len(hashes))))
+                rare = _find(codes.hashes, hashes) < 0
+                found, shard = hashes[rare], _shard(hashes, into, shards)[rare]
+                order = np.lexsort((found, shard))
+                found, shard = found[order], shard[order]
+                new = np.ones(len(found), bool)
+                new[1:] = (found[1:] != found[:-1]) | (shard[1:] != shard[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(shard[new].astype(np.int32)), pa.array(found[new].view(np.int64))], names=["shard", "h"])
+
+    parts = base.select("text", "d", "learned").mapInArrow(lean(dealt), "s int, data binary, ids array<long>, learned array<boolean>, rare array<long>")
+    asked = base.select("text").mapInArrow(lean(rare_words), "shard int, h long").join(table.where(F.col("n") * COMMON < tokens), "h").select("shard", "h", "n")
+    sums = parts.groupBy("s").cogroup(asked.groupBy("shard")).applyInArrow(scored, "d long, n_tokens int, n_known int, base_score double, score double")
+    measures = ["n_tokens", "n_known", "base_score", "score"]
+    sums = sums.groupBy("d").agg(*[F.sum(x).alias(x) for x in measures])
     # rows that agree in doc_id and text were summed together
-    rows = local.groupBy("doc_id", "th").agg(F.count("*").alias("rows"))
-    sums = sums.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "rest", "more").join(rows, F.col("_d").eqNullSafe(rows["doc_id"]) & (F.col("_t") == rows["th"])).select("_d", "_t", "rows", "rest", "more")
-    done = local.drop("h", "n").join(sums, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left")
-    rest = F.coalesce(F.col("rest") / F.col("rows"), F.lit(0.0))
+    done = base.select("doc_id", "d").join(sums, "d").withColumn("rows", F.count("*").over(Window.partitionBy("d")))
+    mean = {x: F.col(x) / F.col("rows") for x in measures}
     return done.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce((F.col("more") / F.col("rows")).cast("long"), F.lit(0))).alias("n_known"),
-        F.lit(tree.tokens).cast("long").alias("train_tokens"), (F.col("base") + rest).alias("base_score"), (F.col("score") + rest).alias("score"),
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), mean["n_tokens"].cast("long").alias("n_tokens"), mean["n_known"].cast("long").alias("n_known"),
+        F.lit(tokens).cast("long").alias("train_tokens"), mean["base_score"].alias("base_score"), mean["score"].alias("score"),
     )

@@ -111,3 +111,18 @@ def test_whole_table(spark, sf_dir):
     check(found, rows)
     held = [r for r in found if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_rare_contexts_are_learned_in_tables_of_any_size(spark, monkeypatch):
+    """A phrase seen twice is expected after its first words, however much other text there is."""
+    monkeypatch.setattr(m, "COMMON", 50)
+    monkeypatch.setattr(m, "SHARD_TOKENS", 5000)
+    dice = random.Random(5)
+    rows = [(i, " ".join(dice.choices("abcdefgh", k=400))) for i in range(100, 200) if not out(i)]
+    held = next(i for i in range(1000) if out(i))
+    rows += [(1001, "rare phrase here"), (1002, "rare phrase here"), (held, "rare phrase here")]
+    found = m.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    model = check(found, rows)
+    assert {("rare",), ("rare", "phrase")} & model.kept
+    row = next(r for r in found if r.doc_id == held)
+    assert row.score > row.base_score + 6
