@@ -1,7 +1,8 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance from ancestor directories.
 
-Every line of a text, and the whole text of a licence file, is compared with notices of
-known licences as a sparse TF-IDF vector. Files without a licence of their own take that
+Every line of a text, every window of consecutive lines up to twice the words of the longest
+notice, and the whole text of a licence file, is compared with notices of known licences
+as a sparse TF-IDF vector. Files without a licence of their own take that
 of the nearest directory above them that holds a licence file, by joins on paths.
 """
 
@@ -38,6 +39,8 @@ THRESHOLD = 0.75
 #: Directories with licences that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 WORD = re.compile(r"\w+")
+#: What comments put before a line and behind it.
+MARKS = re.compile(r"^\s*(?:/\*+|\*+/?|//+|#+|--+|;+|%+|<!--|\(\*|dnl\b|rem\b)?\s*|\s*(?:\*+/|-->|\*\))?\s*$", re.IGNORECASE)
 
 
 def terms(line: str) -> Counter:
@@ -52,6 +55,8 @@ class Matcher:
         self.threshold = threshold
         self.rarity = {t: math.log((1 + lines) / (1 + holding.get(t, 0))) + 1 for _, text in templates for t in terms(text)}
         self.templates, self.telling = [], set()
+        # words of the longest notice; windows may have twice as many
+        self.longest = max((sum(terms(text).values()) for _, text in templates), default=0)
         for name, text in templates:
             vector = {t: n * self.rarity[t] for t, n in terms(text).items()}
             norm = math.sqrt(sum(x * x for x in vector.values()))
@@ -78,6 +83,33 @@ class Matcher:
         score, name = min(((-s, n) for s, n in found))
         return (-score, name) if -score >= self.threshold else None
 
+    def best_window(self, text: str) -> tuple[float, str] | None:
+        """best of the windows of two or more consecutive non-blank lines that have at most twice the longest notice's words."""
+        low = text.lower()
+        if not any(t in low for t in self.telling):
+            return None
+        found, run = [], []
+        for line in [*low.split("\n"), ""]:
+            line = MARKS.sub("", line)
+            if line:
+                run.append((line, WORD.findall(line)))
+                continue
+            # only windows that begin and end with a line that has a term of a notice can be the nearest
+            useful = [not self.rarity.keys().isdisjoint(w) for _, w in run]
+            for i in range(len(run)):
+                if not useful[i]:
+                    continue
+                words, telling = len(run[i][1]), not self.telling.isdisjoint(run[i][1])
+                for j in range(i + 1, len(run)):
+                    words += len(run[j][1])
+                    if words > 2 * self.longest:
+                        break
+                    telling = telling or not self.telling.isdisjoint(run[j][1])
+                    if useful[j] and telling:
+                        found.append(self.best(" ".join(x for x, _ in run[i : j + 1])))
+            run = []
+        return min(filter(None, found), key=lambda p: (-p[0], p[1]), default=None)
+
 
 def rarity(frame: DataFrame, text: str, templates) -> tuple[int, dict[str, int]]:
     """Lines with words in all texts, and those that hold each term of a template (as many as the templates have)."""
@@ -102,8 +134,8 @@ def rarity(frame: DataFrame, text: str, templates) -> tuple[int, dict[str, int]]
 def license_scan(frame: DataFrame, path: str = "path", text: str = "text", is_license="is_license", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """frame without text, with own_license, own_score, license and license_from added, in place of columns so named.
 
-    own_license: the licence of the template with the highest cosine to a line, or to
-    the whole text of a row that is_license says is a licence file (null: it is none),
+    own_license: the licence of the template with the highest cosine to a line, to a
+    window of consecutive lines (without comment marks; blank lines end it), or to the whole text of a row that is_license says is a licence file (null: it is none),
     if the cosine reaches threshold; own_score is that cosine. license: the own one, or
     that of the nearest directory above path with a licence file that has one (of
     several the highest score, then the least path); license_from: the path it comes
@@ -123,6 +155,7 @@ def license_scan(frame: DataFrame, path: str = "path", text: str = "text", is_li
             names, scores = [], []
             for x, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = [matcher.best(line) for line in (x or "").split("\n")]
+                found.append(matcher.best_window(x or ""))
                 if whole:
                     found.append(matcher.best((x or "").replace("\n", " ")))
                 score, name = min(((-s, n) for s, n in filter(None, found)), default=(None, None))

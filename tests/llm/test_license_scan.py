@@ -80,3 +80,13 @@ def test_whole_table(spark, sf_dir):
     for r in rows:
         exact = {notices[x.strip()] for x in texts[r.doc_id].split("\n") if x.strip() in notices}
         assert not exact or r.own_license in exact
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "// "])
+def test_headers_that_wrap_over_lines(spark, mark):
+    header = ["You can redistribute it and/or", "modify it under the terms of the GNU", "General Public License, either version 3", "of the License, or any later version."]
+    other = "\n".join(f"code {i} and more words of it" for i in range(60))
+    text = other + "\n\n" + "\n".join(mark + x for x in header) + "\n\n" + other
+    frame = spark.createDataFrame([("a/x.c", text, False), ("a/y.c", other, False)], "path string, text string, is_license boolean")
+    found = {r.path: r.own_license for r in s.license_scan(frame).collect()}
+    assert found == {"a/x.c": "GPL-3.0", "a/y.c": None}
