@@ -25,8 +25,8 @@ from postmill.llm.common import lean, small_batches
 
 #: Bytes of a window; bytes of the shared part of a dictionary and of a class's own part.
 WINDOW, SHARED, OWN = 96, 8192, 4096
-#: The training sample: labelled documents of each class at most, windows of each at most.
-TOXIC_DOCS, ORDINARY_DOCS, WINDOWS = 2000, 4000, 64
+#: The training sample: labelled documents of each class at most, with all their windows.
+TOXIC_DOCS, ORDINARY_DOCS = 2000, 4000
 #: A segment tells classes apart if its likelihood ratio statistic reaches this.
 TELLS = 24.0
 THRESHOLD = 0.3
@@ -61,9 +61,9 @@ class Distance:
     def __init__(self, ordinary: bytes, toxic: bytes):
         self.ordinary, self.toxic = _compressor(ordinary).compress, _compressor(toxic).compress
 
-    def features(self, cut: list[bytes], whole: int | None = None) -> list[float]:
+    def features(self, cut: list[bytes]) -> list[float]:
         found = sorted((len(self.ordinary(w)) - len(self.toxic(w)) for w in cut), reverse=True)[:3]
-        return [*map(float, found), *[0.0] * (3 - len(found)), math.log(whole or len(cut))]
+        return [*map(float, found), *[0.0] * (3 - len(found)), math.log(len(cut))]
 
 
 def _is_copy(cut: list[bytes], seen: set[int]) -> bool:
@@ -169,10 +169,11 @@ def _learnable(doc_id):
 def fit(frame: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> bytes:
     """The model, from a bounded sample of the labelled rows of which crc32(doc_id as text) mod 4 is not 2.
 
-    At most TOXIC_DOCS and ORDINARY_DOCS documents, the least by a hash of doc_id, and
-    of each at most WINDOWS windows reach the driver: 55 MB. A document with several
-    labels is toxic if one says so. Two thirds train the dictionaries, the rest
-    calibrates, weighted to the share of toxic labels among all.
+    At most TOXIC_DOCS and ORDINARY_DOCS documents, the least by a hash of doc_id, are
+    used, with all their windows. A document with several labels is toxic if one says so.
+    Two thirds train the dictionaries, and their windows reach the driver. The rest
+    calibrates, weighted to the share of toxic labels among all; the features are those
+    that toxicity() scores, and only they reach the driver.
     """
     known = labels.groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
     known = known.where(_learnable(F.col("doc_id")))
@@ -187,20 +188,26 @@ def fit(frame: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "
     def cut(batches):
         for batch in batches:
             rows = [windows(x) for x in batch.column(0).to_pylist()]
-            few = [[x[i * len(x) // WINDOWS] for i in range(WINDOWS)] if len(x) > WINDOWS else x for x in rows]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in (1, 2, 3)], pa.array(few, pa.list_(pa.binary())), pa.array([len(x) for x in rows], pa.int64())], names=["d", "y", "k", "cut", "n"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in (1, 2, 3)], pa.array(rows, pa.list_(pa.binary()))], names=["d", "y", "k", "cut"])
 
     joined = frame.select(F.col(text).alias("t"), F.col(doc_id).cast("long").alias("d")).join(chosen, "d").select("t", "d", "y", "k")
-    found = joined.mapInArrow(lean(cut), "d long, y int, k int, cut array<binary>, n long").collect()
-    rows = {}
+    found = joined.where("k % 3 <> 0").mapInArrow(lean(cut), "d long, y int, k int, cut array<binary>").collect()
+    base = {}
     for r in sorted(found, key=lambda r: (r["k"], r["y"], [bytes(w) for w in r["cut"]])):
-        rows.setdefault(r["d"], ([bytes(w) for w in r["cut"]], r["y"], r["k"], r["n"]))
-    base = [x for x in rows.values() if x[2] % 3]
-    contents = train([(x[0], x[1]) for x in base])
-    distance = Distance(*contents)
-    held = [x for x in rows.values() if x[2] % 3 == 0]
-    each = Counter(x[1] for x in held)
-    weights = calibrate([(distance.features(x[0], x[3]), x[1], counts[x[1]] / each[x[1]]) for x in held])
+        base.setdefault(r["d"], ([bytes(w) for w in r["cut"]], r["y"]))
+    contents = train(list(base.values()))
+
+    def measured(batches):
+        distance = Distance(*contents)
+        for batch in batches:
+            rows = [distance.features(windows(x)) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in (1, 2, 3)], pa.array(rows, pa.list_(pa.float64()))], names=["d", "y", "k", "f"])
+
+    held = {}
+    for r in sorted(joined.where("k % 3 = 0").mapInArrow(lean(measured), "d long, y int, k int, f array<double>").collect(), key=lambda r: (r["k"], r["y"], r["f"])):
+        held.setdefault(r["d"], (list(r["f"]), r["y"]))
+    each = Counter(y for _, y in held.values())
+    weights = calibrate([(f, y, counts[y] / each[y]) for f, y in held.values()])
     return pickle.dumps((contents, weights))
 
 

@@ -69,3 +69,14 @@ def test_whole_table(spark, sf_dir):
     found = op10_toxicity(spark, sf_dir)
     assert found.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert found.columns == ["doc_id", "held_out", "score", "predicted"]
+
+
+def test_calibration_sees_all_windows_of_long_texts(spark, rows, monkeypatch):
+    long = [(i, " ".join([x] * 60) if i % 5 == 0 and not y else x, y) for i, x, y in rows]
+    frame = spark.createDataFrame([(i, x) for i, x, _ in long], "doc_id long, text string").repartition(2)
+    seen, plain = [], t.calibrate
+    monkeypatch.setattr(t, "calibrate", lambda found: seen.extend(found) or plain(found))
+    contents, _ = t.pickle.loads(t.fit(frame, spark.createDataFrame([(i, y) for i, _, y in long], "doc_id long, toxic int")))
+    distance = t.Distance(*contents)
+    whole = {tuple(distance.features(t.windows(x))) for _, x, _ in long}
+    assert any(f[3] > 6 for f, _, _ in seen) and {tuple(f) for f, _, _ in seen} <= whole
