@@ -1,11 +1,12 @@
-"""Toxicity by compression distance with two zstandard dictionaries.
-
-Texts are cut into windows of whole words. Each window is compressed with a dictionary
-of ordinary and one of toxic text; a window that the toxic one shortens more is
-suspicious. Both hold the same frequent text, trained on ordinary windows, and the same
-endings; they differ in the segments that tell their class apart. The three largest
-differences of a text and its number of windows are turned into a probability that is
-calibrated on labelled texts which the dictionaries have not seen.
+"""Toxicity by compression distance with zstandard dictionaries of the two classes.
+
+Texts are cut into windows of whole words. One dictionary is trained on windows of toxic
+texts and one, of the same size, on windows of ordinary texts; each is put in front of a
+larger third one, trained on other ordinary windows, that holds what any text has. A
+window is compressed once in either way, and the toxic dictionary shortens it more if it
+holds what toxic texts share. The three largest differences of a text and its number of
+windows are turned into a probability, calibrated on labelled texts that no dictionary
+was trained on.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ from pyspark.sql import functions as F
 
 from postmill.llm.common import lean, small_batches
 
-#: Bytes of a window; bytes of the shared part of a dictionary and of a class's own part.
-WINDOW, SHARED, OWN = 96, 8192, 4096
-#: The training sample: labelled documents of each class at most, with all their windows.
+#: Bytes of a window, of a class's dictionary and of the dictionary of frequent text.
+WINDOW, OWN, FREQUENT = 96, 2048, 200_000
+#: Segment and match lengths by which zstandard chooses a dictionary's content.
+OWN_SEGMENT, FREQUENT_SEGMENT = (8, 6), (50, 8)
+#: Labelled documents of each class that fit() reads at most, with all their windows.
 TOXIC_DOCS, ORDINARY_DOCS = 2000, 4000
-#: A segment tells classes apart if its likelihood ratio statistic reaches this.
-TELLS = 24.0
 THRESHOLD = 0.3
 
 
@@ -48,7 +49,7 @@ def windows(text: str | None) -> list[bytes]:
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     how = zstandard.ZstdCompressionParameters(
-        window_log=15, hash_log=14, chain_log=14, search_log=5, min_match=4, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0
+        window_log=18, hash_log=17, chain_log=17, search_log=6, min_match=4, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0
     )
     held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     held.precompute_compress(compression_params=how)
@@ -58,8 +59,8 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 class Distance:
     """The features of a text: its three largest differences and the logarithm of its windows."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes):
-        self.ordinary, self.toxic = _compressor(ordinary).compress, _compressor(toxic).compress
+    def __init__(self, frequent: bytes, ordinary: bytes, toxic: bytes):
+        self.ordinary, self.toxic = _compressor(ordinary + frequent).compress, _compressor(toxic + frequent).compress
 
     def features(self, cut: list[bytes]) -> list[float]:
         found = sorted((len(self.ordinary(w)) - len(self.toxic(w)) for w in cut), reverse=True)[:3]
@@ -76,73 +77,32 @@ def _is_copy(cut: list[bytes], seen: set[int]) -> bool:
     return False
 
 
-def _segments(cut: list[bytes]) -> set[bytes]:
-    words = {x for w in cut for x in w.split()}
-    return {b" " + x[:k] for x in words for k in range(3, min(len(x), 9) + 1)}
+def _dictionary(size: int, samples: list[bytes], segment: tuple[int, int]) -> bytes:
+    """A dictionary trained on samples; their end where they are too few to train one."""
+    try:
+        k, d = segment
+        return zstandard.train_dictionary(size, samples, k=k, d=d, f=20, split_point=1.0, level=3).as_bytes()[-size:]
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(samples)[-size:]
 
 
-def telling(mine: list[list[bytes]], other: list[list[bytes]]) -> list[bytes]:
-    """Segments that texts of the one class hold and the other's hardly do, strongest first.
+def train(sample: list[tuple[list[bytes], int]]) -> tuple[bytes, bytes, bytes]:
+    """The dictionaries of frequent, ordinary and toxic text, from (windows, toxic) of labelled texts.
 
-    A text stops to count after three of its segments were chosen, so rarer segments
-    show beside frequent ones, and those that only accompany them do not.
+    Near copies of a text train nothing. Ordinary texts, in the order given, train the
+    ordinary dictionary until they have as many windows as the toxic ones (a third of
+    them at most); the others train that of frequent text.
     """
-    if not mine or not other:
-        return []
-    held: Counter = Counter()
-    for cut in mine:
-        held.update(_segments(cut))
-    held = Counter({s: k for s, k in held.items() if k >= 4})
-    rest: Counter = Counter()
-    for cut in other:  # one text's segments at a time
-        rest.update(held.keys() & _segments(cut))
-    n, m, chosen = len(mine), len(other), []
-
-    def strength(segment: bytes) -> float:
-        k, j = held[segment], rest[segment]
-        if k < 4 or k / n < 4 * j / m:
-            return 0.0
-        both = (k + j) / (n + m)
-        return 2 * (k * math.log(k / n / both) + (j * math.log(j / m / both) if j else 0.0))
-
-    open_ = [s for s in held if strength(s) >= TELLS]
-    left = [(set(open_) & _segments(cut), 3) for cut in mine]
-    while open_:
-        best = max(open_, key=lambda s: (strength(s), len(s), s))
-        if strength(best) < TELLS:
-            break
-        chosen.append(best)
-        following = []
-        for s, lives in left:
-            if best in s and lives == 1:
-                held.subtract(s)
-            else:
-                following.append((s, lives - (best in s)))
-        left = following
-        open_ = [s for s in open_ if not s.startswith(best) and not best.startswith(s) and strength(s) >= TELLS]
-    return chosen
-
-
-def train(sample: list[tuple[list[bytes], int]]) -> tuple[bytes, bytes]:
-    """The contents of the ordinary and the toxic dictionary, from (windows, toxic) of labelled texts."""
     seen: set[int] = set()
     texts = [x for x in sample if not _is_copy(x[0], seen)]
-    ordinary = [w for cut, y in texts if not y for w in cut]
-    try:
-        shared = zstandard.train_dictionary(SHARED, ordinary).as_bytes()[-SHARED:]
-    except zstandard.ZstdError:  # too little text
-        shared = b"".join(ordinary)[:SHARED]
-    toxic = telling(*([cut for cut, label in texts if label == y] for y in (1, 0)))
-    forms = Counter(b" " + x for cut, y in texts if y for w in cut for x in w.split() if any((b" " + x).startswith(s) for s in toxic))
-    own = b"".join(reversed(toxic))[-OWN:]
-    for form, _ in forms.most_common():
-        if len(own) + len(form) > OWN:
-            break
-        own = form + own
-    blank = own
-    for s in sorted(toxic, key=len, reverse=True):
-        blank = blank.replace(s[1:], bytes(1 + k % 8 for k in range(len(s) - 1)))
-    return blank + shared, own + shared
+    toxic = [w for cut, y in texts if y for w in cut]
+    ordinary = [cut for cut, y in texts if not y]
+    used, windows_used = 0, 0
+    while used < len(ordinary) // 3 and windows_used < len(toxic):
+        windows_used += len(ordinary[used])
+        used += 1
+    own, rest = ([w for cut in part for w in cut] for part in (ordinary[:used], ordinary[used:]))
+    return _dictionary(FREQUENT, rest, FREQUENT_SEGMENT), _dictionary(OWN, own, OWN_SEGMENT), _dictionary(OWN, toxic, OWN_SEGMENT)
 
 
 def calibrate(rows: list[tuple[list[float], int, float]]) -> list[float]:
@@ -166,32 +126,35 @@ def _learnable(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) != 2
 
 
-def fit(frame: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> bytes:
+def fit(
+    frame: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", toxic_docs: int = TOXIC_DOCS, ordinary_docs: int = ORDINARY_DOCS
+) -> bytes:
     """The model, from a bounded sample of the labelled rows of which crc32(doc_id as text) mod 4 is not 2.
 
-    At most TOXIC_DOCS and ORDINARY_DOCS documents, the least by a hash of doc_id, are
-    used, with all their windows. A document with several labels is toxic if one says so.
-    Two thirds train the dictionaries, and their windows reach the driver. The rest
-    calibrates, weighted to the share of toxic labels among all; the features are those
-    that toxicity() scores, and only they reach the driver.
+    At most toxic_docs and ordinary_docs documents, the least by a hash of doc_id, are
+    used, with all their windows. A document with several labels is toxic if one says
+    so; of rows that agree in doc_id the first text in order counts. Two thirds train
+    the dictionaries, and their windows reach the driver. The rest calibrates, weighted
+    to the share of toxic labels among all; the features are those that toxicity()
+    scores, and only they reach the driver.
     """
-    known = labels.groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
-    known = known.where(_learnable(F.col("doc_id")))
+    known = labels.groupBy(F.col(doc_id).alias("d")).agg(F.max(label).alias("y")).where(F.col("d").isNotNull() & F.col("y").isin(0, 1))
+    known = known.where(_learnable(F.col("d"))).select(F.col("d").cast("string").alias("d"), "y")
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     picked = []
-    for y, most in ((0, ORDINARY_DOCS), (1, TOXIC_DOCS)):
-        rows = known.where(F.col("y") == y).orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), "doc_id").limit(most)
-        picked += [(int(r["doc_id"]), y, k) for k, r in enumerate(rows.collect())]
+    for y, most in ((0, ordinary_docs), (1, toxic_docs)):
+        rows = known.where(F.col("y") == y).orderBy(F.xxhash64("d", F.lit("sample")), "d").limit(most)
+        picked += [(r["d"], y, k) for k, r in enumerate(rows.collect())]
     spark = frame.sparkSession
-    chosen = F.broadcast(spark.createDataFrame(picked, "d long, y int, k int"))
+    chosen = F.broadcast(spark.createDataFrame(picked, "d string, y int, k int"))
 
     def cut(batches):
         for batch in batches:
             rows = [windows(x) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in (1, 2, 3)], pa.array(rows, pa.list_(pa.binary()))], names=["d", "y", "k", "cut"])
 
-    joined = frame.select(F.col(text).alias("t"), F.col(doc_id).cast("long").alias("d")).join(chosen, "d").select("t", "d", "y", "k")
-    found = joined.where("k % 3 <> 0").mapInArrow(lean(cut), "d long, y int, k int, cut array<binary>").collect()
+    joined = frame.select(F.col(text).alias("t"), F.col(doc_id).cast("string").alias("d")).join(chosen, "d").select("t", "d", "y", "k")
+    found = joined.where("k % 3 <> 0").mapInArrow(lean(cut), "d string, y int, k int, cut array<binary>").collect()
     base = {}
     for r in sorted(found, key=lambda r: (r["k"], r["y"], [bytes(w) for w in r["cut"]])):
         base.setdefault(r["d"], ([bytes(w) for w in r["cut"]], r["y"]))
@@ -204,23 +167,28 @@ def fit(frame: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in (1, 2, 3)], pa.array(rows, pa.list_(pa.float64()))], names=["d", "y", "k", "f"])
 
     held = {}
-    for r in sorted(joined.where("k % 3 = 0").mapInArrow(lean(measured), "d long, y int, k int, f array<double>").collect(), key=lambda r: (r["k"], r["y"], r["f"])):
+    for r in sorted(joined.where("k % 3 = 0").mapInArrow(lean(measured), "d string, y int, k int, f array<double>").collect(), key=lambda r: (r["k"], r["y"], r["f"])):
         held.setdefault(r["d"], (list(r["f"]), r["y"]))
     each = Counter(y for _, y in held.values())
     weights = calibrate([(f, y, counts[y] / each[y]) for f, y in held.values()])
     return pickle.dumps((contents, weights))
 
 
-def toxicity(frame: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> DataFrame:
+def toxicity(
+    frame: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", toxic_docs: int = TOXIC_DOCS, ordinary_docs: int = ORDINARY_DOCS
+) -> DataFrame:
     """frame with held_out, score (0 to 1) and predicted (1 if score >= THRESHOLD) added, in place of columns so named.
 
     held_out: crc32(doc_id as text) mod 4 is 2; false for a null doc_id. Scores come
-    from texts alone; null and empty texts are scored as one empty window. Without
-    labels of both classes nothing tells them apart, and scores say how frequent toxic
-    labels are. One narrow pass; a task holds one Arrow batch.
+    from texts alone, all windows of them, however long; null and empty texts are scored
+    as one empty window, and repeated rows each get the same score. Without labels of
+    both classes nothing tells them apart, and scores say how frequent toxic labels are.
+    toxic_docs and ordinary_docs bound the labelled rows that are learned from; see fit.
+    doc_id may have any type that casts to a string. One narrow pass; a task holds one
+    Arrow batch.
     """
     small_batches(frame.sparkSession)
-    model = fit(frame, labels, text, doc_id, label)
+    model = fit(frame, labels, text, doc_id, label, toxic_docs, ordinary_docs)
     added = ("held_out", "score", "predicted")
     rest = [c for c in frame.columns if c not in added]
     packed = frame.select(F.col(text).alias("t"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("r"))

@@ -50,7 +50,7 @@ def test_held_out_labels_are_not_learned(spark, rows):
     assert a == b
 
 
-def test_copies_do_not_make_segments():
+def test_copies_train_nothing():
     cut = t.windows("Several words that only copies hold " * 5)
     seen = set()
     assert not t._is_copy(cut, seen) and t._is_copy(cut, seen)
@@ -65,10 +65,49 @@ def test_nulls_repeats_and_no_labels(spark):
     assert t.toxicity(frame.limit(0), odd).count() == 0
 
 
-def test_whole_table(spark, sf_dir):
-    found = op10_toxicity(spark, sf_dir)
-    assert found.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
-    assert found.columns == ["doc_id", "held_out", "score", "predicted"]
+def test_dictionaries_are_trained_on_the_classes(rows, monkeypatch):
+    calls, plain = [], t.zstandard.train_dictionary
+    monkeypatch.setattr(t.zstandard, "train_dictionary", lambda size, samples, **how: calls.append((size, samples)) or plain(size, samples, **how))
+    sample = [(t.windows(x), y) for _, x, y in rows]
+    frequent, ordinary, toxic = t.train(sample)
+    assert [size for size, _ in calls] == [t.FREQUENT, t.OWN, t.OWN] and len(ordinary) == len(toxic) == t.OWN
+    toxic_windows = {w for cut, y in sample if y for w in cut}
+    assert set(calls[2][1]) <= toxic_windows and not toxic_windows & {*calls[0][1], *calls[1][1]} and not {*calls[0][1]} & {*calls[1][1]}
+    few = t.train([([b" a "], 1), ([b" b "], 0)])
+    assert few == (b" b ", b"", b" a ")
+
+
+def test_whole_table_against_brute_force(spark, sf_dir):
+    found = {r.doc_id: r for r in op10_toxicity(spark, sf_dir).collect()}
+    documents, labels = (spark.read.parquet(f"{sf_dir}/{x}.parquet") for x in ("documents", "labels"))
+    (frequent, ordinary, toxic), weights = t.pickle.loads(t.fit(documents, labels))
+    how = t.zstandard.ZstdCompressionParameters(
+        window_log=18, hash_log=17, chain_log=17, search_log=6, min_match=4, strategy=t.zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0
+    )
+
+    def size(content, window):  # a compressor of its own for each window
+        held = t.zstandard.ZstdCompressionDict(content, dict_type=t.zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(compression_params=how)
+        return len(t.zstandard.ZstdCompressor(dict_data=held, compression_params=how).compress(window))
+
+    rows = documents.collect()
+    assert len(found) == len(rows)
+    for r in rows[::25]:
+        cut = t.windows(r.text)
+        best = [*sorted((size(ordinary + frequent, w) - size(toxic + frequent, w) for w in cut), reverse=True)[:3], 0, 0]
+        z = sum(a * b for a, b in zip([*best[:3], t.math.log(len(cut)), 1.0], weights, strict=True))
+        assert found[r.doc_id].score == pytest.approx(1 / (1 + t.math.exp(-max(-30, min(30, z)))), abs=1e-9)
+        assert found[r.doc_id].predicted == (found[r.doc_id].score >= 0.3)
+
+
+def test_names_and_ids_of_any_kind(spark, rows):
+    ids = [(f"d{i}", x, "mine", 7.0) for i, x, _ in rows[:120]]
+    frame = spark.createDataFrame(ids, "doc_id string, text string, t string, score double")
+    labels = spark.createDataFrame([(f"d{i}", y, 0) for i, _, y in rows[:120]], "doc_id string, toxic int, t int")
+    found = t.toxicity(frame, labels)
+    assert found.columns == ["doc_id", "text", "t", "held_out", "score", "predicted"]
+    assert sorted((r.doc_id, r.text, r.t) for r in found.collect()) == sorted(x[:3] for x in ids)
+    assert t.toxicity(frame, labels, toxic_docs=5, ordinary_docs=5).count() == 120
 
 
 def test_calibration_sees_all_windows_of_long_texts(spark, rows, monkeypatch):
