@@ -152,8 +152,8 @@ ORACLES: dict[str, str] = {
         dw as (select doc_id, unnest(words) as w, unnest(range(len(words))) as p, len(words) as length from doc),
         iw as (
             select item_id, unnest(words) as w, unnest(range(len(words))) as j, len(words) as n, least(len(words), 13) as span,
-                   case when len(words) >= 13 then 11 else len(words) - 1 end as need
-            from item where len(words) >= 8),
+                   case when len(words) >= 13 then 11 when len(words) >= 8 then len(words) - 1 else len(words) end as need
+            from item where len(words) > 0),
         shifted as (
             select doc_id, item_id, p - j as shift, n, length, span, need, list(j) as js
             from dw join iw on dw.w = iw.w group by all having count(*) >= need),

@@ -11,8 +11,8 @@ def plain(docs, items):
     for (i, text), (j, item) in itertools.product(docs, items):
         a, b = (text or "").lower().split(), (item or "").lower().split()
         span = min(len(b), d.SPAN)
-        need = d.NEED if len(b) >= d.SPAN else len(b) - 1
-        if len(b) < d.LEAST or len(a) < span or not set(a) & set(b):
+        need = d.NEED if len(b) >= d.SPAN else len(b) - (len(b) >= d.WHOLE)
+        if not b or len(a) < span or not set(a) & set(b):
             continue
         for shift in range(-len(b), len(a)):
             same = [0 <= k + shift < len(a) and a[k + shift] == b[k] for k in range(len(b))]
@@ -25,7 +25,7 @@ def plain(docs, items):
 
 
 def test_masks_meet_every_tolerated_window():
-    for span, wrong, masks in ((d.SPAN, d.SPAN - d.NEED, d.MASKS), *((n, 1, (d.SHORT,)) for n in range(d.LEAST, d.SPAN))):
+    for span, wrong, masks in ((d.SPAN, d.SPAN - d.NEED, d.MASKS), *((n, 1, (d.SHORT,)) for n in range(d.WHOLE, d.SPAN))):
         for bad in itertools.combinations(range(span), wrong):
             assert any(not {i + o for o in m} & set(bad) for m in masks for i in range(span - m[-1])), (span, bad)
 
@@ -33,7 +33,7 @@ def test_masks_meet_every_tolerated_window():
 def corpus(seed=2):
     dice = random.Random(seed)
     word = lambda: dice.choice("abcdefgh") + str(dice.randint(0, 60))
-    items = [(k, " ".join(word() for _ in range(dice.choice([5, 8, 10, 12, 13, 14, 30, 50])))) for k in range(40)]
+    items = [(k, " ".join(word() for _ in range(dice.choice([2, 5, 7, 8, 10, 12, 13, 14, 27, 50])))) for k in range(40)]
     docs = []
     for i in range(200):
         words = [word() for _ in range(dice.randint(0, 120))]
@@ -49,24 +49,52 @@ def corpus(seed=2):
     return docs, items
 
 
-def test_against_brute_force(spark, monkeypatch):
+def test_against_brute_force(spark):
     docs, items = corpus()
     a = spark.createDataFrame([(*r, "x") for r in docs], "doc_id long, text string, item_id string")
     b = spark.createDataFrame([(*r, "y") for r in items], "item_id long, text string, doc_id string")
     want = plain(docs, items)
     found = {(r.doc_id, r.item_id): r.agreeing for r in d.leaks(a, b).collect()}
     assert found == want and len(want) > 30
-    monkeypatch.setattr(d, "BROADCAST_SEEDS", 0)
-    assert {(r.doc_id, r.item_id): r.agreeing for r in d.leaks(a, b).collect()} == want
+    shuffled = d.leaks(a, b, broadcast_bytes=0)
+    assert {(r.doc_id, r.item_id): r.agreeing for r in shuffled.collect()} == want
     kept = d.decontaminate(a, b)
     assert sorted(r.doc_id for r in kept.collect()) == sorted({i for i, _ in docs} - {i for i, _ in want}) and kept.columns == a.columns
 
 
+def test_short_items_match_whole(spark):
+    a = spark.createDataFrame([(1, "so the seven words stand here as one thing"), (2, "seven words stood here as one thing"), (3, "Seven")], "doc_id long, text string")
+    b = spark.createDataFrame([(7, "Seven words stand here as one thing"), (1, "seven"), (8, "seven words stand here as one other thing")], "item_id long, text string")
+    found = {(r.doc_id, r.item_id, r.item_words, r.agreeing, r.at) for r in d.leaks(a, b).collect()}
+    assert found == {(1, 7, 7, 7, 2), (1, 1, 1, 1, 2), (2, 1, 1, 1, 0), (3, 1, 1, 1, 0)}
+
+
+def test_long_items_are_not_broadcast(spark):
+    dice = random.Random(5)
+    items = [(k, " ".join(f"{dice.randrange(1 << 30):x}" for _ in range(2000))) for k in range(250)]
+    cut = lambda k, at, n: " ".join(items[k][1].split()[at : at + n])
+    docs = [(k, f"some {cut(k, 7 * k, 15)} text") for k in range(250)] + [(900, items[3][1]), (901, "nothing")]
+    a = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    b = spark.createDataFrame(items, "item_id long, text string").repartition(4)
+    found = d.leaks(a, b)
+    plan = found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert "item_look" in plan and "item_hashes" not in plan
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(k, k) for k in range(250)} | {(900, 3)}
+
+
+def test_clashing_names_and_ids_of_any_kind(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    a = spark.createDataFrame([("a", item, 1, 2), ("b", "fine", 3, 4), (None, "", 5, 6)], "doc_id string, text string, leak int, r int")
+    b = spark.createDataFrame([("i", item, 9)], "item_id string, text string, seed int")
+    kept = d.decontaminate(a, b)
+    assert kept.columns == a.columns and sorted(map(tuple, kept.collect()), key=str) == [("b", "fine", 3, 4), (None, "", 5, 6)]
+
+
 def test_nulls_repeats_long_texts_and_empty_tables(spark):
     item = " ".join(f"w{k}" for k in range(20))
     docs = [(None, item), (None, "clean"), (1, None), (1, item), (1, item), (2, ""), (3, "x " * 30000 + item + " y" * 30000)]
     a = spark.createDataFrame(docs, "doc_id long, text string")
-    b = spark.createDataFrame([(7, item), (7, item), (8, None), (None, ""), (9, "the of and")], "item_id long, text string")
+    b = spark.createDataFrame([(7, item), (7, item), (8, None), (None, ""), (9, "the of and"), (10, "clean w1")], "item_id long, text string")
     found = d.leaks(a, b).collect()
     assert sorted((str(r.doc_id), r.item_id, r.item_words, r.agreeing, r.at) for r in found) == [("1", 7, 20, 13, 0), ("3", 7, 20, 13, 30000), ("None", 7, 20, 13, 0)]
     assert d.leaks(a.limit(0), b).count() == 0 and d.leaks(a, b.limit(0)).count() == 0
