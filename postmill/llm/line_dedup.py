@@ -1,17 +1,17 @@
-"""Line dedup by a sharded minimal perfect hash over the hashes of repeated lines.
-
-The 128-bit hashes of lines that enough documents hold are dealt into shards; each shard
-becomes a minimal perfect hash (levels of bits, each key at its first level without a
-collision; the rank of its bit is its number) over arrays of 64-bit fingerprints,
-document counts and keeping documents. Documents probe these arrays, vectorised and
-mapped into memory, in one narrow pass: their lines are never joined or shuffled.
+"""Line dedup by a sharded minimal perfect hash over the hashes of all distinct lines.
+
+The 128-bit hashes of distinct lines are dealt into shards; each shard becomes a minimal
+perfect hash (levels of bits, each key at its first level without a collision; the rank
+of its bit is its number) over arrays of 64-bit fingerprints, document counts and keeping
+documents. Documents probe these arrays: the hashes of their lines, never the lines, are
+sent to where a shard lies, and come back only for lines that go. A shard that many
+lines ask is lent to several tasks, each of which answers a part of them. So no task or
+driver ever holds more than a shard of the index.
 """
 
 from __future__ import annotations
 
-import mmap
 import pickle
-import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +21,14 @@ from pyspark.sql import functions as F
 
 from postmill.llm.common import Scratch, lean, small_batches
 
-#: Keys of a shard, on average, and bytes of a block of shards, which is shipped at once.
-SHARD_KEYS = 50_000
-BLOCK_BYTES = 32 << 20
+#: Lines of a shard on average, and those that one task answers at once.
+SHARD_LINES = 50_000
+#: Bytes of decisions that may be broadcast to the texts; more are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
+#: Shards lent to several tasks whose list may be broadcast (16 bytes each).
+BROADCAST_ROWS = 500_000
 #: Bits of a level for each key that reaches it.
 ROOM = 2
-SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
 
 def key_of(line: str, least: int) -> bytes | None:
@@ -68,41 +70,21 @@ def build(high: np.ndarray, low: np.ndarray, counts: np.ndarray, keepers: np.nda
     return np.array(sizes, np.int64), np.concatenate(words) if words else np.zeros(0, np.uint64), low[order], counts[order], keepers[order]
 
 
-def _mapped(array: np.ndarray) -> np.ndarray:
-    """The array in a file that is mapped and already unlinked."""
-    if not array.nbytes:
-        return array
-    with tempfile.TemporaryFile() as file:
-        array.tofile(file)
-        file.flush()
-        return np.frombuffer(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ), array.dtype)
-
-
-class Block:
-    """Shards first, first + 1, ... as one perfect hash."""
-
-    def __init__(self, first: int, shards: list[tuple]):
-        self.first, self.size = first, len(shards)
-        self.levels = max((len(s[0]) for s in shards), default=0)
-        self.sizes = np.zeros((self.levels, self.size), np.int64)
-        for k, s in enumerate(shards):
-            self.sizes[: len(s[0]), k] = s[0]
-        ends = np.cumsum([64 * len(s[1]) for s in shards])
-        base = ends - [64 * len(s[1]) for s in shards]
-        self.starts = base + np.cumsum(self.sizes, axis=0) - self.sizes
-        words = np.concatenate([s[1] for s in shards])
-        self.ranks = _mapped(np.cumsum(np.bitwise_count(words), dtype=np.int64) - np.bitwise_count(words))
-        self.words = _mapped(words)
-        self.prints, self.counts, self.keepers = (_mapped(np.concatenate([s[i] for s in shards])) for i in (2, 3, 4))
-
-    def probe(self, high: np.ndarray, low: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys, of shards of this block, are held, and their numbers."""
+class Shard:
+    """One perfect hash and its arrays."""
+
+    def __init__(self, made: tuple):
+        sizes, self.words, self.prints, self.counts, self.keepers = made
+        self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
+        ones = np.bitwise_count(self.words).astype(np.int64)
+        self.ranks = np.cumsum(ones) - ones
+
+    def probe(self, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are held, and their numbers."""
         number = np.full(len(high), -1, np.int64)
-        left, shard = np.arange(len(high)), shard - self.first
-        for level in range(self.levels):
-            size = self.sizes[level][shard[left]]
-            left, size = left[size > 0], size[size > 0]
-            at = (_level(high[left], low[left], level) % size.astype(np.uint64)).astype(np.int64) + self.starts[level][shard[left]]
+        left = np.arange(len(high))
+        for level, (size, start) in enumerate(zip(self.sizes.tolist(), self.starts.tolist(), strict=True)):
+            at = (_level(high[left], low[left], level) % np.uint64(size)).astype(np.int64) + start
             word, bit = self.words[at >> 6], (at & 63).astype(np.uint64)
             hit = (word >> bit) & np.uint64(1) == 1
             below = np.bitwise_count(word[hit] & ((np.uint64(1) << bit[hit]) - np.uint64(1)))
@@ -113,58 +95,24 @@ class Block:
         return held, number
 
 
-class Index:
-    def __init__(self, total: int, blocks: list[Block]):
-        self.total, self.blocks = total, blocks
-
-    def keepers(self, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys are repeated lines, and the doc_id that keeps each."""
-        held, keeper = np.zeros(len(high), bool), np.zeros(len(high), np.int64)
-        if not len(high) or not self.blocks:
-            return held, keeper
-        shard = (high % np.uint64(self.total)).astype(np.int64)
-        for block in self.blocks:
-            mine = np.flatnonzero((shard >= block.first) & (shard < block.first + block.size))
-            hit, number = block.probe(high[mine], low[mine], shard[mine])
-            held[mine[hit]] = True
-            keeper[mine[hit]] = block.keepers[number[hit]]
-        return held, keeper
-
-
-#: The index that this Python worker has mapped, by the name of its build.
-_loaded: dict[str, Index] = {}
-
-
-def _index(name: str, total: int, shipped: list) -> Index:
-    if name not in _loaded:
-        _loaded.clear()
-        blocks = []
-        for part in shipped:
-            first, blobs = part.value
-            blocks.append(Block(first, [pickle.loads(x) for x in blobs]))
-            part.__dict__.pop("_value", None)  # the mapped arrays take its place
-        _loaded[name] = Index(total, blocks)
-    return _loaded[name]
-
-
-def repeated_lines(frame: DataFrame, text: str, doc_id: str, least: int, holders: int) -> DataFrame:
-    """(high, low, n_docs, keeper) of keys of at least least code points in at least holders documents."""
+def line_hashes(frame: DataFrame, text: str, doc_id: str, least: int) -> DataFrame:
+    """(high, low, doc_id, th, k) of each line, the k-th of its text, whose key has least code points at least."""
 
     def run(batches):
         for batch in batches:
-            keys, ids = [], []
-            for body, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = {k for line in set((body or "").split("\n")) if (k := key_of(line, least))}
-                keys += own
-                ids += [i] * len(own)
+            keys, row, place = [], [], []
+            for d, body in enumerate(batch.column(0).to_pylist()):
+                for k, line in enumerate((body or "").split("\n")):
+                    if key := key_of(line, least):
+                        keys.append(key)
+                        row.append(d)
+                        place.append(k)
             high, low = digests(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(ids, pa.int64())], names=["high", "low", "doc_id"])
+            rows = pa.array(row, pa.int64())
+            columns = [pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), batch.column(1).take(rows), batch.column(2).take(rows), pa.array(place, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["high", "low", "doc_id", "th", "k"])
 
-    lines = frame.select(F.col(text), F.col(doc_id).cast("long")).mapInArrow(lean(run), "high long, low long, doc_id long")
-    # a document in several rows is one document; both steps combine before they shuffle
-    once = lines.groupBy("high", "low", "doc_id").agg(F.count("*").alias("rows"))
-    found = once.groupBy("high", "low").agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper"))
-    return found.where(F.col("n_docs") >= holders)
+    return frame.select(F.col(text), F.col(doc_id).cast("long"), F.xxhash64(F.col(text))).mapInArrow(lean(run), "high long, low long, doc_id long, th long, k int")
 
 
 def line_dedup(frame: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = 40, holders: int = 5) -> DataFrame:
@@ -175,59 +123,64 @@ def line_dedup(frame: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
     except in the largest doc_id holding them. Null and empty texts are one empty line
     and stay as an empty text. Rows of one doc_id are one document and keep or lose
     their lines alike; rows with a null doc_id never keep and do not count as holders.
+    doc_id is a whole number, or what casts to one. Texts of any length are read whole.
     """
     spark = frame.sparkSession
-    small_batches(frame.sparkSession)
+    small_batches(spark)
     scratch = Scratch(spark)
-    keys = scratch.write(repeated_lines(frame, text, doc_id, least, holders), "lines")
-    n = keys.count()
-    total = max(1, -(-n // SHARD_KEYS))
-
-    def shard_of(high):
-        return F.when(high >= 0, high % total).otherwise(F.pmod(F.pmod(high, F.lit(total)) + F.lit((1 << 64) % total), F.lit(total)))
-
-    def shard(table):
+    lines = scratch.write(line_hashes(frame, text, doc_id, least), "lines")
+    total = max(1, -(-lines.count() // SHARD_LINES))
+    high = F.col("high")
+    shard_of = F.when(high >= 0, high % total).otherwise(F.pmod(F.pmod(high, F.lit(total)) + F.lit((1 << 64) % total), F.lit(total)))
+    lines = lines.withColumn("shard", shard_of)
+    # shards that get far more lines than others, and the tasks that each is lent to
+    hot = scratch.write(lines.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > 2 * SHARD_LINES).select("shard", F.ceil(F.col("n") / SHARD_LINES).alias("lent")), "hot")
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
+
+    def made(table):
         columns = {c: table.column(c).to_numpy() for c in ("high", "low", "n_docs", "keeper")}
-        made = build(columns["high"].view(np.uint64), columns["low"].view(np.uint64), np.minimum(columns["n_docs"], 2**32 - 1).astype(np.uint32), columns["keeper"])
-        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int64()), "blob": pa.array([pickle.dumps(made)], pa.binary())})
-
-    shards = keys.withColumn("shard", shard_of(F.col("high"))).groupBy("shard").applyInArrow(shard, "shard long, blob binary")
-    shards = scratch.write(shards, "shards")
-    step = max(1, int(BLOCK_BYTES // (28 * SHARD_KEYS)))
-    empty = pickle.dumps(build(*(np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint32, np.int64))))
-    shipped = []
-    for first in range(0, total if n else 0, step):  # a block of bounded size at a time
-        found = dict(map(tuple, shards.where(F.col("shard").between(first, first + step - 1)).collect()))
-        blobs = [bytes(found.get(k, empty)) for k in range(first, min(total, first + step))]
-        shipped.append(spark.sparkContext.broadcast((first, blobs)))
-    name = scratch.root
+        shard = build(columns["high"].view(np.uint64), columns["low"].view(np.uint64), np.minimum(columns["n_docs"], 2**32 - 1).astype(np.uint32), columns["keeper"])
+        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int64()), "blob": pa.array([pickle.dumps(shard)], pa.binary())})
+
+    # a document in several rows is one document; both steps combine before they shuffle
+    once = lines.groupBy("shard", "high", "low", "doc_id").agg(F.count("*").alias("rows"))
+    keys = once.groupBy("shard", "high", "low").agg(F.count("doc_id").alias("n_docs"), F.coalesce(F.max("doc_id"), F.lit(0).cast("long")).alias("keeper"))
+    shards = scratch.write(keys.groupBy("shard").applyInArrow(made, "shard long, blob binary"), "shards")
+
+    def answered(asked: pa.Table, index: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return asked.select(["doc_id", "th", "k"])
+        shard = Shard(pickle.loads(index["blob"][0].as_py()))
+        held, number = shard.probe(*(asked[c].to_numpy().view(np.uint64) for c in ("high", "low")))
+        own = asked["doc_id"].is_null().to_numpy(zero_copy_only=False), asked["doc_id"].fill_null(0).to_numpy()
+        many, keeper = np.zeros(len(held), bool), np.zeros(len(held), np.int64)
+        many[held] = shard.counts[number[held]] >= holders
+        keeper[held] = shard.keepers[number[held]]
+        return asked.select(["doc_id", "th", "k"]).filter(pa.array(many & (own[0] | (own[1] != keeper))))
+
+    lent = F.coalesce("lent", F.lit(1))
+    asked = lines.join(hot, "shard", "left").withColumn("part", F.pmod(F.xxhash64("doc_id", "th", "k"), lent)).select("shard", "part", "high", "low", "doc_id", "th", "k")
+    index = shards.join(hot, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), lent - 1)).alias("part"), "blob")
+    gone = asked.groupBy("shard", "part").cogroup(index.groupBy("shard", "part")).applyInArrow(answered, "doc_id long, th long, k int")
+    gone = scratch.write(gone.groupBy("doc_id", "th").agg(F.collect_set("k").alias("ks")), "gone")  # a text's lines at most
+    size = gone.agg(F.sum(F.size("ks") * 4 + 64)).first()[0] or 0
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th"), "ks")
+    gone = F.broadcast(gone) if size <= BROADCAST_BYTES else gone
     added = ("n_lines", "n_dropped")
     rest = [c for c in frame.columns if c not in (*added, text)]
-    packed = frame.select(F.col(text).alias("t"), F.col(doc_id).cast("long").alias("i"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("r"))
+    packed = frame.select(F.col(text).alias("t"), F.col(doc_id).cast("long").alias("i"), F.xxhash64(F.col(text)).alias("th"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("r"))
+    packed = packed.join(gone, F.col("i").eqNullSafe(F.col("gone_id")) & (F.col("th") == F.col("gone_th")), "left").select("t", "ks", "r")
     schema = packed.select("r", "t").schema.add("n_lines", "long").add("n_dropped", "long")
 
     def run(batches):
-        index = _index(name, total, shipped)
         for batch in batches:
-            split = [(x or "").split("\n") for x in batch.column(0).to_pylist()]
-            ids = batch.column(1).to_pylist()
-            keys, where = [], []
-            for d, lines in enumerate(split):
-                for k, line in enumerate(lines):
-                    if key := key_of(line, least):
-                        keys.append(key)
-                        where.append((d, k))
-            held, keeper = index.keepers(*digests(keys))
-            dropped: dict[int, set] = {}
-            for j in np.flatnonzero(held).tolist():
-                d, k = where[j]
-                if ids[d] != keeper[j]:
-                    dropped.setdefault(d, set()).add(k)
-            kept = ["\n".join([x for k, x in enumerate(lines) if k not in dropped[d]] if d in dropped else lines) for d, lines in enumerate(split)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(2), pa.array(kept, pa.string()), pa.array([len(x) for x in split], pa.int64()), pa.array([len(dropped.get(d, ())) for d in range(len(split))], pa.int64())],
-                names=["r", "t", "n_lines", "n_dropped"],
-            )
+            texts, n_lines, n_dropped = [], [], []
+            for body, ks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                body, out = body or "", set(ks or ())
+                texts.append("\n".join([x for k, x in enumerate(body.split("\n")) if k not in out]) if out else body)
+                n_lines.append(body.count("\n") + 1)
+                n_dropped.append(len(out))
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=["r", "t", *added])
 
     done = packed.mapInArrow(lean(run), schema)
     columns = [F.col("t").alias(c) if c == text else F.col(f"r.`{c}`").alias(c) for c in frame.columns if c not in added]
