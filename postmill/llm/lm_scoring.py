@@ -1,17 +1,20 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
-The tree's root holds the words' frequencies. Every context (the one or two words before)
-of the training texts is a candidate, and it is retained, with the contexts it ends on,
-if its next-word distribution diverges enough from that of the next shorter context. A
-distribution lists all next words seen in that context; what it does not list is left to
-the shorter context, so all distributions are smoothed down to the root and sum to one.
-A token is scored in the longest retained context that it follows.
-
-The tree grows with the training texts and is never gathered. Tokens, each with the two
+The tree's root holds the words' frequencies. Every context of the training texts, the
+one to DEPTH words before a token, is a candidate, and it is retained if its next-word
+distribution diverges enough from that of the next shorter context. A distribution
+lists all next words seen in that context; what it does not list is left to the shorter
+context, so all distributions are smoothed down to the root and sum to one. A token is
+scored in the longest retained context that it follows.
+
+The tree grows with the training texts and is never gathered. Tokens, each with the
 words before it, are dealt into shards by the word before; so a shard holds all that
-follows that word, builds that part of the tree, scores the tokens and returns sums by
-text. Words are written as short codes, frequent ones by a broadcast table; counts of
-rarer words reach the shards by joins.
+follows that word, builds that part of the tree and scores the tokens. A context that
+more tokens follow than a shard should hold is hot: its counts are aggregated beside the
+shards, its tokens are dealt by one word more (by the document, at full depth), and each
+shard asks for the counts that it needs. Words are written as short codes, frequent ones
+by a broadcast table; counts of rarer words are asked for likewise. Scores return to the
+block of texts that they came from, packed.
 """
 
 from __future__ import annotations
@@ -22,14 +25,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from postmill.llm.common import Scratch, lean, small_batches
-from postmill.llm.ngram_join import STEP, word_hashes
+from postmill.llm.ngram_join import _BASE, STEP, _mix, word_hashes
 
-#: Shares of the training tokens that a context and a listed next word must make up: none, so that nothing is cut.
-PMIN, QMIN = 0.0, 0.0
+#: Words of the longest context.
+DEPTH = 3
 #: Nats a token by which a retained context diverges.
 DIVERGENCE = 0.01
 #: Hash of the end of a text, which is a token.
@@ -37,8 +42,10 @@ END = np.uint64(0x5851F42D4C957F2D)
 ADDED = 0.1
 #: Words that may have a code in the broadcast table (those that make up 1 / COMMON of the tokens); results do not depend on it.
 COMMON = 1 << 24
-#: Tokens of a shard on average, and those that a task deals at once.
+#: Tokens of a shard on average, and those that a task deals at once. A context is hot from twice a shard's tokens on.
 SHARD_TOKENS, BLOCK_TOKENS = 1_000_000, 1_000_000
+#: Scores travel in units of 1 / UNIT.
+UNIT = float(1 << 28)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -76,125 +83,182 @@ def _find(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
 
 
 class Codes:
-    """Codes 1, 2, ... of common words, the most frequent first; hashes in order, with their codes, and counts by code."""
+    """Codes 1, 2, ... of common words, the most frequent first; hashes in order, with their codes, and counts and hashes by code."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
         by_count = np.lexsort((hashes, -counts))
         self.counts = np.concatenate([[0], counts[by_count]])
+        self.words = np.concatenate([np.zeros(1, np.uint64), hashes[by_count]])
         code = np.empty(len(hashes), np.int64)
         code[by_count] = np.arange(1, len(hashes) + 1)
         order = np.argsort(hashes)
         self.hashes, self.codes = hashes[order], code[order].astype(np.int32)
 
 
-def _packed(columns: list[np.ndarray]) -> bytes:
-    planes = b"".join(x.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in columns)
-    return zstandard.ZstdCompressor(level=1).compress(planes)
+def _planes(x: np.ndarray) -> bytes:
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
 
 
-def _unpacked(data: bytes) -> list[np.ndarray]:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, 4, -1)
-    return [np.ascontiguousarray(x.T).view("<i4").ravel().astype(np.int64) for x in planes]
+def _unplaned(data: memoryview, kind: str, n: int) -> tuple[np.ndarray, memoryview]:
+    size = np.dtype(kind).itemsize
+    found = np.frombuffer(data, np.uint8, n * size).reshape(size, n)
+    return np.ascontiguousarray(found.T).view(kind).ravel(), data[n * size :]
 
 
-def _shard(hashes: np.ndarray, into: np.ndarray, shards: int) -> np.ndarray:
-    """Shards of tokens by the word before, or by themselves where into, the place in the text, is 0."""
-    key = np.where(into >= 1, np.roll(hashes, 1), hashes)
-    key = (key ^ (key >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return ((key >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+def pack(columns: list[np.ndarray], kinds: str) -> bytes:
+    """Columns (of lengths of their own) as byte planes, compressed; kinds: i for 32 bits, q for 64, d for doubles."""
+    lengths = np.array([len(x) for x in columns], "<i8").tobytes()
+    planes = b"".join(_planes(np.ascontiguousarray(x.astype({"i": "<i4", "q": "<i8", "d": "<f8"}[k]))) for x, k in zip(columns, kinds, strict=True))
+    return zstandard.ZstdCompressor(level=1).compress(lengths + planes)
+
+
+def unpack(data: bytes, kinds: str) -> list[np.ndarray]:
+    rest = memoryview(zstandard.ZstdDecompressor().decompress(data))
+    lengths, rest, out = np.frombuffer(rest, "<i8", len(kinds)).tolist(), rest[8 * len(kinds) :], []
+    for n, k in zip(lengths, kinds, strict=True):
+        found, rest = _unplaned(rest, {"i": "<i4", "q": "<i8", "d": "<f8"}[k], n)
+        out.append(found.astype(np.int64) if k == "i" else found)
+    return out
+
+
+def longer(gram: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a run of words, known by gram, with word in front of it."""
+    return _mix(gram * _BASE + word)
+
+
+def grams(hashes: np.ndarray, most: int) -> list[np.ndarray]:
+    """The hashes of the runs of 1, ..., most words that end at each token (only those within a text mean anything)."""
+    out = [hashes]
+    for k in range(1, most):
+        out.append(longer(out[-1], np.roll(hashes, k)))
+    return out
+
+
+def _places(firsts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The text of each token and its place in it."""
+    rows = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, n)))
+    return rows, np.arange(n) - firsts[rows]
 
 
-def deal(hashes: np.ndarray, firsts: np.ndarray, ids: np.ndarray, learned: np.ndarray, codes: Codes, shards: int) -> pa.RecordBatch:
-    """Tokens of some texts (ids, learned) dealt by the word before, or by themselves at the head of a text.
+def shards_of(hashes: np.ndarray, into: np.ndarray, salt: np.ndarray, hot: list[np.ndarray], shards: int) -> np.ndarray:
+    """Shards of tokens: by the word before, or by itself at the head of a text, or by more words while these are hot.
 
-    data: codes of the second last word (0: none), the last word (0: none) and the token,
-    and the place of its text in ids. Words without a code have one after those, by their
-    place in rare.
+    hot: hashes in order of the hot contexts of 1, 2, ... words; salt: a number of the
+    token's document, which decides where no more words are left.
     """
-    n, most = len(hashes), len(codes.counts)
+    ends = grams(hashes, max(1, len(hot)))
+    key = np.where(into >= 1, np.roll(hashes, 1), hashes)
+    open_ = into >= 1
+    for k, contexts in enumerate(hot, 1):
+        context = np.roll(ends[k - 1], 1)
+        open_ = open_ & (into >= k) & (_find(contexts, context) >= 0)
+        if not open_.any():
+            break
+        more = open_ & (into > k) if k < len(hot) else np.zeros(len(hashes), bool)
+        key = np.where(open_, np.where(more, np.roll(ends[k], 1) if k < len(hot) else key, longer(context, salt)), key)
+    return ((_mix(key) >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+
+
+def deal(block: int, hashes: np.ndarray, firsts: np.ndarray, salt: np.ndarray, learned: np.ndarray, codes: Codes, hot: list[np.ndarray], shards: int) -> list[tuple]:
+    """(shard, block, data, rare) of the tokens of a block of texts.
+
+    data: codes of the words before, the last one first (0: none), and of the token, and
+    twice the text's place in the block, plus 1 if it is learned from. Words without a
+    code have one after those, by their place in rare.
+    """
+    n, most, depth = len(hashes), len(codes.counts), len(hot)
     at = _find(codes.hashes, hashes)
     word = np.empty(n, np.int64)
     word[at >= 0] = codes.codes[at[at >= 0]]
     unknown, place = np.unique(hashes[at < 0], return_inverse=True)
     word[at < 0] = most + place
-    rows = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, n)))
-    into = np.arange(n) - firsts[rows]
-    last = np.where(into >= 1, np.roll(word, 1), 0)
-    second = np.where(into >= 2, np.roll(word, 2), 0)
-    shard = _shard(hashes, into, shards)
+    rows, into = _places(firsts, n)
+    columns = [np.where(into >= k, np.roll(word, k), 0) for k in range(1, depth + 1)] + [word]
+    texts = 2 * rows + learned[rows]
+    shard = shards_of(hashes, into, salt[rows], hot, shards)
     order = np.argsort(shard, kind="stable")
     bounds = np.searchsorted(shard[order], np.arange(shards + 1))
     out = []
     for s in np.flatnonzero(np.diff(bounds)):
         take = order[bounds[s] : bounds[s + 1]]
-        three, mine = [x[take] for x in (second, last, word)], rows[take]
-        rare = np.unique(np.concatenate([x[x >= most] for x in three]))
-        three = [np.where(x >= most, most + np.searchsorted(rare, x), x) for x in three]
-        texts = mine[np.concatenate([[True], mine[1:] != mine[:-1]])]
-        out.append((s, _packed([*three, np.searchsorted(texts, mine)]), ids[texts], learned[texts], unknown[rare - most].view(np.int64)))
-    kinds = [pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["s", "data", "ids", "learned", "rare"])
+        mine = [x[take] for x in columns]
+        rare = np.unique(np.concatenate([x[x >= most] for x in mine]))
+        mine = [np.where(x >= most, most + np.searchsorted(rare, x), x) for x in mine]
+        text = texts[take]
+        out.append((int(s), block, pack([*mine, np.diff(text, prepend=0)], "i" * (depth + 2)), unknown[rare - most].view(np.int64)))
+    return out
 
 
-def _level(own: np.ndarray, n: np.ndarray, counts: np.ndarray, shorter: np.ndarray, least: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(listed counts, left, all, kept) of contexts of counts, of which own are followed n times by words of probability shorter.
+class Hot:
+    """What is known of the hot contexts of one length: hashes in order, tokens that follow, distinct ones, and whether it is retained."""
 
-    least: the counts from which a context is a candidate and a next word is listed.
-    """
-    size = len(counts)
-    use = (n >= least[1]) & (counts[own] >= least[0])
-    mine, found, p = own[use], n[use], shorter[use]
-    mass, listed = np.bincount(mine, found, size), np.bincount(mine, minlength=size)
-    some = np.maximum(counts, 1)
-    here = found / counts[mine]
-    gain = np.bincount(mine, here * np.log(here / p), size).astype(float)  # of nothing it is of integers
-    rest, rest_shorter = 1 - mass / some, 1 - np.bincount(mine, p, size)
-    both = (rest > 1e-9) & (rest_shorter > 1e-9)
-    gain[both] += rest[both] * np.log(rest[both] / rest_shorter[both])
-    kept = (counts >= least[0]) & (gain - listed / (2 * some) >= DIVERGENCE)
-    return np.where(use, n, 0), counts - mass + listed + 1, counts + listed + 1, kept
-
-
-def score_shard(second: np.ndarray, last: np.ndarray, word: np.ndarray, learned: np.ndarray, root: np.ndarray, least: tuple[float, float]) -> np.ndarray:
-    """The probability of each token; the arrays hold all tokens that follow the words of last, learned those that count."""
-    width = len(root)
-    pairs, pair = np.unique(last * width + word, return_inverse=True)
-    n = np.bincount(pair, learned, len(pairs))
-    lasts, own = np.unique(pairs // width, return_inverse=True)
-    counts = np.where(lasts > 0, np.bincount(own, n, len(lasts)), 0)
-    base = root[pairs % width]
-    listed, left, total, kept = _level(own, n, counts, base, least)
-    longer = (listed + left[own] * base) / total[own]
-    p_all = np.where(counts[own] >= least[0], longer, base)
-    deep = np.flatnonzero(second > 0)
-    contexts, context = np.unique(last[deep] * width + second[deep], return_inverse=True)
-    triples, triple = np.unique(context * len(pairs) + pair[deep], return_inverse=True)
-    n3, own3, pair3 = np.bincount(triple, learned[deep], len(triples)), triples // len(pairs), triples % len(pairs)
-    counts3 = np.bincount(own3, n3, len(contexts))
-    listed3, left3, total3, kept3 = _level(own3, n3, counts3, p_all[pair3], least)
-    kept[np.searchsorted(lasts, contexts[kept3] // width)] = True  # what a retained context ends on is retained
-    p = np.where(kept[own], p_all, base)
-    out = p[pair]
-    p3 = np.where(kept3[own3], (listed3 + left3[own3] * p[pair3]) / total3[own3], p[pair3])
-    out[deep] = p3[triple]
-    return out
+    def __init__(self, contexts=(), sizes=(), listed=(), kept=()):
+        contexts = np.array(contexts, np.int64).view(np.uint64)
+        order = np.argsort(contexts)
+        self.contexts = contexts[order]
+        self.sizes, self.listed, self.kept = np.array(sizes, float)[order], np.array(listed, float)[order], np.array(kept, bool)[order]
 
 
-def lm_scores(frame: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def score_shard(before: list[np.ndarray], word: np.ndarray, learned: np.ndarray, root: np.ndarray, hashes: np.ndarray, hot: list[Hot], asked: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The probability of each token.
+
+    before: codes of the words before, the last one first, 0 where there is none. Unless
+    hot, a context has all its tokens here; learned are those that count. asked: hashes
+    in order of runs of words, and their counts, for what follows hot contexts. root and
+    hashes: by code.
+    """
+    width, group = len(root), np.zeros(len(word), np.int64)
+    every = root[word]  # by the whole context so far, retained or not
+    score = every.copy()
+    context, run = None, hashes[word]
+    for k, code in enumerate(before, 1):
+        deep = np.flatnonzero(code > 0)
+        if not len(deep):
+            break
+        context = hashes[code] if k == 1 else longer(context, hashes[code])
+        run = longer(run, hashes[code])
+        _, first, own = np.unique(group[deep] * width + code[deep], return_index=True, return_inverse=True)
+        pairs, one, pair = np.unique(own * width + word[deep], return_index=True, return_inverse=True)
+        mine = pairs // width
+        n = np.bincount(pair, learned[deep], len(pairs))
+        known = _find(hot[k - 1].contexts, context[deep[first]])
+        if (known >= 0).any():
+            outside = np.flatnonzero(known[mine] >= 0)
+            at = _find(asked[0], run[deep[one[outside]]])
+            n[outside] = np.where(at >= 0, asked[1][at] if len(asked[1]) else 0, 0)
+        size, listed = np.bincount(mine, n, len(first)), np.bincount(mine[n > 0], minlength=len(first)).astype(float)
+        seen = np.flatnonzero(n > 0)
+        share = n[seen] / size[mine[seen]]
+        shorter = every[deep[one]]
+        gain = np.bincount(mine[seen], share * np.log(share / shorter[seen]), len(first)).astype(float)
+        kept = (size > 0) & (gain - listed / (2 * np.maximum(size, 1)) >= DIVERGENCE)
+        there = known >= 0
+        size[there], listed[there], kept[there] = hot[k - 1].sizes[known[there]], hot[k - 1].listed[known[there]], hot[k - 1].kept[known[there]]
+        below, total = (listed + 1)[mine], (size + listed + 1)[mine]
+        best = score[deep[one]]
+        every[deep] = ((n + below * shorter) / total)[pair]
+        score[deep] = np.where(kept[mine], (n + below * best) / total, best)[pair]
+        group[deep] = own
+    return score
+
+
+def lm_scores(frame: DataFrame, text: str = "text", doc_id: str = "doc_id", depth: int = DEPTH) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of frame.
 
     Tokens are the runs of other than white space, A-Z lower-cased, and one end a text.
     The model learns from rows of which crc32(doc_id as text) mod 10 is not 0 (a null
     doc_id counts as not 0). base_score: the sum over tokens of
-    log10((c + 0.1) / (N + 0.1 (V + 1))); score: that of the suffix tree's probabilities.
-    Null and empty texts are their end alone. Rows of one doc_id are texts of their own.
-    Without training rows every token has the probability 1 / (V + 1) = 1.
+    log10((c + 0.1) / (N + 0.1 (V + 1))); score: that of the suffix tree's probabilities,
+    with contexts of up to depth words. Null and empty texts are their end alone. Rows of
+    one doc_id, repeated rows too, are texts of their own; ids may have any type. Texts
+    of any length are scored whole. Without training rows every token has the
+    probability 1 / (V + 1) = 1.
     """
     small_batches(frame.sparkSession)
     scratch, context = Scratch(frame.sparkSession), frame.sparkSession.sparkContext
     given = F.col(doc_id)
-    key = F.xxhash64(given.cast("string"), F.col(text), given.isNull(), F.col(text).isNull())
-    base = frame.select(F.col(text).alias("text"), given.alias("doc_id"), key.alias("d"), (~held_out(given)).alias("learned"))
+    base = frame.select(F.col(text).alias("text"), given.alias("doc_id"), (~held_out(given)).alias("learned"), F.xxhash64(given).alias("salt"))
+    learned_texts = base.where("learned").select("text")
 
     def words(batches):
         for batch in batches:
@@ -202,72 +266,148 @@ def lm_scores(frame: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
                 keys, counts = np.unique(hashes, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["h", "n"])
 
-    table = scratch.write(base.where("learned").select("text").mapInArrow(lean(words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
+    table = scratch.write(learned_texts.mapInArrow(lean(words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
     tokens, vocabulary = map(int, table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first())
     often = table.where(F.col("n") * COMMON >= tokens).toPandas()  # COMMON at most
     shipped = context.broadcast(Codes(often["h"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)))
-    shards, least = max(1, math.ceil(tokens / SHARD_TOKENS)), (max(1, PMIN * tokens), max(1, QMIN * tokens))
+    shards, limit = max(1, math.ceil(tokens / SHARD_TOKENS)), 2 * SHARD_TOKENS
+
+    # hot contexts, length by length: at most tokens / limit of a length
+    contexts = [r["h"] for r in table.where(F.col("n") > limit).select("h").collect()]
+    shorter = table.select("h", ((F.col("n") + ADDED) / (tokens + ADDED * (vocabulary + 1))).alias("p"))
+    hot, counted = [], table.where(F.col("n") * COMMON < tokens)
+    for k in range(1, depth + 1):
+        if not contexts:
+            hot.append(Hot())
+            continue
+        here = np.sort(np.array(contexts, np.int64).view(np.uint64))
+
+        def following(batches, k=k, here=here):
+            for batch in batches:
+                for hashes, firsts in token_hashes(batch.column(0)):
+                    ends = grams(hashes, k + 1)
+                    _, into = _places(firsts, len(hashes))
+                    before = np.roll(ends[k - 1], 1)
+                    take = np.flatnonzero((into >= k) & (_find(here, before) >= 0))
+                    _, first, counts = np.unique(ends[k][take], return_index=True, return_counts=True)
+                    take = take[first]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x[take].view(np.int64)) for x in (ends[k], before, ends[k - 1])), pa.array(counts.astype(np.int64))], names=["h", "context", "up", "n"])
+
+        runs = learned_texts.mapInArrow(lean(following), "h long, context long, up long, n long").groupBy("h", "context", "up").agg(F.sum("n").alias("n"))
+        runs = runs.join(shorter.select(F.col("h").alias("up"), F.col("p").alias("below")), "up")
+        runs = scratch.write(runs.select("h", "context", "n", "below"), f"hot-{k}")
+        stats = runs.groupBy("context").agg(F.sum("n").alias("size"), F.count("*").alias("listed"), F.sum(F.col("n") * F.log(F.col("n") / F.col("below"))).alias("x"))
+        found = stats.collect()
+        gains = [r["x"] / r["size"] - math.log(r["size"]) - r["listed"] / (2 * r["size"]) for r in found]
+        hot.append(Hot(*[[r[c] for r in found] for c in ("context", "size", "listed")], [g >= DIVERGENCE for g in gains]))
+        counted = counted.union(runs.select("h", "n"))
+        p = (F.col("n") + (F.col("listed") + 1) * F.col("below")) / (F.col("size") + F.col("listed") + 1)
+        shorter = runs.join(stats.select("context", "size", "listed"), "context").select("h", p.alias("p"))
+        contexts = [r["h"] for r in runs.where(F.col("n") > limit).select("h").collect()]
+    known = context.broadcast(hot)
+    kind = frame.schema[doc_id].dataType
 
     def dealt(batches):
-        codes, held, size = shipped.value, [], 0
+        codes, lists = shipped.value, [x.contexts for x in known.value]
+        count, held, size = 0, [], 0
+
+        def block():
+            hashes, firsts, ids, learned, salt = zip(*held, strict=True)
+            hashes, firsts, learned, salt = map(np.concatenate, (hashes, firsts, learned, salt))
+            ids = pa.concat_arrays(ids)
+            name = ((TaskContext.get().partitionId() if TaskContext.get() else 0) << 32) + count
+            rows, _ = _places(firsts, len(hashes))
+            at = _find(codes.hashes, hashes)
+            n = np.where(at >= 0, codes.counts[codes.codes[at]] if len(codes.codes) else 0, 0)
+            mine = np.where(n > 0, np.log10((n + ADDED) / (tokens + ADDED * (vocabulary + 1))), 0.0)
+            home = pack([np.bincount(rows, minlength=len(ids)), np.bincount(rows, n > 0, len(ids)), np.bincount(rows, mine, len(ids))], "iid")
+            made = [(-1 - name % shards, name, home, None, ids), *((*x, None) for x in deal(name, hashes, firsts, salt, learned, codes, lists, shards))]
+            columns = [pa.array([r[c] for r in made], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))]
+            lists_of_ids = pa.ListArray.from_arrays(pa.array([0] + [len(ids)] * len(made), pa.int32()), ids)
+            return pa.RecordBatch.from_arrays([*columns, lists_of_ids], names=["s", "block", "data", "rare", "ids"])
+
         for batch in batches:
-            ids, learned, begin = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False), 0
+            learned, salt, begin = batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy().view(np.uint64), 0
             for hashes, firsts in token_hashes(batch.column(0)):
                 rows = slice(begin, begin + len(firsts))
-                held.append((hashes, firsts + size, ids[rows], learned[rows]))
+                held.append((hashes, firsts + size, batch.column(1).slice(begin, len(firsts)), learned[rows], salt[rows]))
                 begin, size = begin + len(firsts), size + len(hashes)
                 if size >= BLOCK_TOKENS:
-                    yield deal(*map(np.concatenate, zip(*held, strict=True)), codes, shards)
-                    held, size = [], 0
+                    yield block()
+                    count, held, size = count + 1, [], 0
         if held:
-            yield deal(*map(np.concatenate, zip(*held, strict=True)), codes, shards)
+            yield block()
+
+    def asking(batches):
+        codes, lists = shipped.value, [x.contexts for x in known.value]
+        for batch in batches:
+            salt, begin = batch.column(1).to_numpy().view(np.uint64), 0
+            for hashes, firsts in token_hashes(batch.column(0)):
+                rows, into = _places(firsts, len(hashes))
+                shard = shards_of(hashes, into, salt[begin + rows], lists, shards)
+                begin += len(firsts)
+                rare = _find(codes.hashes, hashes) < 0
+                asked, at, ends = [hashes[rare]], [shard[rare]], grams(hashes, depth + 1)
+                for k, here in enumerate(lists, 1):
+                    if len(here):
+                        take = (into >= k) & (_find(here, np.roll(ends[k - 1], 1)) >= 0)
+                        asked.append(ends[k][take])
+                        at.append(shard[take])
+                found, at = np.concatenate(asked), np.concatenate(at)
+                order = np.lexsort((found, at))
+                found, at = found[order], at[order]
+                new = np.ones(len(found), bool)
+                new[1:] = (found[1:] != found[:-1]) | (at[1:] != at[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(at[new]), pa.array(found[new].view(np.int64))], names=["shard", "h"])
 
     def scored(part: pa.Table, counts: pa.Table) -> pa.Table:
+        if not part.num_rows or part["s"][0].as_py() < 0:
+            return part.select(["block", "data", "ids"])
         codes = shipped.value
-        most, threes, ids, learned = len(codes.counts), [], [], []
+        most, columns, texts, ends = len(codes.counts), [], [], [0]
         rare = np.unique(np.concatenate([np.zeros(0, np.int64), *(x.values.to_numpy() for x in part["rare"])]))
-        texts = 0
-        for data, mine, known, few in zip(part["data"], part["ids"], part["learned"], part["rare"], strict=True):
-            *three, text = _unpacked(data.as_py())
+        for data, few in zip(part["data"], part["rare"], strict=True):
+            *mine, text = unpack(data.as_py(), "i" * (depth + 2))
             code = np.concatenate([np.arange(most), most + np.searchsorted(rare, few.values.to_numpy())])
-            threes.append([*(code[x] for x in three), text + texts])
-            ids.append(mine.values.to_numpy())
-            learned.append(known.values.to_numpy(zero_copy_only=False))
-            texts += len(ids[-1])
-        second, last, word, text = (np.concatenate(x) for x in zip(*threes, strict=True))
-        del threes
-        n = np.concatenate([codes.counts, np.zeros(len(rare), np.int64)])
-        n[most + np.searchsorted(rare, counts["h"].to_numpy())] = counts["n"].to_numpy()
+            columns.append([code[x] for x in mine])
+            texts.append(np.cumsum(text))
+            ends.append(ends[-1] + len(text))
+        *before, word = (np.concatenate(x) for x in zip(*columns, strict=True))
+        del columns
+        asked = counts["h"].to_numpy().view(np.uint64), counts["n"].to_numpy()
+        order = np.argsort(asked[0])
+        asked = asked[0][order], asked[1][order]
+        at = _find(asked[0], rare.view(np.uint64))
+        n = np.concatenate([codes.counts, np.where(at >= 0, asked[1][at] if len(order) else 0, 0)])
         root = (n + ADDED) / (tokens + ADDED * (vocabulary + 1))
-        p = score_shard(second, last, word, np.concatenate(learned)[text].astype(float), root, least)
-        ids, place = np.unique(np.concatenate(ids), return_inverse=True)
-        text = place[text]
-        whole = [np.bincount(text, x, len(ids)).astype(np.int32) for x in (None, n[word] > 0)]
-        sums = [np.bincount(text, np.log10(x), len(ids)) for x in (root[word], p)]
-        return pa.table([pa.array(x) for x in (ids, *whole, *sums)], names=["d", "n_tokens", "n_known", "base_score", "score"])
-
-    def rare_words(batches):
-        codes = shipped.value
-        for batch in batches:
-            for hashes, firsts in token_hashes(batch.column(0)):
-                into = np.arange(len(hashes)) - np.repeat(firsts, np.diff(np.append(firsts, len(hashes))))
-                rare = _find(codes.hashes, hashes) < 0
-                found, shard = hashes[rare], _shard(hashes, into, shards)[rare]
-                order = np.lexsort((found, shard))
-                found, shard = found[order], shard[order]
-                new = np.ones(len(found), bool)
-                new[1:] = (found[1:] != found[:-1]) | (shard[1:] != shard[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(shard[new].astype(np.int32)), pa.array(found[new].view(np.int64))], names=["shard", "h"])
-
-    parts = base.select("text", "d", "learned").mapInArrow(lean(dealt), "s int, data binary, ids array<long>, learned array<boolean>, rare array<long>")
-    asked = base.select("text").mapInArrow(lean(rare_words), "shard int, h long").join(table.where(F.col("n") * COMMON < tokens), "h").select("shard", "h", "n")
-    sums = parts.groupBy("s").cogroup(asked.groupBy("shard")).applyInArrow(scored, "d long, n_tokens int, n_known int, base_score double, score double")
-    measures = ["n_tokens", "n_known", "base_score", "score"]
-    sums = sums.groupBy("d").agg(*[F.sum(x).alias(x) for x in measures])
-    # rows that agree in doc_id and text were summed together
-    done = base.select("doc_id", "d").join(sums, "d").withColumn("rows", F.count("*").over(Window.partitionBy("d")))
-    mean = {x: F.col(x) / F.col("rows") for x in measures}
-    return done.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), mean["n_tokens"].cast("long").alias("n_tokens"), mean["n_known"].cast("long").alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"), mean["base_score"].alias("base_score"), mean["score"].alias("score"),
-    )
+        learned = np.concatenate([x & 1 for x in texts]).astype(float)
+        p = np.log10(score_shard(before, word, learned, root, np.concatenate([codes.words, rare.view(np.uint64)]), known.value, asked))
+        out = []
+        for a, b, text in zip(ends[:-1], ends[1:], texts, strict=True):
+            place, row = np.unique(text >> 1, return_inverse=True)
+            odd = word[a:b] >= most  # words that had no code at home
+            seldom, back = np.unique(text[odd] >> 1, return_inverse=True)
+            of = word[a:b][odd]
+            score = np.rint(np.bincount(row, p[a:b], len(place)) * UNIT)
+            out.append(pack([np.diff(place, prepend=0), score, seldom, np.bincount(back, n[of] > 0, len(seldom)), np.bincount(back, np.log10(root[of]), len(seldom))], "iqiid"))
+        return pa.table([part["block"], pa.array(out, pa.binary()), pa.nulls(len(out), part["ids"].type)], names=["block", "data", "ids"])
+
+    def summed(part: pa.Table) -> pa.Table:
+        ids = part["ids"].combine_chunks()
+        home = next(k for k in range(part.num_rows) if ids[k].is_valid)
+        n_tokens, n_known, base_score = unpack(part["data"][home].as_py(), "iid")
+        score = np.zeros(len(n_tokens))
+        for k in range(part.num_rows):
+            if k != home:
+                place, mine, seldom, seen, more = unpack(part["data"][k].as_py(), "iqiid")
+                score[np.cumsum(place)] += mine / UNIT
+                n_known[seldom] += seen
+                base_score[seldom] += more
+        return pa.table([ids[home].values, *(pa.array(x) for x in (n_tokens, n_known, base_score, score))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    ids = StructField("ids", ArrayType(kind))
+    parts = base.select("text", "doc_id", "learned", "salt").mapInArrow(lean(dealt), StructType.fromDDL("s long, block long, data binary, rare array<long>").add(ids))
+    asked = base.select("text", "salt").mapInArrow(lean(asking), "shard long, h long").join(counted.select("h", "n"), "h").select("shard", "h", "n")
+    scores = parts.groupBy("s").cogroup(asked.groupBy("shard")).applyInArrow(scored, StructType.fromDDL("block long, data binary").add(ids))
+    done = scores.groupBy("block").applyInArrow(summed, StructType([StructField("doc_id", kind), *StructType.fromDDL("n_tokens long, n_known long, base_score double, score double")]))
+    return done.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
