@@ -3,7 +3,9 @@
 1. Each text becomes the set of its word five-grams, a 128-bit digest of the set, MinHash
    minima, band hashes and a sketch (one byte a minimum). Texts with one set are one node.
 2. Nodes are shuffled on their band hashes. In a bucket, sketches decide which nodes may
-   be alike, and a spanning forest of those pairs leaves it, never all pairs.
+   be alike, and a spanning forest of those pairs leaves it, never all pairs. In a large
+   bucket all nodes are first compared with one of them, its leader, without a shuffle of
+   the bucket; only those unlike the leader are compared with the others.
 3. The forests' components are sent their full sets once, and every pair in a component
    is verified on the full sets. The Jaccard distance is a metric, so distances to one
    leader settle most pairs; only the others are intersected. Links are counted there,
@@ -30,12 +32,12 @@ from postmill.llm.common import SPACES, Scratch, components, lean, small_batches
 
 #: Words of a shingle, the similarity that links, and the recall that banding must reach there.
 WORDS, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.998, 6
-#: Nodes of a block of a bucket, and nodes and shingles of a block of a component.
-BUCKET_BLOCK, BLOCK_NODES, BLOCK_SHINGLES = 4096, 1024, 2_000_000
+#: Buckets of more nodes get a leader; nodes of a block of these, and nodes and shingles of a block of a component.
+LEADER_FROM, BUCKET_BLOCK, BLOCK_NODES, BLOCK_SHINGLES = 128, 1024, 512, 2_000_000
 #: Standard errors below the similarity at which sketches give a pair up.
 ERRORS = 5.0
-#: Nodes whose ids may be broadcast (16 bytes each, and overhead); more are joined by a shuffle.
-BROADCAST_IDS = 500_000
+#: Nodes whose ids may be broadcast (16 bytes each, and overhead), and leaders (200 bytes each); more are joined by a shuffle.
+BROADCAST_IDS, BROADCAST_LEADERS = 500_000, 100_000
 #: Bytes of text that one vectorised step takes in, unless one text is longer.
 STEP = 1 << 20
 
@@ -183,7 +185,8 @@ def signatures(frame: DataFrame, minhash: MinHash) -> DataFrame:
             if keep:
                 yield packed()
 
-    return frame.select("text", "doc_id", "th").mapInArrow(lean(run), "doc_id long, th long, node binary, n long, sketch binary, bands array<long>")
+    kind = frame.schema["doc_id"].dataType.simpleString()
+    return frame.select("text", "doc_id", "th").mapInArrow(lean(run), f"doc_id {kind}, th long, node binary, n long, sketch binary, bands array<long>")
 
 
 def _groups(batches, n_keys: int):
@@ -221,22 +224,27 @@ class _Forest:
         self.up[max(a, b)] = min(a, b)
 
 
-def alike(sketches: np.ndarray, sizes: np.ndarray, least: float, similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs whose sketches agree in a share of least and whose sizes allow the similarity."""
-    forest, made, n = _Forest(len(sizes)), [], len(sizes)
-    for i in range(n):
-        other = np.arange(i + 1, n)
-        if made:  # pairs that are connected already add nothing
-            mine = forest.root(i)
-            other = other[[forest.root(j) != mine for j in other.tolist()]] if len(other) else other
-        if not len(other):
-            continue
+def alike(sketches: np.ndarray, sizes: np.ndarray, least: float, similarity: float, joined: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose sketches agree in a share of least and whose sizes allow the similarity.
+
+    joined: nodes that are connected already, behind all others; no pair of theirs is made.
+    """
+    n, made = len(sizes), []
+    label = np.arange(n)
+    last = n - 1
+    if joined is not None and joined.any():
+        last = n - int(joined.sum())
+        label[joined] = last
+    for i in range(last):
+        other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1  # pairs that are connected already add nothing
         fits = np.minimum(sizes[other], sizes[i]) >= similarity * np.maximum(sizes[other], sizes[i]) - 1e-9
         other = other[fits]
-        share = (sketches[other] == sketches[i]).mean(axis=1) if len(other) else np.zeros(0)
+        if not len(other):
+            continue
+        share = (sketches[other] == sketches[i]).mean(axis=1)
         for j in other[share >= least].tolist():
-            if forest.root(i) != forest.root(j):
-                forest.join(i, j)
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
                 made.append((i, j))
     return made
 
@@ -250,30 +258,68 @@ def _blocks(rows: DataFrame, key: str, blocks) -> DataFrame:
 
 
 def candidates(nodes: DataFrame, scratch: Scratch, similarity: float, n_minima: int) -> DataFrame:
-    """Edges (a, b) between nodes that share a band and may be alike: a spanning forest of each bucket."""
+    """Edges (a, b) between nodes that share a band and may be alike: what connects each bucket's alike nodes."""
     least = similarity - ERRORS * math.sqrt(similarity * (1 - similarity) / n_minima)
     spread = nodes.select("node", F.explode("bands").alias("band"))
-    shared = spread.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
-    members = spread.join(shared, "band").join(nodes.select("node", "n", "sketch"), "node")
-    dealt = _blocks(members, "band", F.ceil(F.col("m") / BUCKET_BLOCK))
-    dealt = dealt.select("band", "i", "j", "node", "n", "sketch", "block").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    shared = scratch.write(spread.groupBy("band").agg(F.count("*").alias("m"), F.min("node").alias("leader")).where("m > 1"), "buckets")
+    drawn = nodes.select("node", "n", "sketch")
 
-    def run(batches):
-        a, b = [], []
+    def edges(pairs) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    def matrix(column) -> np.ndarray:
+        rows = column.to_pylist()
+        return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+
+    def forest(batches):
+        # groups (band, i, j) of (node, n, sketch, near), those alike to the leader behind the others
+        made = []
         for group in _groups(batches, 3):
             if group.num_rows < 2:
                 continue
-            names = group.column(3).to_pylist()
-            sketches = np.frombuffer(b"".join(group.column(5).to_pylist()), np.uint8).reshape(len(names), -1)
-            for i, j in alike(sketches, group.column(4).to_numpy(), least, similarity):
-                a.append(names[i])
-                b.append(names[j])
-            if len(a) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    return dealt.mapInArrow(lean(run), "a binary, b binary").distinct()
+            names, near = group.column(3).to_pylist(), group.column(6).to_numpy()
+            pairs = alike(matrix(group.column(5)), group.column(4).to_numpy(), least, similarity, near)
+            made += [(names[i], names[j]) for i, j in pairs]
+            if len(made) > 10_000:
+                yield edges(made)
+                made = []
+        yield edges(made)
+
+    def compared(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes, other = batch.column(2).to_numpy(), batch.column(5).to_numpy()
+            near = (np.minimum(sizes, other) >= similarity * np.maximum(sizes, other) - 1e-9) & ((matrix(batch.column(3)) == matrix(batch.column(6))).mean(axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), pa.array(near)], names=["band", "node", "leader", "near"])
+
+    order = ["band", "i", "j"]
+    small = spread.join(shared.where(F.col("m") <= LEADER_FROM).select("band"), "band").join(drawn, "node")
+    small = small.select("band", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "n", "sketch", F.lit(False).alias("near"))
+    found = small.repartition(*order).sortWithinPartitions(*order).mapInArrow(lean(forest), "a binary, b binary")
+    large = shared.where(F.col("m") > LEADER_FROM)
+    n_large = large.count()
+    if n_large:
+        leaders = large.join(drawn, large["leader"] == drawn["node"]).select("band", "leader", F.col("n").alias("leader_n"), F.col("sketch").alias("leader_sketch"))
+        leaders = F.broadcast(leaders) if n_large <= BROADCAST_LEADERS else leaders
+        members = nodes.select("node", "n", "sketch", F.explode("bands").alias("band")).join(leaders, "band")
+        members = members.select("band", "node", "n", "sketch", "leader", "leader_n", "leader_sketch").mapInArrow(lean(compared), "band long, node binary, leader binary, near boolean")
+        members = scratch.write(members, "compared")
+        found = found.union(members.where("near and node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")))
+        apart = members.groupBy("band").agg(F.count_if(~F.col("near")).alias("r"), F.count("*").alias("m")).where("r > 0")
+        # blocks of those unlike the leader meet each other and the blocks of those like it
+        rest, like = F.ceil(F.col("r") / BUCKET_BLOCK).cast("int"), F.ceil((F.col("m") - F.col("r")) / BUCKET_BLOCK).cast("int")
+        own = F.pmod(F.xxhash64("node"), F.when(F.col("near"), F.col("like")).otherwise(F.col("rest"))).cast("int")
+        dealt = members.join(apart.select("band", rest.alias("rest"), like.alias("like")), "band").withColumn("own", own)
+        others = F.sequence(F.lit(0), F.when(F.col("near"), F.col("rest")).otherwise(F.col("rest") + F.col("like")) - 1)
+        dealt = dealt.withColumn("other", F.explode(others))
+        # i: a block of the rest; j: one of the rest from i on, or rest + a block of the others
+        i = F.when(F.col("near") | (F.col("other") >= F.col("rest")), F.when(F.col("near"), F.col("other")).otherwise(F.col("own"))).otherwise(F.least("own", "other"))
+        j = F.when(F.col("near"), F.col("rest") + F.col("own")).when(F.col("other") >= F.col("rest"), F.col("other")).otherwise(F.greatest("own", "other"))
+        dealt = dealt.select("band", i.alias("i"), j.alias("j"), "node", "near").join(drawn, "node").select("band", "i", "j", "node", "n", "sketch", "near")
+        dealt = dealt.repartition(*order).sortWithinPartitions(*order, "near")
+        found = found.union(dealt.mapInArrow(lean(forest), "a binary, b binary"))
+    return found.distinct()
 
 
 def verify(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, cross: bool, similarity: Fraction) -> tuple[np.ndarray, list[int]]:
@@ -337,12 +383,13 @@ def ngram_classes(frame: DataFrame, text: str = "text", doc_id: str = "doc_id",
     similarity alike at least, copies included. class_id: the least doc_id of the rows
     that links connect (null if all are null). Null texts and texts without words have
     no links and are a class each, with a null class_node. Rows of one doc_id are
-    documents of their own. th: xxhash64 of the text.
+    documents of their own; ids may have any type with an order. Texts of any length are
+    compared whole. th: xxhash64 of the text.
     """
     scratch = scratch or Scratch(frame.sparkSession)
     small_batches(frame.sparkSession)
     minhash = MinHash(bands(similarity, recall))
-    base = frame.select(F.col(text).alias("text"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("th"))
+    base = frame.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"))
     rows = scratch.write(signatures(base, minhash), "signatures")
     full = rows.where(F.col("node").isNotNull())
     nodes = full.groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.first("n").alias("n"))
@@ -400,20 +447,21 @@ def ngram_join(frame: DataFrame, text: str = "text", doc_id: str = "doc_id", sim
 
 
 def one_of_each(frame: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """frame with one row of each class: one of the least doc_id; rows without words all stay."""
+    """frame with one row of each class: one of the least doc_id; rows without words all stay. Columns may have any names."""
     scratch = Scratch(frame.sparkSession)
     classes = scratch.write(ngram_classes(frame, text, doc_id, similarity, recall, scratch), "result")
     full = classes.where(F.col("class_node").isNotNull())
-    first = full.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_node").agg(F.min("doc_id").alias("_d"), F.min("th").alias("_th"))
-    stays = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_th"))
+    first = full.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_node").agg(F.min("doc_id").alias("d"), F.min("th").alias("least_th"))
+    stays = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("least_th"))
     # those that go are fewer than those that stay
-    gone = full.join(first, "class_node").where(~stays).select(F.col("doc_id").alias("_d"), F.col("th").alias("_th")).distinct()
+    gone = full.join(first, "class_node").where(~stays).select(F.col("doc_id").alias("d"), F.col("th").alias("gone_th")).distinct()
     gone = scratch.write(gone, "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    agree = F.col(doc_id).cast("long").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_th"))
-    kept = frame.withColumn("_h", F.xxhash64(F.col(text))).join(gone, agree, "left_anti")
+    packed = frame.select(F.struct(*[F.col(f"`{c}`") for c in frame.columns]).alias("r"))
+    packed = packed.select("r", F.col(f"r.`{doc_id}`").alias("i"), F.xxhash64(F.col(f"r.`{text}`")).alias("h"))
+    kept = packed.join(gone, F.col("i").eqNullSafe(F.col("d")) & (F.col("h") == F.col("gone_th")), "left_anti")
     repeated = full.groupBy("doc_id", "th").agg(F.count("*").alias("k")).where("k > 1")
     if not repeated.isEmpty():  # rows that agree in doc_id and text: one of them
-        blank = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(SPACES)) == ""
-        kept = kept.where(~blank).dropDuplicates([doc_id, "_h"]).unionByName(kept.where(blank))
-    return kept.drop("_h")
+        blank = F.btrim(F.coalesce(F.col(f"r.`{text}`"), F.lit("")), F.lit(SPACES)) == ""
+        kept = kept.where(~blank).dropDuplicates(["i", "h"]).unionByName(kept.where(blank))
+    return kept.select("r.*")

@@ -89,7 +89,9 @@ def test_verify_against_all_pairs(cross):
 def test_against_brute_force(spark, monkeypatch, block):
     """Whole, and with buckets and components cut into many blocks and texts fetched by a shuffle."""
     if block:
-        monkeypatch.setattr(g, "BUCKET_BLOCK", block)
+        monkeypatch.setattr(g, "BUCKET_BLOCK", block // 4)
+        monkeypatch.setattr(g, "LEADER_FROM", 2)
+        monkeypatch.setattr(g, "BROADCAST_LEADERS", block // 16)
         monkeypatch.setattr(g, "BLOCK_NODES", block)
         monkeypatch.setattr(g, "BROADCAST_IDS", 1)
     rows = near_copies(seed=4) + [(1000 + i, "just four words here") for i in range(5)] + [(2000, None), (2001, ""), (2002, " \n"), (3, "three"), (None, "just four words here"), (None, None), (2003, "y" * 30000)]
@@ -106,3 +108,36 @@ def test_one_of_each(spark):
     assert sorted(r.doc_id for r in kept if grams(r.text)) == want
     assert len([r for r in kept if not grams(r.text)]) == 3 and len(classes) == len(rows)
     assert g.one_of_each(frame.limit(0)).count() == 0 and g.ngram_join(frame.limit(0)).count() == 0
+
+
+def test_a_leader_leaves_no_alike_pair_apart(spark, monkeypatch):
+    """Two groups in every bucket: one like the leader, one not, and both are whole."""
+    dice = np.random.default_rng(3)
+    base = dice.integers(0, 256, (2, 126), dtype=np.uint8)
+    rows = []
+    for i in range(60):
+        sketch = base[i % 2].copy()
+        sketch[dice.integers(0, 126, 6)] = 255 - base[i % 2][0]
+        rows.append((b"%03d" % i, 100, sketch.tobytes(), [1, 2 + i % 3]))
+    nodes = spark.createDataFrame([(bytearray(a), n, bytearray(k), b) for a, n, k, b in rows], "node binary, n long, sketch binary, bands array<long>")
+    monkeypatch.setattr(g, "LEADER_FROM", 5)
+    monkeypatch.setattr(g, "BUCKET_BLOCK", 7)
+    scratch = g.Scratch(spark)
+    found = g.components(scratch, scratch.write(g.candidates(nodes, scratch, 0.8, 126), "edges")).collect()
+    assert len(found) == 60 and len({bytes(r.root) for r in found}) == 2
+    assert all(int(bytes(r.node)) % 2 == int(bytes(r.root)) % 2 for r in found)
+
+
+def test_alike_starts_from_what_is_joined():
+    same = np.zeros((6, 126), np.uint8)
+    assert g.alike(same, np.full(6, 9), 0.7, 0.8, np.array([0, 0, 0, 1, 1, 1], bool)) == [(0, 1), (0, 2), (0, 3)]
+    assert g.alike(same, np.full(6, 9), 0.7, 0.8, np.ones(6, bool)) == []
+
+
+def test_clashing_names_and_ids_of_any_kind(spark):
+    text = "a text of some more words than five"
+    rows = [("b", text, 1, 2, 3, 4, 5), ("a", text, 6, 7, 8, 9, 10), ("c", "another text", 11, 12, 13, 14, 15), (None, "", 1, 1, 1, 1, 1)]
+    frame = spark.createDataFrame(rows, "doc_id string, text string, d int, th int, h int, r int, i int")
+    kept = g.one_of_each(frame)
+    assert kept.columns == frame.columns and sorted(map(tuple, kept.collect()), key=str) == sorted(rows[1:], key=str)
+    assert sorted(map(tuple, g.ngram_join(frame).collect()), key=str) == [("a", "a", 1), ("b", "a", 1), ("c", "c", 0), (None, None, 0)]
