@@ -69,33 +69,36 @@ def quality_rules(frame: DataFrame, text: str = "text") -> DataFrame:
     of WINDOW words found twice or more. n_lines and n_removed: lines with words, and
     those that fail; n_lost: the characters of these. kept: not base_failed, and n_lost
     is at most LOSS of 100 characters of the lines with words. clean_text: the other
-    lines, blank ones too. Null texts count as empty. One narrow pass.
+    lines, blank ones too. Null texts count as empty; repeated rows each get the same
+    verdict; texts of any length are judged whole; columns may have any names. One
+    narrow pass.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_removed", "n_lost", "clean_text"]
     rest = [c for c in frame.columns if c not in added]
     body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.split(F.col("_body"), "\n", -1)
-    cut = frame.select(*[F.col(f"`{c}`") for c in rest], body.alias("_body"), words(F.col(text)).alias("_words"))
+    lines = F.split(F.col("body"), "\n", -1)
+    # foreign columns ride along in one struct, so their names cannot clash
+    cut = frame.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("r"), body.alias("body"), words(F.col(text)).alias("words"))
 
     def has_word(line):
         return F.btrim(line, F.lit(SPACES)) != F.lit("")
 
-    cut = cut.withColumn("_lines", F.filter(lines, has_word))
-    cut = cut.withColumn("_stay", F.filter("_lines", lambda line: ~line_fails(line)))
+    cut = cut.withColumn("lines", F.filter(lines, has_word))
+    cut = cut.withColumn("stay", F.filter("lines", lambda line: ~line_fails(line)))
     counted = cut.select(
-        *[F.col(f"`{c}`") for c in rest],
-        F.size("_words").cast("long").alias("n_words"),
-        F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        _count_symbols(F.col("_body")).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeat_words(F.col("_words")).cast("long").alias("n_repeat_words"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size("_stay")).cast("long").alias("n_removed"),
-        F.char_length(F.array_join("_lines", "")).cast("long").alias("_chars"),
-        F.char_length(F.array_join("_stay", "")).cast("long").alias("_left"),
+        "r",
+        F.size("words").cast("long").alias("n_words"),
+        F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        _count_symbols(F.col("body")).cast("long").alias("n_symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        repeat_words(F.col("words")).cast("long").alias("n_repeat_words"),
+        F.size("lines").cast("long").alias("n_lines"),
+        (F.size("lines") - F.size("stay")).cast("long").alias("n_removed"),
+        F.char_length(F.array_join("lines", "")).cast("long").alias("chars"),
+        F.char_length(F.array_join("stay", "")).cast("long").alias("left"),
         F.array_join(F.filter(lines, lambda line: ~has_word(line) | ~line_fails(line)), "\n").alias("clean_text"),
     )
     failed = (F.col("n_words") < FEWEST) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEATED)
-    judged = counted.withColumn("n_lost", F.col("_chars") - F.col("_left")).withColumn("base_failed", failed)
-    judged = judged.withColumn("kept", ~F.col("base_failed") & (F.col("n_lost") * 100 <= F.col("_chars") * LOSS))
-    return judged.select(*[F.col(f"`{c}`") for c in rest], *added)
+    judged = counted.withColumn("n_lost", F.col("chars") - F.col("left")).withColumn("base_failed", failed)
+    judged = judged.withColumn("kept", ~F.col("base_failed") & (F.col("n_lost") * 100 <= F.col("chars") * LOSS))
+    return judged.select(*[F.col(f"r.`{c}`").alias(c) for c in rest], *added)

@@ -63,3 +63,10 @@ def test_whole_table(spark, sf_dir):
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = op3_quality_rules(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_clashing_names(spark):
+    names = ["body", "words", "lines", "stay", "chars", "left", "r", "_body", "_words"]
+    frame = spark.createDataFrame([(1, "A line that ends.", *range(9))], ["doc_id", "text", *names])
+    row = q.quality_rules(frame).first()
+    assert [row[n] for n in names] == list(range(9)) and row.n_words == 4 and row.text == "A line that ends."
