@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from postmill.llm.registry import op7_token_counts
-from postmill.llm.token_counts import JsonCounter, PieceCounter, token_counts
+from postmill.llm.token_counts import JsonCounter, PieceCounter, plain_normalizer, token_counts
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 ODD = ["", " ", "\n", "\n\n x", "  a  b ", "a\n", "a \n b", "a▁b ▁", "▁\n", "<s> </s> <unk>", "é ñ ｆ ½ \x00 \r\n\tx", "x" * 5000, "the " * 3000, " \n \n", "日本 語\n 日本"]
@@ -23,6 +23,15 @@ def test_the_shortcut_is_in_use(pieces):
     assert pieces[0].cuts and len(pieces[0].single) > 10_000
 
 
+def test_the_normalizer_is_read_from_the_model():
+    spec = lambda **fields: b"\x1a" + bytes([sum(map(len, fields.values()))]) + b"".join(fields.values())
+    plain = dict(name=b"\x0a\x01x", front=b"\x18\x01", runs=b"\x20\x00", marks=b"\x28\x01")
+    assert plain_normalizer(b"\x0a\x02ab" + spec(**plain)) and plain_normalizer(spec(runs=b"\x20\x00"))
+    for changed in (dict(map=b"\x12\x02ab"), dict(front=b"\x18\x00"), dict(runs=b"\x20\x01"), dict(marks=b"\x28\x00"), dict(rules=b"\x32\x01a")):
+        assert not plain_normalizer(spec(**(plain | changed)))
+    assert not plain_normalizer(b"")
+
+
 def test_pieces_agree_with_the_library_on_odd_texts(pieces):
     assert pieces[0].count(ODD) == [len(x) for x in pieces[1].encode(ODD)]
 
