@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 
 from postmill.llm.common import SPACES, Scratch, lean, small_batches
 
-#: Documents that one group of the tree takes in, on average; residuals likewise.
-GROUP = 50_000
+#: Documents that one group of the tree takes in, on average; residuals of a source that may meet in one.
+GROUP, MEET = 50_000, 1_000_000
 #: Rows of the mix that may be broadcast to its texts (60 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Sources that may be ranked by one task and broadcast to their documents (100 bytes each); beyond, a document's source is
+#: looked up by a shuffle, salted so that a hot source is dealt over SALTS groups.
+BROADCAST_SOURCES, SALTS = 100_000, 32
 #: No source's target is above so many times its size.
 MOST = 3
 
@@ -32,6 +35,21 @@ def size_of(text: Column) -> Column:
     ).cast("long")
 
 
+def ranked(sources: DataFrame, count: int, scratch: Scratch) -> DataFrame:
+    """sources (source, source_size; count rows) with place, counting from 0 in the order of code points, null last."""
+    order = F.col("source").asc_nulls_last()
+    if count <= BROADCAST_SOURCES:
+        return sources.withColumn("place", F.row_number().over(Window.orderBy(order)) - 1)
+    ranged = scratch.write(sources.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "ranged")
+    before, offsets = 0, []
+    for r in ranged.groupBy("part").count().orderBy("part").collect():  # a row a partition
+        offsets.append((r["part"], before))
+        before += r["count"]
+    offsets = sources.sparkSession.createDataFrame(offsets, "part int, before long")
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return ranged.withColumn("nth", nth).join(F.broadcast(offsets), "part").select("source", "source_size", (F.col("before") + F.col("nth")).alias("place"))
+
+
 def targets(sizes: DataFrame, scratch: Scratch, weights=(1, 2, 3), most: int = MOST) -> DataFrame:
     """(source, source_size, target) of each source of sizes (source, size).
 
@@ -40,10 +58,10 @@ def targets(sizes: DataFrame, scratch: Scratch, weights=(1, 2, 3), most: int = M
     by weight again until none is above. The table has one row a source; it stays a
     DataFrame, and only sums reach the driver.
     """
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
-    table = scratch.write(totals.select("source", "source_size", weight.alias("weight")), "sources")
+    totals = scratch.write(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "totals")
+    places = ranked(totals, totals.count(), scratch)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    table = scratch.write(places.select("source", "source_size", weight.alias("weight")), "sources")
     share = 0.0
     while True:  # each round stops at least one more source, or ends
         full = F.col("weight") * share > most * F.col("source_size")
@@ -101,17 +119,20 @@ def _settle(rows, seed: int, level: int):
 def pivotal(frame: DataFrame, scratch: Scratch, seed: int = 1, group: int = GROUP) -> DataFrame:
     """(key, source, size, up) for rows (key long, source string, size long, fraction double); up is 0 or 1.
 
-    Groups are ranges of a hash of the key within no regard to the source, so a hot
-    source is dealt over all of them; a task keeps one residual a source. A level
-    leaves at most one row a group and source, until one group holds all of them.
+    Groups are ranges of a hash of the key with no regard to the source, so a hot source
+    is dealt over all of them; a task keeps one residual a source. A level leaves at most
+    one row a group and source. Once no source has more residuals than MEET, those of a
+    source meet in one group; many sources are many groups.
     """
     schema = "key long, source string, size long, fraction double, done boolean"
     done, level, rows = None, 0, frame.select("key", "source", "size", "fraction")
     count = frame.count()
     while True:
         groups = max(1, -(-count // group))
-        last = groups == 1
-        spread = F.pmod(F.xxhash64("key", F.lit(level)), F.lit(groups)).cast("int")
+        most = rows.groupBy("source").count().agg(F.max("count")).first()[0] if level and groups > 1 else None
+        last = groups == 1 or (most is not None and most <= MEET)
+        by = [F.col("key"), F.lit(level)] if most is None or not last else [F.coalesce("source", F.lit("")), F.col("source").isNull()]
+        spread = F.pmod(F.xxhash64(*by), F.lit(groups)).cast("int")
         dealt = rows.withColumn("spread", spread).repartition(groups, "spread")
         dealt = dealt.sortWithinPartitions("spread", F.xxhash64("key", F.lit(seed)), "key").drop("spread")
 
@@ -141,11 +162,9 @@ def pivotal(frame: DataFrame, scratch: Scratch, seed: int = 1, group: int = GROU
         part = settled.where("done").select("key", "source", "size", F.col("fraction").cast("long").alias("up"))
         done = part if done is None else done.union(part)
         rows = settled.where("not done").select("key", "source", "size", "fraction")
-        before, count, level = count, 0 if last else rows.count(), level + 1
+        count, level = 0 if last else rows.count(), level + 1
         if count == 0:
             return done
-        # few documents a source: larger groups, so that every level has fewer rows
-        group = group if count < before / 2 else 2 * group
 
 
 def mix(frame: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights=(1, 2, 3), seed: int = 1, keep: bool = False) -> DataFrame:
@@ -154,7 +173,8 @@ def mix(frame: DataFrame, text: str = "text", source: str = "source", doc_id: st
     Size: words of the text (null: 0). copies * size words are taken of a document,
     never over MOST times its size; a source's taken words differ from its target by
     less than the size of one of its documents. Documents without words take nothing.
-    Null sources are a source, the last. Rows of one doc_id are documents of their own.
+    Null sources are a source, the last. Rows of one doc_id are documents of their own;
+    ids may have any type, columns any names. Texts of any length are counted whole.
     keep: with all other columns of frame. The draws depend on seed, doc_id, size and
     text alone, so reruns agree however the table is partitioned.
     """
@@ -167,7 +187,14 @@ def mix(frame: DataFrame, text: str = "text", source: str = "source", doc_id: st
     numbered = scratch.write(numbered.withColumn("key", F.xxhash64("doc_id", "source", "of", "nth")), "sizes")
     shares = targets(numbered, scratch, weights)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rated = numbered.join(shares, numbered["source"].eqNullSafe(shares["source"])).drop(shares["source"]).withColumn("rate", rate)
+    shares = scratch.write(shares, "shares").withColumnRenamed("source", "of_source")
+    agree = F.col("source").eqNullSafe(F.col("of_source"))
+    if shares.count() <= BROADCAST_SOURCES:
+        rated = numbered.join(F.broadcast(shares), agree)
+    else:
+        shares = shares.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rated = numbered.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(shares, agree & (F.col("salt") == F.col("of_salt"))).drop("salt", "of_salt")
+    rated = rated.drop("of_source").withColumn("rate", rate)
     rated = rated.withColumn("whole", F.floor("rate"))
     asked = rated.select("key", "source", "size", (F.col("rate") - F.col("whole")).alias("fraction"))
     rounded = pivotal(asked, scratch, seed)
@@ -180,14 +207,15 @@ def mix(frame: DataFrame, text: str = "text", source: str = "source", doc_id: st
     if not keep:
         return mixed.select("doc_id", *found)
     rest = [c for c in frame.columns if c not in ("size", "source_size", "target", "taken", "copies")]
-    mixed = mixed.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("of").alias("_of"), F.col("nth").alias("_nth"), *found)
+    mixed = mixed.select(*[F.col(c).alias(f"m_{c}") for c in ("doc_id", "source", "of", "nth")], *found)
     mixed = scratch.write(mixed, "mixed")
-    count, most = mixed.agg(F.count("*"), F.max("_nth")).first()
-    whole = frame.select(*[F.col(f"`{c}`") for c in rest], F.xxhash64(F.col(text)).alias("_of"))
+    count, most = mixed.agg(F.count("*"), F.max("m_nth")).first()
+    # foreign columns ride along in one struct, so their names cannot clash
+    whole = frame.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("r"), F.xxhash64(F.col(text)).alias("of"), F.col(doc_id).alias("i"), F.col(source).alias("s"))
     if (most or 1) > 1:  # only then are rows numbered, which moves their texts once more
-        same = Window.partitionBy(doc_id, source, "_of").orderBy(doc_id)
-        whole = whole.withColumn("_nth", F.row_number().over(same))
+        whole = whole.withColumn("nth", F.row_number().over(Window.partitionBy("i", "s", "of").orderBy("i")))
     else:
-        whole = whole.withColumn("_nth", F.lit(1))
-    agree = whole[doc_id].eqNullSafe(mixed["_id"]) & whole[source].eqNullSafe(mixed["_source"]) & (whole["_of"] == mixed["_of"]) & (whole["_nth"] == mixed["_nth"])
-    return whole.join(F.broadcast(mixed) if count <= BROADCAST_ROWS else mixed, agree).drop("_id", "_source", "_of", "_nth")
+        whole = whole.withColumn("nth", F.lit(1))
+    agree = F.col("i").eqNullSafe(F.col("m_doc_id")) & F.col("s").eqNullSafe(F.col("m_source")) & (F.col("of") == F.col("m_of")) & (F.col("nth") == F.col("m_nth"))
+    joined = whole.join(F.broadcast(mixed) if count <= BROADCAST_ROWS else mixed, agree)
+    return joined.select(*[F.col(f"r.`{c}`").alias(c) for c in rest], *found)

@@ -44,8 +44,11 @@ def test_whole_table(spark, sf_dir):
     hold(rows, sources)
 
 
-def test_the_tree_loses_no_words_and_reruns_agree(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "GROUP", 40)
+@pytest.mark.parametrize("meet,sources", [(1_000_000, 100_000), (3, 1)])
+def test_the_tree_loses_no_words_and_reruns_agree(spark, monkeypatch, meet, sources):
+    """Also with a deep tree, sources ranked by ranges, and looked up by a salted shuffle."""
+    monkeypatch.setattr(mixing, "MEET", meet)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", sources)
     dice = random.Random(5)
     data = [(i, "w " * dice.choice([0, 1, 2, 5, 400]), None if i % 11 == 0 else "hot" if i % 3 else f"s{i % 7}") for i in range(600)]
     frame = spark.createDataFrame(data, "doc_id long, text string, source string")
@@ -57,6 +60,21 @@ def test_the_tree_loses_no_words_and_reruns_agree(spark, monkeypatch):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
 
 
+def test_many_sources_of_one_document_each(spark, monkeypatch):
+    real = mixing.pivotal
+    monkeypatch.setattr(mixing, "pivotal", lambda f, s, seed=1: real(f, s, seed, 20))
+    data = [(i, "w " * (1 + i % 5), f"s{i:04d}") for i in range(300)]
+    rows = mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()
+    hold(rows, {i: s for i, _, s in data})
+
+
+def test_clashing_names_and_ids_of_any_kind(spark):
+    names = ["i", "s", "of", "nth", "r", "m_of", "_of", "_id", "_nth", "copies"]
+    frame = spark.createDataFrame([(x, "a b c", "src", *range(10)) for x in ("d1", "d2", "d2")], ["doc_id", "text", "source", *names])
+    kept = mixing.mix(frame, keep=True).collect()
+    assert len(kept) == 3 and all([r[n] for n in names[:-1]] == list(range(9)) and r.copies == 1 and r.text == "a b c" for r in kept)
+
+
 def test_nulls_repeats_ties_and_empty_tables(spark):
     data = [(1, "a b", "x"), (1, "a b", "x"), (None, None, None), (2, "", None), (3, "a", None), (4, "a", "zero")]
     frame = spark.createDataFrame([(*r, "mine") for r in data], "doc_id long, text string, source string, size string")
