@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,21 +68,32 @@ def lean(function):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only in local mode, where none is set."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='postmill-')}"
         context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Scratch folders that were opened and not deleted yet, the newest last.
+_open: list[Scratch] = []
+
+
 class Scratch:
-    """Tables written to the shared folder, which cut lineage and survive lost executors."""
+    """Tables written to the shared folder, which cut lineage and survive lost executors.
+
+    Results read them when they are computed, so they stay until the result is written:
+    see temporary. What is left is deleted when the driver's Python ends.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/postmill-{uuid.uuid4().hex}"
+        _open.append(self)
 
     def write(self, frame: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -87,11 +102,39 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         """Deletes a table that no later step reads."""
+        self._delete(f"{self.root}/{name}")
+
+    def clean(self) -> None:
+        """Deletes all tables."""
+        self._delete(self.root)
+        if self in _open:
+            _open.remove(self)
+
+    def _delete(self, where: str) -> None:
         context = self.spark.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path = context._jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def temporary() -> Iterator[None]:
+    """Deletes, at its end, the tables of all Scratch folders that were opened inside; results must be written by then."""
+    before = list(_open)
+    try:
+        yield
+    finally:
+        for scratch in [x for x in _open if x not in before]:
+            scratch.clean()
+
+
+@atexit.register
+def _clean_all() -> None:
+    for scratch in list(_open):
+        with contextlib.suppress(Exception):  # the session may have ended
+            if scratch.spark.sparkContext._jsc is not None:
+                scratch.clean()
+
+
 def components(scratch: Scratch, edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for each node of edges (a, b): root is the least node of its component.
 

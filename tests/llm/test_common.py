@@ -1,8 +1,10 @@
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
-from postmill.llm.common import Scratch, components, let, shared_dir, words
+from postmill.llm.common import Scratch, components, let, shared_dir, temporary, words
 
 
 def test_components(spark):
@@ -35,6 +37,37 @@ def test_tables_go_to_the_shared_folder(spark):
     assert shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
 
 
+def test_scratch_is_cleaned(spark):
+    import os
+
+    outer = Scratch(spark)
+    outer.write(spark.range(3), "x")
+    with temporary():
+        inner = Scratch(spark)
+        inner.write(spark.range(3), "x")
+        assert os.path.isdir(inner.root.removeprefix("file://"))
+    assert not os.path.isdir(inner.root.removeprefix("file://")) and os.path.isdir(outer.root.removeprefix("file://"))
+    outer.clean()
+    assert not os.path.isdir(outer.root.removeprefix("file://"))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "yarn"
+
+        def getConf(self):  # noqa: N802
+            return {}
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Session:
+        sparkContext = Context()  # noqa: N815
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+
+
 def test_words_and_let(spark):
     rows = [(" a\tb\x0b c ",), ("",), (None,), (" \n",)]
     frame = spark.createDataFrame(rows, "t string")
