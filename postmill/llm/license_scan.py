@@ -1,9 +1,12 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance from ancestor directories.
 
-Every line of a text, every window of consecutive lines up to twice the words of the longest
-notice, and the whole text of a licence file, is compared with notices of known licences
-as a sparse TF-IDF vector. Files without a licence of their own take that
-of the nearest directory above them that holds a licence file, by joins on paths.
+Every line of a text, every window of consecutive lines (comment marks taken off) up to
+twice the words of the longest notice, so any header that wraps, and the whole text of a
+licence file, is compared with notices of known licences as a sparse TF-IDF vector.
+Notices are what headers say and what licence files begin with; a tag that names a
+licence by its SPDX identifier is read as it is. Files without a licence of their own
+take that of the nearest directory above them that holds a licence file, by joins on
+paths.
 """
 
 from __future__ import annotations
@@ -33,18 +36,33 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("proprietary", "All rights reserved."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
 ]
+#: A tag that names a licence; its score is 1. Suffixes of versions are taken off.
+SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9.+-]*[A-Za-z0-9+])")
+SUFFIX = re.compile(r"(?:-only|-or-later|\+)\Z")
 #: Cosine from which a line has a template's licence.
 THRESHOLD = 0.75
 #: Directories with licences that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
-WORD = re.compile(r"\w+")
+#: Words of texts whose A-Z are lower-cased; the same in Python and in Spark's functions.
+WORD = re.compile(r"[a-z0-9_]+")
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What comments put before a line and behind it.
 MARKS = re.compile(r"^\s*(?:/\*+|\*+/?|//+|#+|--+|;+|%+|<!--|\(\*|dnl\b|rem\b)?\s*|\s*(?:\*+/|-->|\*\))?\s*$", re.IGNORECASE)
 
 
+def lower(text: str) -> str:
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def terms(line: str) -> Counter:
-    return Counter(WORD.findall(line.lower()))
+    return Counter(WORD.findall(lower(line)))
 
 
 class Matcher:
@@ -71,7 +89,7 @@ class Matcher:
 
     def best(self, line: str) -> tuple[float, str] | None:
         """(cosine, licence) of the nearest template, if near enough; of equals the first name."""
-        low = line.lower()
+        low = lower(line)
         if not any(t in low for t in self.telling):
             return None
         counts = Counter(WORD.findall(low))
@@ -85,7 +103,7 @@ class Matcher:
 
     def best_window(self, text: str) -> tuple[float, str] | None:
         """best of the windows of two or more consecutive non-blank lines that have at most twice the longest notice's words."""
-        low = text.lower()
+        low = lower(text)
         if not any(t in low for t in self.telling):
             return None
         found, run = [], []
@@ -111,36 +129,35 @@ class Matcher:
         return min(filter(None, found), key=lambda p: (-p[0], p[1]), default=None)
 
 
+def tagged(text: str) -> str | None:
+    """The licence that the first SPDX tag of a text names."""
+    found = SPDX.search(text)
+    return SUFFIX.sub("", found[1]) if found else None
+
+
 def rarity(frame: DataFrame, text: str, templates) -> tuple[int, dict[str, int]]:
     """Lines with words in all texts, and those that hold each term of a template (as many as the templates have)."""
-    known = frozenset(t for _, x in templates for t in terms(x))
-
-    def run(batches):
-        lines, holding = 0, Counter()
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                for line in (x or "").lower().split("\n"):
-                    found = set(WORD.findall(line))
-                    lines += bool(found)
-                    holding.update(found & known)
-        keys = ["", *holding]
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([lines, *holding.values()], pa.int64())], names=["term", "n"])
-
-    rows = frame.select(F.col(text)).mapInArrow(lean(run), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    counts = {r["term"]: r["n"] for r in rows}
+    known = sorted({t for _, x in templates for t in terms(x)})
+    lines = frame.select(F.explode(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), "\n")).alias("line"))
+    held = lines.select(F.array_distinct(F.regexp_extract_all("line", F.lit(f"({WORD.pattern})"), F.lit(1))).alias("held")).where(F.size("held") > 0)
+    each = held.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect("held", F.array(*map(F.lit, known)).cast("array<string>")))).alias("term"))
+    counts = {r["term"]: r["n"] for r in each.groupBy("term").agg(F.count("*").alias("n")).collect()}
     return counts.pop("", 0), counts
 
 
 def license_scan(frame: DataFrame, path: str = "path", text: str = "text", is_license="is_license", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """frame without text, with own_license, own_score, license and license_from added, in place of columns so named.
 
-    own_license: the licence of the template with the highest cosine to a line, to a
-    window of consecutive lines (without comment marks; blank lines end it), or to the whole text of a row that is_license says is a licence file (null: it is none),
-    if the cosine reaches threshold; own_score is that cosine. license: the own one, or
-    that of the nearest directory above path with a licence file that has one (of
-    several the highest score, then the least path); license_from: the path it comes
-    from. Directories end at the last "/"; "" is above all. Null paths have no
-    directory and inherit nothing. Null and empty texts have no own licence.
+    own_license: the licence that the first SPDX tag names (own_score 1), or that of the
+    template with the highest cosine to a line, to a window of consecutive lines (without
+    comment marks; blank lines end it), or to the whole text of a row that is_license
+    says is a licence file (null: it is none), if the cosine reaches threshold;
+    own_score is that cosine. license: the own one, or that of the nearest directory
+    above path with a licence file that has one (of several the highest score, then the
+    least path); license_from: the path it comes from. Directories end at the last "/";
+    "" is above all. Null paths have no directory and inherit nothing. Null and empty
+    texts have no own licence. Repeated rows each get the same; texts of any length are
+    read whole. Columns may have any names.
     """
     small_batches(frame.sparkSession)
     scratch = Scratch(frame.sparkSession)
@@ -154,10 +171,15 @@ def license_scan(frame: DataFrame, path: str = "path", text: str = "text", is_li
         for batch in batches:
             names, scores = [], []
             for x, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = [matcher.best(line) for line in (x or "").split("\n")]
-                found.append(matcher.best_window(x or ""))
+                text = x or ""
+                if tag := tagged(text):
+                    names.append(tag)
+                    scores.append(1.0)
+                    continue
+                found = [matcher.best(line) for line in text.split("\n")]
+                found.append(matcher.best_window(text))
                 if whole:
-                    found.append(matcher.best((x or "").replace("\n", " ")))
+                    found.append(matcher.best(text.replace("\n", " ")))
                 score, name = min(((-s, n) for s, n in filter(None, found)), default=(None, None))
                 names.append(name)
                 scores.append(None if score is None else -score)
@@ -165,31 +187,30 @@ def license_scan(frame: DataFrame, path: str = "path", text: str = "text", is_li
 
     # the verdicts are needed three times, the texts once
     own = scratch.write(packed.mapInArrow(lean(run), schema), "own")
-    own = own.withColumn("_path", F.col(f"r.`{path}`")).withColumn("_dir", F.regexp_replace("_path", r"[^/]*\z", ""))
-    giving = own.where(F.col("f") & F.col("own_license").isNotNull() & F.col("_path").isNotNull())
-    giving = giving.groupBy(F.col("_dir").alias("above")).agg(F.min(F.struct((-F.col("own_score")).alias("s"), F.col("_path").alias("p"), F.col("own_license").alias("l"))).alias("best"))
+    own = own.withColumn("path", F.col(f"r.`{path}`")).withColumn("dir", F.regexp_replace("path", r"[^/]*\z", ""))
+    giving = own.where(F.col("f") & F.col("own_license").isNotNull() & F.col("path").isNotNull())
+    giving = giving.groupBy(F.col("dir").alias("above")).agg(F.min(F.struct((-F.col("own_score")).alias("s"), F.col("path").alias("p"), F.col("own_license").alias("l"))).alias("best"))
     giving = scratch.write(giving, "giving")
     few = giving.count() <= BROADCAST_ROWS
-    steps = F.split(F.col("_dir"), "/")
+    steps = F.split(F.col("dir"), "/")
     up = F.transform(F.sequence(F.lit(0), F.size(steps) - 1), lambda k: F.concat_ws("/", F.slice(steps, 1, k), F.lit("")))
-    homes = own.select("_dir").where(F.col("_dir").isNotNull()).distinct()
-    levels = homes.select("_dir", F.posexplode(up).alias("depth", "above")).withColumn("above", F.when(F.col("depth") == 0, F.lit("")).otherwise(F.col("above")))
-    near = levels.join(F.broadcast(giving) if few else giving, "above").groupBy("_dir").agg(F.max_by("best", "depth").alias("best"))
-    near = scratch.write(near.select(F.col("_dir").alias("_home"), F.col("best.l").alias("_license"), F.col("best.p").alias("_from")), "near")
+    homes = own.select("dir").where(F.col("dir").isNotNull()).distinct()
+    levels = homes.select("dir", F.posexplode(up).alias("depth", "above")).withColumn("above", F.when(F.col("depth") == 0, F.lit("")).otherwise(F.col("above")))
+    near = levels.join(F.broadcast(giving) if few else giving, "above").groupBy("dir").agg(F.max_by("best", "depth").alias("best"))
+    near = scratch.write(near.select(F.col("dir").alias("home"), F.col("best.l").alias("near_license"), F.col("best.p").alias("near_from")), "near")
     near = F.broadcast(near) if near.count() <= BROADCAST_ROWS else near
-    done = own.join(near, F.col("_dir") == F.col("_home"), "left")
+    done = own.join(near, F.col("dir") == F.col("home"), "left")
     return done.select(
         *[F.col(f"r.`{c}`").alias(c) for c in rest], "own_license", "own_score",
-        F.coalesce("own_license", "_license").alias("license"), F.when(F.col("own_license").isNotNull(), F.col("_path")).otherwise(F.col("_from")).alias("license_from"),
+        F.coalesce("own_license", "near_license").alias("license"), F.when(F.col("own_license").isNotNull(), F.col("path")).otherwise(F.col("near_from")).alias("license_from"),
     )
 
 
 def documents_as_files(documents: DataFrame) -> DataFrame:
-    """documents with a path source/language/doc_id; those of so few words that a notice is a good part of them are licence files.
+    """documents with a path source/language/doc_id; each may be the licence file of its directory.
 
-    The table has no paths. A document of at most 40 words is LICENSE-doc_id, any other doc_id.txt.
+    The table has no paths or names, so any document with a notice of its own can give
+    its licence to those beside it that have none.
     """
-    size = F.size(F.split(F.btrim(F.coalesce("text", F.lit(""))), r"\s+"))
-    short = size <= 40
-    name = F.when(short, F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return documents.select("doc_id", "text", F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), name).alias("path"), short.alias("is_license"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return documents.select("doc_id", "text", path.alias("path"), F.lit(True).alias("is_license"))

@@ -24,7 +24,7 @@ FILES = [
 
 
 def plain(files, threshold=s.THRESHOLD):
-    lines = [Counter(s.WORD.findall(x.lower())) for _, t, _ in files for x in (t or "").split("\n")]
+    lines = [Counter(s.WORD.findall(s.lower(x))) for _, t, _ in files for x in (t or "").split("\n")]
     lines = [x for x in lines if x]
     weight = lambda t: math.log((1 + len(lines)) / (1 + sum(t in x for x in lines))) + 1
     known = {t for _, x in s.TEMPLATES for t in s.terms(x)}
@@ -79,6 +79,7 @@ def test_whole_table(spark, sf_dir):
     notices = {t: n for n, t in s.TEMPLATES}
     for r in rows:
         exact = {notices[x.strip()] for x in texts[r.doc_id].split("\n") if x.strip() in notices}
+        assert r.license or not r.license_from
         assert not exact or r.own_license in exact
 
 
@@ -90,3 +91,62 @@ def test_headers_that_wrap_over_lines(spark, mark):
     frame = spark.createDataFrame([("a/x.c", text, False), ("a/y.c", other, False)], "path string, text string, is_license boolean")
     found = {r.path: r.own_license for r in s.license_scan(frame).collect()}
     assert found == {"a/x.c": "GPL-3.0", "a/y.c": None}
+
+
+GPL_HEADER = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ */
+int main(void) { return 0; }"""
+BSD = """# Copyright (c) 2020, Some One
+#
+# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are met:
+#
+# 1. Redistributions of source code must retain the above copyright notice."""
+ISC = """Copyright (c) 2021 Some One
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES."""
+GPL_FILE = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed."""
+APACHE_FILE = """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"""
+APACHE_HEADER = """// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at"""
+MIT_FILE = """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction."""
+SPDX_TAG = "// SPDX-License-Identifier: GPL-3.0-or-later\nint x;"
+
+
+def test_real_headers_and_licence_files(spark):
+    wanted = {"a/gpl.c": "GPL-3.0", "b/bsd.py": "BSD-3-Clause", "c/LICENSE": "ISC", "d/COPYING": "GPL-3.0", "e/LICENSE": "Apache-2.0", "f/x.go": "Apache-2.0", "g/LICENSE": "MIT", "h/s.c": "GPL-3.0"}
+    texts = [GPL_HEADER, BSD, ISC, GPL_FILE, APACHE_FILE, APACHE_HEADER, MIT_FILE, SPDX_TAG]
+    rows = [(path, text, path.endswith(("LICENSE", "COPYING"))) for path, text in zip(wanted, texts, strict=True)]
+    rows += [(f"z/{i}.txt", f"Some other line of text, number {i}, that is part of the program and its documentation.", False) for i in range(300)]
+    frame = spark.createDataFrame(rows, "path string, text string, is_license boolean")
+    found = {r.path: r.own_license for r in s.license_scan(frame).collect() if not r.path.startswith("z/")}
+    assert found == wanted
+
+
+def test_clashing_names(spark):
+    names = ["dir", "home", "_path", "near_license", "t", "f", "r", "own_score"]
+    frame = spark.createDataFrame([("a/x", "Released under the MIT License.", True, *range(8)), ("a/b/y", "", False, *range(8))], ["path", "text", "is_license", *names])
+    rows = s.license_scan(frame).collect()
+    assert all([r[n] for n in names[:-1]] == list(range(7)) and r.license == "MIT" and r.license_from == "a/x" for r in rows)
