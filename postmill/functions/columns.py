@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import mimetypes
 import re
-from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,19 +17,22 @@ def _col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once a row, however often body refers to it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 # Headers
 
 
 def header_block(raw) -> Column:
     """Everything before the first empty line, with LF line ends."""
-    return F.substring_index(F.regexp_replace(_col(raw), "\r\n", "\n"), "\n\n", 1)
+    return F.substring_index(F.replace(_col(raw), F.lit("\r\n"), F.lit("\n")), "\n\n", 1)
 
 
 def body_block(raw) -> Column:
     """Everything after the first empty line; empty where there is none."""
-    text = F.regexp_replace(_col(raw), "\r\n", "\n")
-    at = F.locate("\n\n", text)
-    return F.when(at > 0, F.substring(text, at + 2, F.length(text))).otherwise(F.lit(""))
+    return let(F.replace(_col(raw), F.lit("\r\n"), F.lit("\n")), lambda t: F.substring(t, F.length(F.substring_index(t, "\n\n", 1)) + 3, F.length(t)))
 
 
 def headers(raw) -> Column:
@@ -40,9 +42,14 @@ def headers(raw) -> Column:
     """
     unfolded = F.regexp_replace(F.regexp_replace(header_block(raw), r"[ \t]*\n[ \t]+", " "), r"(?m)^([^:\n]*:) +", "$1 ")
     rows = F.filter(F.split(unfolded, "\n"), lambda line: line.contains(":"))
-    pairs = F.transform(rows, lambda line: F.struct(F.lower(F.substring_index(line, ":", 1)).alias("k"), F.trim(F.regexp_replace(line, r"^[^:]*:", "")).alias("v")))
-    names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.map_from_arrays(names, F.transform(names, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]))
+    pairs = F.transform(rows, lambda line: let(F.instr(line, ":"), lambda at: F.struct(F.lower(F.substring(line, F.lit(1), at - 1)).alias("k"), F.trim(F.substring(line, at + 1, F.length(line))).alias("v"))))
+
+    def last_of_each(p):
+        # a pair stays if no later one has its name
+        stays = F.filter(p, lambda x, i: ~F.exists(F.slice(p, i + 2, F.size(p)), lambda y: y["k"] == x["k"]))
+        return F.map_from_entries(stays)
+
+    return let(pairs, last_of_each)
 
 
 # Charsets and transfer encodings
@@ -66,36 +73,48 @@ def base64_text(text) -> Column:
 
 def mailbox(name, address) -> Column:
     """"Name <address>", quoted where the name needs it; the bare address where the name adds nothing."""
-    name, address = _col(name), _col(address)
-    escaped = F.regexp_replace(name, r'([\\"])', r"\\$1")
-    shown = F.when(name.rlike("[,<>]"), F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(name)
-    return F.when(F.coalesce(name, F.lit("")).isin("") | (F.lower(name) == F.lower(address)), address).otherwise(F.concat(shown, F.lit(" <"), address, F.lit(">")))
+
+    def shown(both):
+        name, address = both["name"], both["address"]
+        escaped = F.regexp_replace(name, r'([\\"])', r"\\$1")
+        quoted = F.when(name.rlike("[,<>]"), F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(name)
+        return F.when(F.coalesce(name, F.lit("")).isin("") | (F.lower(name) == F.lower(address)), address).otherwise(F.concat(quoted, F.lit(" <"), address, F.lit(">")))
+
+    return let(F.struct(_col(name).alias("name"), _col(address).alias("address")), shown)
 
 
 def normal_date(value) -> Column:
     """A date header without comments, blanks collapsed, an obsolete zone name as its offset."""
-    text = F.trim(F.regexp_replace(F.regexp_replace(_col(value), r"\([^)]*\)", " "), r"\s+", " "))
-    zone = F.regexp_extract(text, r" ([A-Za-z]{1,3})$", 1)
     offsets = F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair])
-    offset = F.try_element_at(offsets, F.upper(zone))
-    return F.when(offset.isNotNull(), F.concat(F.regexp_replace(text, r"[A-Za-z]{1,3}$", ""), offset)).otherwise(text)
+
+    def named(text):
+        offset = F.try_element_at(offsets, F.upper(F.substring_index(text, " ", -1)))
+        return F.when(offset.isNotNull() & text.contains(" "), F.concat(F.regexp_replace(text, r"[A-Za-z]{1,3}$", ""), offset)).otherwise(text)
+
+    bare = F.when(_col(value).contains("("), F.regexp_replace(_col(value), r"\([^)]*\)", " ")).otherwise(_col(value))
+    return let(F.trim(F.regexp_replace(bare, r"\s+", " ")), named)
 
 
 def instant(value) -> Column:
     """The instant of a date header; null for anything but the four known shapes, never a guess."""
-    text = normal_date(value)
-    bare = F.regexp_replace(text, r"(?i)^(mon|tue|wed|thu|fri|sat|sun), ", "")
-    shaped = bare.rlike(r"^\d{1,2} [A-Za-z]{3} \d{4} \d{1,2}:\d{2}(:\d{2})? [+-]\d{4}$")
-    parts = F.regexp_replace(F.initcap(bare), r"^(\d) ", "0$1 ")
-    return F.when(shaped, F.coalesce(F.try_to_timestamp(parts, F.lit("dd MMM yyyy H:mm:ss Z")), F.try_to_timestamp(parts, F.lit("dd MMM yyyy H:mm Z"))))
+
+    def read(bare):
+        shaped = bare.rlike(r"^\d{1,2} [A-Za-z]{3} \d{4} \d{1,2}:\d{2}(:\d{2})? [+-]\d{4}$")
+        # the month as it is spelled in capitals and lower case, the day in two digits
+        parts = F.concat(F.lpad(F.substring_index(bare, " ", 1), 2, "0"), F.lit(" "), F.initcap(F.substring(bare, F.instr(bare, " ") + 1, F.length(bare))))
+        return F.when(shaped, let(parts, lambda p: F.coalesce(F.try_to_timestamp(p, F.lit("dd MMM yyyy H:mm:ss Z")), F.try_to_timestamp(p, F.lit("dd MMM yyyy H:mm Z")))))
+
+    return let(F.regexp_replace(normal_date(value), r"(?i)^(mon|tue|wed|thu|fri|sat|sun), ", ""), read)
 
 
 def offset_minutes(value) -> Column:
     """The sender's offset from UTC in minutes, the first [+-]dddd of a date header."""
-    text = normal_date(value)
-    digits = F.regexp_extract(text, r"[+-](\d{4})", 1)
-    size = F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")
-    return F.when(F.regexp_extract(text, r"([+-])\d{4}", 1) == "-", -size).otherwise(size)
+
+    def read(shown):
+        size = F.substring(shown, 2, 2).try_cast("int") * 60 + F.substring(shown, 4, 2).try_cast("int")
+        return F.when(shown.startswith("-"), -size).otherwise(size)
+
+    return let(F.regexp_extract(normal_date(value), r"[+-]\d{4}", 0), read)
 
 
 def local_time(moment, zone: str) -> Column:
@@ -106,21 +125,32 @@ def local_time(moment, zone: str) -> Column:
 # Frontmatter
 
 
+_LINE_ENDS = {"\n": "\\n", "\r": "\\r", "\u0085": "\\N", "\u2028": "\\L", "\u2029": "\\P"}
+_SPECIAL = r"[\x00-\x08\x0A-\x1F\x7F-\x9F\x{2028}\x{2029}]"
+
+
 def yaml_quoted(value) -> Column:
-    """A double-quoted YAML scalar."""
-    text = F.regexp_replace(_col(value), r'(["\\])', r"\\$1")
-    for raw, shown in (("\n", "\\n"), ("\r", "\\r"), ("\u0085", "\\N"), ("\u2028", "\\L"), ("\u2029", "\\P")):
-        text = F.replace(text, F.lit(raw), F.lit(shown))
-    control = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
-    spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.rlike(control), F.concat(F.lit("\\x"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c)), "")
-    return F.concat(F.lit('"'), F.when(text.rlike(control), spelled).otherwise(text), F.lit('"'))
+    """A double-quoted YAML scalar. Only the control characters that occur are looked for."""
+
+    def spelled(c):
+        named = F.try_element_at(F.create_map(*[F.lit(x) for pair in _LINE_ENDS.items() for x in pair]), c)
+        return F.coalesce(named, F.concat(F.lit("\\x"), F.lpad(F.hex(F.ascii(c)), 2, "0")))
+
+    def escaped(text):
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({_SPECIAL})"), F.lit(1)))
+        return F.when(text.rlike(_SPECIAL), F.aggregate(found, text, lambda t, c: F.replace(t, c, spelled(c)))).otherwise(text)
+
+    quoted = let(F.regexp_replace(_col(value), r'(["\\])', r"\\$1"), escaped)
+    return F.concat(F.lit('"'), quoted, F.lit('"'))
 
 
 def field(name: str, value, quoted: bool = True) -> Column:
     """"name: value", or "name:" for null and empty values."""
-    value = _col(value)
-    shown = F.concat(F.lit(f"{name}: "), yaml_quoted(value) if quoted else value)
-    return F.when(F.coalesce(value, F.lit("")) == "", F.lit(f"{name}:")).otherwise(shown)
+
+    def shown(v):
+        return F.when(F.coalesce(v, F.lit("")) == "", F.lit(f"{name}:")).otherwise(F.concat(F.lit(f"{name}: "), yaml_quoted(v) if quoted else v))
+
+    return let(_col(value), shown)
 
 
 def list_field(name: str, values) -> Column:
@@ -267,18 +297,31 @@ class NamePattern:
 
 
 def unique_names(names, taken=None) -> Column:
-    """The names in order, each made unlike all before it and all taken by -1, -2, ... before its extension."""
+    """The names in order, each made unlike all before it and all taken by -1, -2, ... before its extension.
+
+    The first free number is the least that no name in use has; a mail's files are few,
+    and names that repeat cost one look at all before them.
+    """
     names = _col(names)
     used = F.array().cast("array<string>") if taken is None else _col(taken)
 
+    def numbered(all_, name):
+        kind = extension(name)
+        ends = F.struct(F.concat(stem(name), F.lit("-")).alias("head"), F.when(kind != "", F.concat(F.lit("."), kind)).otherwise(F.lit("")).alias("tail"))
+
+        def free(e):
+            size = F.length(e["head"]) + F.length(e["tail"])
+            alike = F.filter(all_, lambda x: x.startswith(e["head"]) & x.endswith(e["tail"]) & (F.length(x) > size))
+            middles = F.transform(alike, lambda x: F.substring(x, F.length(e["head"]) + 1, F.length(x) - size))
+            numbers = F.transform(middles, lambda m: F.when(m.try_cast("int").cast("string") == m, m.try_cast("int")))
+            least = F.array_min(F.array_except(F.sequence(F.lit(1), F.size(numbers) + 1), numbers))
+            return F.concat(e["head"], least.cast("string"), e["tail"])
+
+        return let(ends, free)
+
     def pick(done, name):
         all_ = F.concat(used, done)
-        counted = F.transform(
-            F.sequence(F.lit(1), F.size(all_) + 1),
-            lambda n: F.concat(stem(name), F.lit("-"), n.cast("string"), F.when(extension(name) != "", F.concat(F.lit("."), extension(name))).otherwise(F.lit(""))),
-        )
-        free = F.element_at(F.filter(counted, lambda x: ~F.array_contains(all_, x)), 1)
-        return F.concat(done, F.array(F.when(F.array_contains(all_, name), free).otherwise(name)))
+        return F.concat(done, F.array(let(all_, lambda a: F.when(F.array_contains(a, name), numbered(a, name)).otherwise(name))))
 
     return F.aggregate(names, F.array().cast("array<string>"), pick)
 
@@ -308,20 +351,3 @@ def strip_line_ends(text) -> Column:
 
 def collapse_blank_lines(text) -> Column:
     return F.regexp_replace(_col(text), "\n{3,}", "\n\n")
-
-
-def collapse_spaces(text) -> Column:
-    """Every run of Unicode white space as one space."""
-    return F.regexp_replace(_col(text), r"(?U)\s+", " ")
-
-
-def longest_run(text, character: str = "`") -> Column:
-    """The length of the longest run of a character."""
-    return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(_col(text), F.lit(f"{re.escape(character)}+"), F.lit(0)), F.length)), F.lit(0))
-
-
-def markdown_table(header: Iterable[str], rows) -> Column:
-    """A Markdown table from rows, an array of arrays of cells."""
-    header = list(header)
-    shown = F.transform(_col(rows), lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, lambda c: F.replace(c, F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |")))
-    return F.concat_ws("\n", F.lit("| " + " | ".join(header) + " |"), F.lit("|" + "---|" * len(header)), shown)

@@ -28,8 +28,8 @@ DESCRIPTIONS = (
     "ai-generated content may be incorrect",
 )
 BOLD, ITALIC = "**", "*"
-#: Calls that the deepest tree needs at once.
-FRAMES = 20_000
+#: Calls that a level of the tree needs at once, and those that everything around it does.
+FRAMES, AROUND = 12, 2_000
 #: From so many points on, room between elements is seen.
 SEEN = 3
 #: Code points that are never shown (Default_Ignorable_Code_Point).
@@ -60,21 +60,44 @@ def hidden(node: Node) -> bool:
 
 def shown_texts(node: Node):
     """The texts with words that a reader sees in a node, in order."""
-    if not node.tag:
-        if node.text.strip():
-            yield node
-    elif not hidden(node):
-        for child in node.children:
-            yield from shown_texts(child)
+    stack = [node]
+    while stack:
+        node = stack.pop()
+        if not node.tag:
+            if node.text.strip():
+                yield node
+        elif not hidden(node):
+            stack += node.children[::-1]
+
+
+def mark_shown(body: Node) -> int:
+    """Says of each node whether it shows text, inner ones first; returns how deep the tree is."""
+    depth, order, stack = 0, [], [(body, 1)]
+    while stack:
+        node, level = stack.pop()
+        depth = max(depth, level)
+        order.append(node)
+        stack += [(c, level + 1) for c in node.children]
+    for node in reversed(order):
+        node.shows = bool(node.text.strip()) if not node.tag else not hidden(node) and any(c.shows for c in node.children)
+    return depth
 
 
 def shows_text(node: Node) -> bool:
-    return next(shown_texts(node), None) is not None
+    return next(shown_texts(node), None) is not None if node.shows is None else node.shows
 
 
 def _inside(node: Node, test, past_hidden: bool = False) -> bool:
     """Whether an element inside node passes test; past_hidden: not inside hidden ones."""
-    return any((test(c) or _inside(c, test, past_hidden)) for c in node.elements if not (past_hidden and hidden(c)))
+    stack = node.elements
+    while stack:
+        child = stack.pop()
+        if past_hidden and hidden(child):
+            continue
+        if test(child):
+            return True
+        stack += child.elements
+    return False
 
 
 def holds_blocks(node: Node) -> bool:
@@ -363,12 +386,16 @@ class _Writer:
 
     def _set_back(self, node: Node, marker: str, on: bool) -> bool:
         """Whether a node shows text outside of an emphasis that is on around it."""
-        if not node.tag:
-            return not on and bool(_WIDTHLESS.sub("", node.text).strip())
-        if hidden(node):
-            return False
-        own = sets(marker, node)
-        return any(self._set_back(c, marker, on if own is None else own) for c in node.children)
+        stack = [(node, on)]
+        while stack:
+            node, on = stack.pop()
+            if not node.tag:
+                if not on and _WIDTHLESS.sub("", node.text).strip():
+                    return True
+            elif not hidden(node):
+                own = sets(marker, node)
+                stack += [(c, on if own is None else own) for c in node.children]
+        return False
 
     def laid_out(self, node: Node, markers: list[str], events) -> tuple[list[Event], list[str]]:
         """An element's events and the markers it can set: not around formatted lines, nor around text that sets them back."""
@@ -445,9 +472,16 @@ class _Writer:
         return lines(out) if out else []
 
     def verbatim(self, node: Node) -> str:
-        if not node.tag:
-            return node.text
-        return "\n" if node.tag == "br" else "" if hidden(node) else "".join(map(self.verbatim, node.children))
+        out, stack = [], [node]
+        while stack:
+            node = stack.pop()
+            if not node.tag:
+                out.append(node.text)
+            elif node.tag == "br":
+                out.append("\n")
+            elif not hidden(node):
+                stack += node.children[::-1]
+        return "".join(out)
 
     def preformatted(self, node: Node) -> list[Event]:
         if holds_blocks(node):
@@ -565,9 +599,10 @@ def convert(html: str, names: dict[str, str] | None = None, style: str = "markdo
     left out. style: markdown, or obsidian for cards as callouts. pictures: (Content-ID,
     width, height) of each picture of the mail that a reader sees, in order.
     """
-    if sys.getrecursionlimit() < FRAMES:
-        sys.setrecursionlimit(FRAMES)
     body = parse(html)
+    deep = FRAMES * mark_shown(body) + AROUND  # the walk's calls are Python's own: they take no room on the stack of C
+    if sys.getrecursionlimit() < deep:
+        sys.setrecursionlimit(deep)
     writer = _Writer(body, names or {}, style)
     out = compose(writer.inside(body)).trimmed
     pictures = []

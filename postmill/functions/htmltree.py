@@ -14,21 +14,22 @@ ENDS_PARAGRAPH = frozenset(
 TABLE_PARTS = frozenset("table thead tbody tfoot tr".split())
 TABLE_TAGS = frozenset("caption colgroup col thead tbody tfoot tr td th".split())
 CELLS = frozenset(("td", "th", "caption"))
-#: Open elements at most; what would nest deeper stands beside.
-DEEPEST = 512
+#: Formatting elements alike in all that are reopened together at most, as in the standard.
+ALIKE = 3
 _HALF = re.compile(r"&#(?:([0-9]{1,7})|[xX]([0-9A-Fa-f]{1,6}));")
 
 
 class Node:
     """An element (tag, attributes, children) or a text (tag "", text)."""
 
-    __slots__ = ("attrs", "children", "parent", "tag", "text", "_style")
+    __slots__ = ("attrs", "children", "parent", "shows", "tag", "text", "_style")
 
     def __init__(self, tag: str, attrs: dict | None = None, text: str = ""):
         self.tag, self.attrs, self.text = tag, attrs or {}, text
         self.children: list[Node] = []
         self.parent: Node | None = None
         self._style = None
+        self.shows: bool | None = None  # whether a reader sees text in it; said once the tree stands
 
     @property
     def elements(self) -> list[Node]:
@@ -60,9 +61,12 @@ class Node:
             node = node.parent
 
     def walk(self):
-        for child in self.children:
-            yield child
-            yield from child.walk()
+        """All nodes inside, in document order."""
+        stack = self.children[::-1]
+        while stack:
+            node = stack.pop()
+            yield node
+            stack += node.children[::-1]
 
 
 def join_halves(html: str) -> str:
@@ -102,15 +106,14 @@ class _Builder(HTMLParser):
     def _push(self, tag: str, attrs: dict | None = None) -> Node:
         node = Node(tag, attrs)
         self._put(node)
-        if len(self.open) < DEEPEST:
-            self.open.append(node)
+        self.open.append(node)
         return node
 
     def _reopen(self) -> None:
         start = len(self.active)
         while start and self.active[start - 1] is not None and self.active[start - 1] not in self.open:
             start -= 1
-        for k in range(start, len(self.active)) if len(self.open) + len(self.active) - start < DEEPEST else ():
+        for k in range(start, len(self.active)):
             self.active[k] = self._push(self.active[k].tag, dict(self.active[k].attrs))
 
     def _close(self, tags, stop=()) -> bool:
@@ -177,6 +180,9 @@ class _Builder(HTMLParser):
             return
         node = self._push(tag, attrs)
         if tag in FORMATTING:
+            alike = [n for n in self.active[self._marker() :] if n.tag == tag and n.attrs == attrs]
+            if len(alike) >= ALIKE:
+                self.active.remove(alike[0])
             self.active.append(node)
         elif tag in CELLS:
             self.active.append(None)

@@ -13,10 +13,6 @@ from postmill.functions.html import convert
 SMIME = frozenset(("application/pkcs7-signature", "application/x-pkcs7-signature", "application/pkcs7-mime", "application/x-pkcs7-mime"))
 
 
-#: Containers that may stand inside each other; a deeper one is taken for one that does not split.
-DEEPEST = 100
-
-
 @dataclass
 class Part:
     """A node of the MIME tree; path counts from 0 at each level, and the root has an empty one."""
@@ -44,27 +40,33 @@ class Part:
         """Text or a container that is read as the mail, not a file that came with it."""
         return (self.media_type in ("text/plain", "text/html") or self.is_container) and self.disposition != "attachment"
 
+    def all(self) -> Iterator[Part]:
+        """The part and all inside it, in document order."""
+        stack = [self]
+        while stack:
+            part = stack.pop()
+            yield part
+            stack += part.children[::-1]
+
     def leaves(self) -> Iterator[Part]:
-        for child in self.children:
-            if child.is_container:
-                yield from child.leaves()
-            else:
-                yield child
+        return (p for p in self.all() if p is not self and not p.is_container)
 
 
 def split_parts(raw: str, boundary: str) -> list[str]:
     """The parts between delimiter lines; what the last delimiter does not close is lost."""
-    parts, current = [], None
-    for line in raw.split("\n"):
-        mark = line.strip(" \t\r")
-        if mark.startswith("--") and mark in (f"--{boundary}", f"--{boundary}--"):
-            if current is not None:
-                parts.append("\n".join(current))
-            current = []
-            if mark != f"--{boundary}":
+    parts, begin, at, mark = [], None, 0, f"--{boundary}"
+    while (at := raw.find(mark, at)) >= 0:
+        start = raw.rfind("\n", 0, at) + 1
+        end = raw.find("\n", at)
+        end = len(raw) if end < 0 else end
+        line = raw[start:end].strip(" \t\r")
+        if line == mark or line == mark + "--":
+            if begin is not None:
+                parts.append(raw[begin : max(begin, start - 1)])
+            begin = end + 1
+            if line != mark:
                 break
-        elif current is not None:
-            current.append(line)
+        at = end
     return parts
 
 
@@ -82,7 +84,7 @@ class Message:
             self.charset = "latin-1"
         self.root = self._tree(raw)
         if self.charset:
-            declared = next((c for p in self._all(self.root) if (c := p.params.get("charset")) and mail.codec(c) not in ("utf-8", "ascii")), None)
+            declared = next((c for p in self.root.all() if (c := p.params.get("charset")) and mail.codec(c) not in ("utf-8", "ascii")), None)
             if declared is None:
                 self.error = "not valid UTF-8 text, nor in a charset it declares"
             elif mail.codec(declared) != mail.codec("latin-1"):
@@ -92,18 +94,23 @@ class Message:
     def _headers(self, block: str) -> dict[str, str]:
         return mail.header_map(block, lambda v: self.raw_text(v, None))
 
-    def _tree(self, raw: str, path: tuple[int, ...] = (), container: str = "") -> Part:
+    def _tree(self, raw: str) -> Part:
+        """The MIME tree, however deep. What a container was split from is let go, but for the root's."""
         head, rest = mail.split_message(raw)
-        part = Part(path, self._headers(head), rest, container)
-        boundary = part.params.get("boundary")
-        if part.is_container and boundary is not None and len(path) < DEEPEST:
-            part.children = [self._tree(x, (*path, k), part.media_type) for k, x in enumerate(split_parts(rest, boundary))]
-        return part
-
-    def _all(self, part: Part) -> Iterator[Part]:
-        yield part
-        for child in part.children:
-            yield from self._all(child)
+        root = Part((), self._headers(head), rest)
+        open_ = [root]
+        while open_:
+            part = open_.pop()
+            boundary = part.params.get("boundary")
+            if not part.is_container or boundary is None:
+                continue
+            for k, x in enumerate(split_parts(part.raw, boundary)):
+                head, rest = mail.split_message(x)
+                part.children.append(Part((*part.path, k), self._headers(head), rest, part.media_type))
+            if part.children and part is not root:
+                part.raw = ""
+            open_ += part.children
+        return root
 
     # bytes and texts of parts
 
@@ -143,39 +150,54 @@ class Message:
         """(text or Markdown, pictures shown) of the mail, before any cleaning."""
         pictures: list[tuple] = []
 
-        def shown(part: Part) -> str | None:
-            if not part.is_container:
-                found = self.leaf_text(part)
-                if part.media_type == "text/html":
-                    found, more = convert(found, names, style)
-                    pictures.extend(more)
-                return found
-            if "boundary" not in part.params:
-                return None
-            forms = [c for c in part.children if c.is_body]
-            if part.media_type == "multipart/alternative":  # the last form that shows something
-                return next((x for c in reversed(forms) if (x := shown(c)) and x.strip()), None)
-            return "\n\n".join(x for c in forms if (x := shown(c)) and x.strip()) or None
-
-        found = shown(self.root)
+        def leaf(part: Part) -> str:
+            found = self.leaf_text(part)
+            if part.media_type == "text/html":
+                found, more = convert(found, names, style)
+                pictures.extend(more)
+            return found
+
+        # a container waits for its parts, in order, or from the last on for the last form that shows something
+        found, waiting, part = None, [], self.root
+        while True:
+            if part is not None:
+                if part.is_container and "boundary" in part.params:
+                    forms = [c for c in part.children if c.is_body]
+                    last = part.media_type == "multipart/alternative"
+                    waiting.append((forms if last else forms[::-1], last, []))
+                else:
+                    found = None if part.is_container else leaf(part)
+                    if not waiting:
+                        break
+                    if found and found.strip():
+                        waiting[-1][2].append(found)
+                part = None
+            forms, last, texts = waiting[-1]
+            if forms and not (last and texts):
+                part = forms.pop()
+                continue
+            waiting.pop()
+            found = (texts[0] if last else "\n\n".join(texts)) if texts else None
+            if not waiting:
+                break
+            if found and found.strip():
+                waiting[-1][2].append(found)
         if found is None:  # no text: nothing, or what cannot be split as it is
             found = "" if self.root.children else self.root.raw
         return found, pictures
 
     def attachments(self) -> list[Part]:
         """The parts that a user attached, in document order."""
-
-        def inside(part: Part):
-            bodies = [k for k, c in enumerate(part.children) if c.is_body]
-            for k, child in enumerate(part.children):
-                if child.is_container:
-                    yield from inside(child)
-                elif child.media_type not in SMIME:
-                    between = part.media_type == "multipart/mixed" and bool(bodies) and bodies[0] < k < bodies[-1]
-                    if self._attached(child, between):
-                        yield child
-
-        return list(inside(self.root)) if self.root.is_container else []
+        found, stack = [], [(self.root, False)] if self.root.is_container else []
+        while stack:
+            part, between = stack.pop()
+            if part.is_container:
+                bodies = [k for k, c in enumerate(part.children) if c.is_body]
+                mixed = part.media_type == "multipart/mixed" and bool(bodies)
+                stack += [(c, mixed and bodies[0] < k < bodies[-1]) for k, c in reversed(list(enumerate(part.children)))]
+            elif part.media_type not in SMIME and self._attached(part, between):
+                found.append(part)
+        return found
 
     @staticmethod
     def _attached(part: Part, between: bool) -> bool:

@@ -68,8 +68,10 @@ def parse(frame: DataFrame, content: str = "content", style: str = "markdown", n
     read; warnings says so. error is set, and all else null, for a mail that is not
     UTF-8 and declares no charset. A null or empty content is an empty mail. names: a
     column of maps from Content-ID to file name, whose pictures the body embeds. files:
-    with the bytes of attachments and of pictures shown.
+    with the bytes of attachments and of pictures shown. A read_error that came with a
+    mail is its error.
     """
+    unread = "read_error" in frame.columns
 
     def read(data, given):
         mail = Message(data)
@@ -90,6 +92,8 @@ def parse(frame: DataFrame, content: str = "content", style: str = "markdown", n
         return found | {"headers": mail.root.headers, "pictures": shown, "files": out, "charset": mail.charset, "error": None}
 
     parsed = _map_mails(frame, content, _PARSED, read, names)
+    if unread:
+        parsed = parsed.withColumn("error", F.coalesce("read_error", "error")).drop("read_error")
     attached = F.filter("files", lambda f: f["kind"] == "attachment")
     attachments = F.transform(
         attached,
@@ -130,7 +134,7 @@ def parts(frame: DataFrame, content: str = "content", bytes_: bool = False) -> D
     def read(data, _):
         mail = Message(data)
         rows = []
-        for p in [] if mail.error else mail._all(mail.root):
+        for p in [] if mail.error else mail.root.all():
             rows.append(
                 {
                     "path": list(p.path), "container": p.container, "media_type": p.media_type, "params": p.params, "disposition": p.disposition, "filename": p.filename, "content_id": p.content_id,
@@ -146,7 +150,11 @@ def parts(frame: DataFrame, content: str = "content", bytes_: bool = False) -> D
 
 
 def with_between_text(rows: DataFrame, mail_id: str = "mail_id") -> DataFrame:
-    """Rows of parts with is_between_text: body parts on both sides, in one multipart/mixed."""
+    """Rows of parts with is_between_text: body parts on both sides, in one multipart/mixed.
+
+    The parts of a mail meet in one task, with their bytes if rows have them: filter
+    parts without bytes, and read those of the files that are wanted.
+    """
     parent = F.slice("part.path", 1, F.greatest(F.size("part.path") - 1, F.lit(0)))
     siblings = Window.partitionBy(mail_id, F.size("part.path"), parent).orderBy("position")
     body = F.col("part.is_body").cast("int")

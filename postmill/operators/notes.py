@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -75,6 +75,41 @@ def plan_files(messages: DataFrame, pattern: str | None = None, zone: str = "UTC
     return messages.withColumn("planned", planned).drop("_wanted", "_names")
 
 
+#: Files of one name that one task numbers, and names that may be broadcast to their mails.
+NAMED_ALIKE, BROADCAST_RENAMES = 10_000, 100_000
+
+
+def number_over_folder(messages: DataFrame, existing: DataFrame | None = None, mail_id: str = "mail_id") -> DataFrame:
+    """messages whose planned files have names of their own among all mails and the names in existing (name).
+
+    Of files with one name the first in the order of mail_id and position keeps it,
+    unless it exists; the others get the numbers after the largest that the name has
+    already among all. A name that more than NAMED_ALIKE files have is numbered in
+    several tasks, by a hash of mail_id before that order. mail_id names a mail.
+    """
+    files = messages.select(F.col(mail_id).alias("mail"), F.posexplode(F.transform("planned", lambda p: p["file"])).alias("position", "name"))
+    there = (existing.select("name") if existing is not None else messages.sparkSession.createDataFrame([], "name string")).distinct()
+    counts = files.groupBy("name").agg(F.count("*").alias("n")).join(there.withColumn("taken", F.lit(1)), "name", "full")
+    counts = counts.select("name", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("taken", F.lit(0)).alias("taken"))
+    own, kind = C.stem("name"), C.extension("name")
+    numbered = counts.select(F.regexp_extract(own, r"(?s)^(.*)-([0-9]{1,18})$", 1).alias("base"), F.regexp_extract(own, r"(?s)^(.*)-([0-9]{1,18})$", 2).try_cast("long").alias("k"), kind.alias("kind"))
+    largest = numbered.where("k is not null").groupBy("base", "kind").agg(F.max("k").alias("largest"))
+    again = counts.where("n + taken > 1").withColumn("base", own).withColumn("kind", kind).join(largest, ["base", "kind"], "left")
+    again = again.select("name", "base", "kind", "n", "taken", F.coalesce("largest", F.lit(0)).alias("largest"))
+    dealt = files.join(again, "name").withColumn("part", F.when(F.col("n") > NAMED_ALIKE, F.pmod(F.xxhash64("mail"), F.ceil(F.col("n") / NAMED_ALIKE))).otherwise(F.lit(0).cast("long")))
+    before = dealt.groupBy("name", "part").agg(F.count("*").alias("m"))
+    before = before.select(F.col("name").alias("of"), F.col("part").alias("in"), (F.sum("m").over(Window.partitionBy("name").orderBy("part")) - F.col("m")).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("name", "part").orderBy("mail", "position"))
+    ranked = dealt.withColumn("nth", nth).join(before, (F.col("name") == F.col("of")) & (F.col("part") == F.col("in"))).withColumn("number", F.col("before") + F.col("nth") + F.col("taken") - 1)
+    ending = F.when(F.col("kind") != "", F.concat(F.lit("."), "kind")).otherwise(F.lit(""))
+    renamed = ranked.where("number > 0").select("mail", "position", F.concat("base", F.lit("-"), (F.col("largest") + F.col("number")).cast("string"), ending).alias("name"))
+    renames = renamed.groupBy(F.col("mail").alias("of_mail")).agg(F.map_from_entries(F.collect_list(F.struct("position", "name"))).alias("renames"))
+    renames = F.broadcast(renames) if renamed.limit(BROADCAST_RENAMES + 1).count() <= BROADCAST_RENAMES else renames
+    kept = F.transform("planned", lambda p, k: p.withField("file", F.coalesce(F.try_element_at("renames", k), p["file"])))
+    done = messages.join(renames, F.col(mail_id) == F.col("of_mail"), "left").withColumn("planned", F.when(F.col("renames").isNull(), F.col("planned")).otherwise(kept))
+    return done.drop("of_mail", "renames")
+
+
 def link_planned(messages: DataFrame, embed: bool = False) -> DataFrame:
     """messages whose attachments are the planned files: attachments under their new names, then pictures.
 
@@ -111,11 +146,16 @@ def note_path(path) -> Column:
 
 
 def write_status(notes: DataFrame, existing: DataFrame, force: bool = False) -> DataFrame:
-    """notes (path, markdown) with status new, unchanged, conflict or, with force, changed, against existing (path, markdown)."""
+    """notes (path, markdown) with status new, unchanged, conflict or, with force, changed, against existing (path, markdown).
+
+    Notes that share a path are duplicates, whatever stands there; a note without text
+    has failed.
+    """
     there = existing.select(F.col("path").alias("_path"), F.col("markdown").alias("_there"))
     joined = notes.join(there, F.col("path") == F.col("_path"), "left")
     status = (
         F.when(F.col("markdown").isNull(), F.lit("failed"))
+        .when(F.count("markdown").over(Window.partitionBy("path")) > 1, F.lit("duplicate"))
         .when(F.col("_path").isNull(), F.lit("new"))
         .when(F.col("_there") == F.col("markdown"), F.lit("unchanged"))
         .otherwise(F.lit("changed" if force else "conflict"))

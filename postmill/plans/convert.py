@@ -42,10 +42,13 @@ class Options:
             raise UsageError("attachments of a note on standard output need a folder")
 
 
-def convert(mails: DataFrame, options: Options = Options(), taken: str | None = None) -> DataFrame:
+def convert(mails: DataFrame, options: Options = Options(), taken: str | None = None, existing: DataFrame | None = None) -> DataFrame:
     """mails (content, ...) with all columns of messages, the planned files, omitted, and the note as markdown.
 
-    Read once; with pictures, mails that show some are read again with their names.
+    Read once; with pictures, mails that show some are read again with their names. If
+    options name a folder, or existing the names (name) in it, all files get names of
+    their own among all mails and these; for that, mails (with a mail_id) are read once
+    more. taken: a column of names that a mail's files must not have.
     """
     wanted = options.extract or options.pictures
     if options.pictures:
@@ -54,6 +57,8 @@ def convert(mails: DataFrame, options: Options = Options(), taken: str | None =
     if not wanted:
         return N.render(N.omissions(first), options.zone, False, options.style)
     planned = N.plan_files(first, options.pattern, options.zone, options.pictures, taken)
+    if options.folder or existing is not None:
+        planned = N.number_over_folder(planned, existing)
     if not options.pictures:
         return N.render(N.omissions(N.link_planned(planned)), options.zone, True, options.style)
     # the mail rides along to its second reading: nothing is joined or shuffled
@@ -104,34 +109,42 @@ def main(arguments: list[str] | None = None) -> int:
     if inputs == ("-",):
         mails = mail.from_bytes(spark, [sys.stdin.buffer.read()])
     else:
-        mails = mail.read_mail(spark, *map(os.path.abspath, inputs), pattern="*")
+        mails = mail.read_mail_tolerant(spark, *map(os.path.abspath, inputs), pattern="*")
     to_screen = options.output == "-" or (options.output is None and inputs == ("-",))
     folder = options.folder or os.path.dirname(os.path.abspath(options.output if options.output and not to_screen else inputs[0]))
     used = mail.existing_names(spark, f"file://{os.path.abspath(folder)}") if options.extract or options.pictures else []
-    mails = mails.withColumn("_taken", F.array(*map(F.lit, used)).cast("array<string>"))
+    names = spark.createDataFrame([(n,) for n in used], "name string")
     target = F.lit(f"file:{os.path.abspath(options.output)}") if options.output and not to_screen else N.note_path("path")
-    made = convert(mails, options, "_taken").withColumn("path", target).cache()
+    made = sinks.once(convert(mails, options, existing=names).withColumn("path", target))
     for row in made.select("mail_id", "error", "warnings", "omitted").toLocalIterator():
         for said in [row.error] if row.error else [*row.warnings, row.omitted] if options.verbose else []:
             if said:
                 print(f"postmill: {row.mail_id}: {said}", file=sys.stderr)
     failed = not made.where("error is not null").isEmpty()
-    if to_screen:
-        sys.stdout.writelines(sinks.to_standard_output(made))
-        if options.extract or options.pictures:
-            sinks.write_files(made, folder)
-        return int(failed)
-    folders = {os.path.dirname(os.path.abspath(options.output or p)) for p in inputs}
+    wanted = options.extract or options.pictures
     try:
+        if to_screen:
+            if wanted:
+                sinks.write_files(made, folder)
+            sys.stdout.writelines(sinks.to_standard_output(made))
+            return int(failed)
+        folders = {os.path.dirname(os.path.abspath(options.output or p)) for p in inputs}
+        for missing in sorted(f for f in folders if not os.path.isdir(f)):
+            raise sinks.Unwritable(f"{missing}: no such folder")
         existing = mail.existing_notes(spark, *folders)
         notes = made.where("error is null")
-        sinks.check(N.write_status(notes, existing, options.force))
-        if options.extract or options.pictures:
+        status = N.write_status(notes, existing, options.force)
+        sinks.check(status)
+        sinks.check_folders(status.where(F.col("status").isin("new", "changed")).select("path"))
+        if wanted:
             sinks.write_files(notes, folder)
         sinks.write_notes(notes, existing, options.force)
-    except sinks.Conflict as error:
+    except (sinks.Conflict, sinks.Unwritable) as error:
         print(f"postmill: {error}", file=sys.stderr)
         return 1
+    except OSError as error:
+        print(f"postmill: {error.filename or folder}: cannot be written", file=sys.stderr)
+        return 1
     return int(failed)
 
 

@@ -424,9 +424,6 @@ def blank_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-    select doc_id, '"' || replace(replace(replace(replace(replace(replace('\' || text, '\', '\\'), '"', '\"'), chr(10), '\n'), 'e', '\x07'), 'n', '\x85'), '\x85', '\N') || '"' as quoted
-    from (select doc_id, replace(replace(replace(text, 'e', chr(7)), 'n', chr(133)), 'x', '"') as text from documents) where false
-    union all
     select doc_id, '"' || replace(replace(replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(7), '\x07'), chr(133), '\N') || '"'
     from (select doc_id, replace(replace(replace(text, 'e', chr(7)), 'a', chr(133)), 'i', '"\') as text from documents)""")
 def yaml_quote(spark: SparkSession, sf_dir: str) -> DataFrame:

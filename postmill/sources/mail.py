@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,33 @@ def read_mail(spark: SparkSession, *paths: str, pattern: str = "*.eml", recursiv
     return files.select(F.col("path").alias("mail_id"), "path", "content")
 
 
+def read_one(path: str) -> tuple[bytes | None, str | None]:
+    """(content, None) of a file, or (None, why it cannot be read)."""
+    try:
+        system, name = fs.FileSystem.from_uri(re.sub(r"^file:/*", "file:///", path))
+        with system.open_input_stream(name, compression=None) as stream:
+            return stream.read(), None
+    except Exception as error:  # whatever a file system raises
+        return None, f"cannot be read: {type(error).__name__}"
+
+
+def read_mail_tolerant(spark: SparkSession, *paths: str, pattern: str = "*.eml", recursive: bool = True) -> DataFrame:
+    """The rows of read_mail with read_error: why a file cannot be read, with a null content; other files go on.
+
+    Spark lists the files and the executors open them one by one, so a file that is in
+    the way costs a row and not the job. For file systems that pyarrow can open.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(list(paths))
+
+    def opened(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                content, problem = read_one(path)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([path]), pa.array([content], pa.binary()), pa.array([problem], pa.string())], names=["mail_id", "path", "content", "read_error"])
+
+    return files.select("path").mapInArrow(opened, f"{COLUMNS}, read_error string")
+
+
 def from_bytes(spark: SparkSession, mails: Iterable[bytes]) -> DataFrame:
     """(mail_id, path, content) of mails at hand, as from standard input; no bytes at all are an empty mail."""
     rows = [(f"stdin-{k}", None, bytearray(m)) for k, m in enumerate(mails)]

@@ -70,8 +70,22 @@ def test_patterns(spark):
 
 
 def test_small_ones(spark):
-    assert values(spark, C.longest_run("x"), ["a``b```c", "none", ""]) == [3, 0, 0]
-    assert values(spark, C.collapse_spaces("x"), ["a \u00a0\n\tb"]) == ["a b"]
     assert values(spark, C.base64_text("x"), ["w6Q=", "w6Q", "/w==", "a b"]) == ["ä", "w6Q", "/w==", "a b"]
     assert values(spark, C.image_grid("x"), [["a", "b", "c"]], kind="array<string>") == ["|  |  |\n|---|---|\n| ![[a]] | ![[b]] |\n| ![[c]] |  |"]
-    assert values(spark, C.markdown_table(["A", "B"], "x"), [[["1", "a|b"], ["2", ""]]], kind="array<array<string>>") == ["| A | B |\n|---|---|\n| 1 | a\\|b |\n| 2 |  |"]
+    assert values(spark, C.header_block("x"), ["a: b\r\n\r\nc", "a: b"]) == ["a: b", "a: b"] and values(spark, C.body_block("x"), ["a: b\r\n\r\nc", "a: b", "\n\nx"]) == ["c", "", "x"]
+    assert values(spark, C.headers("x"), ["A: 1\nb:2\na:  3 \n"]) == [{"b": "2", "a": "3"}]
+
+
+def test_numbers_of_names(spark):
+    names = ["a.b", "a.b", "a-2.b", "a.b", "a-01.b", "a.b", "x", "x", "a-1.b", "a.b", "-.b", "-.b"]
+    done, want = [], []
+    for n in names:
+        stem, _, kind = n.rpartition(".") if "." in n else (n, "", "")
+        k = 1
+        found = n
+        while found in done:
+            found, k = f"{stem}-{k}" + (f".{kind}" if kind else ""), k + 1
+        done.append(found)
+        want.append(found)
+    assert values(spark, C.unique_names("x"), [names], kind="array<string>") == [want]
+    assert values(spark, C.yaml_quoted("x"), ["a\x00\x1f\n\t\u2028\x85\x9f\\\"", None, ""]) == ['"a\\x00\\x1F\\n\t\\L\\N\\x9F\\\\\\""', None, '""']

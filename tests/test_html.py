@@ -220,3 +220,13 @@ def test_columns(widths, contents, expected):
 
 def test_brackets():
     assert escape_brackets("[a] `[b]` ``[`c``[") == "\\[a\\] `[b]` ``[`c``\\["
+
+
+def test_elements_of_any_depth():
+    for levels in (505, 520, 5000):
+        html = "<div>" * levels + "<b>bold</b><ul><li>i</ul><code>c</code>" + "</div>" * levels
+        assert convert(html)[0] == "**bold**\n\n- i\n\n`c`"
+
+
+def test_formatting_alike_is_reopened_three_times_at_most():
+    assert convert("<p>" + "<i>" * 500 + "x<p>y<p>z")[0] == "*x*\n\n*y*\n\n*z*"

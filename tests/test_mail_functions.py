@@ -161,3 +161,15 @@ def test_picture_sizes():
     assert images.natural_size(b"<svg/>") is None and images.natural_size(b"") is None and images.natural_size(png[:20]) is None
     assert images.display_size(10, None, (30, 20)) == (10, 7) and images.display_size(None, 10, (30, 20)) == (15, 10)
     assert images.display_size(1, 2, None) == (1, 2) and images.display_size(1, None, None) is None and images.display_size(None, None, (3, 4)) == (3, 4)
+
+
+def test_cleaning_takes_no_longer_than_the_text_is_long():
+    import time
+
+    from postmill.functions.body import clean
+
+    link = "https://example.com/" + "a" * 4000
+    for text, want in ((f"{link} <{link}>", link), ("\n".join(f"An ordinary line of text {k}." for k in range(4000)), None), ("<http://a>" * 20000, None)):
+        start = time.perf_counter()
+        found = clean(text)
+        assert time.perf_counter() - start < 1 and found == (want or text)

@@ -150,3 +150,17 @@ def test_write_status(spark):
     for force, changed in ((False, "conflict"), (True, "changed")):
         found = {r.path: r.status for r in N.write_status(notes, there, force).collect()}
         assert found == {"/a": "new", "/b": "unchanged", "/c": changed, "/d": "failed"}
+
+
+def _nested(levels):
+    head = "".join(f'Content-Type: multipart/mixed; boundary="b{k}"\r\n\r\n--b{k}\r\n' for k in range(levels))
+    return (head + "Content-Type: text/plain\r\n\r\nthe text" + "".join(f"\r\n--b{k}--\r\n" for k in reversed(range(levels)))).encode()
+
+
+def test_containers_of_any_depth():
+    from postmill.functions.message import Message
+
+    for levels in (1, 100, 101, 5000):
+        mail = Message(_nested(levels))
+        assert mail.fields()["body"] == "the text" and len(list(mail.root.all())) == levels + 1
+        assert [len(p.path) for p in mail.root.leaves()] == [levels]

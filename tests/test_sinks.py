@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from postmill.operators import notes as notes_operators
 from postmill.plans.convert import Options, convert, main
 from postmill.sources import mail, sinks
 from postmill.streaming.notes import note_stream, start
@@ -52,6 +53,74 @@ def test_attachments(spark, folder):
     assert "l.png" in mail.existing_names(spark, f"file://{folder}/out") and mail.existing_names(spark, f"file://{folder}/none") == []
 
 
+PDF = "Content-Type: application/pdf\r\nContent-Disposition: attachment; filename=%s\r\n\r\n%s"
+
+
+def letters(folder, files):
+    """A mail of its own for each (mail, names of files)."""
+    for k, (name, names) in enumerate(files):
+        parts = "".join(f"--b\r\n{PDF % (x, f'{name} {x} {i}')}\r\n" for i, x in enumerate(names))
+        (folder / "in" / name).write_bytes(f'Subject: {k}\r\nContent-Type: multipart/mixed; boundary=b\r\n\r\n--b\r\n\r\ntext\r\n{parts}--b--\r\n'.encode())
+
+
+def test_files_of_many_mails_in_one_folder(spark, folder, monkeypatch):
+    """None is lost and none that stands there is replaced."""
+    for name in ("a.eml", "b.eml"):
+        (folder / "in" / name).unlink()
+    letters(folder, [(f"m{k}.eml", ["r.pdf", "r.pdf", "r-2.pdf", f"own{k}.pdf"]) for k in range(6)])
+    (folder / "out").mkdir()
+    (folder / "out" / "r.pdf").write_bytes(b"mine")
+    mails = mail.read_mail(spark, str(folder / "in"))
+    with pytest.raises(sinks.Conflict, match=r"several mails|exists"):
+        sinks.write_files(convert(mails, Options(extract=True)), str(folder / "out"))
+    assert os.listdir(folder / "out") == ["r.pdf"]
+    for most in (10_000, 3):
+        monkeypatch.setattr(notes_operators, "NAMED_ALIKE", most)
+        out = folder / f"out{most}"
+        out.mkdir()
+        (out / "r.pdf").write_bytes(b"mine")
+        existing = spark.createDataFrame([(n,) for n in mail.existing_names(spark, f"file://{out}")], "name string")
+        done = convert(mails, Options(extract=True, folder=str(out)), existing=existing)
+        sinks.write_files(done, str(out))
+        names = sorted(n for n in os.listdir(out) if not n.startswith("."))
+        assert len(names) == 1 + 6 * 4 and (out / "r.pdf").read_bytes() == b"mine"
+        held = sorted((out / n).read_bytes().decode() for n in names if n != "r.pdf")
+        assert held == sorted(f"m{k}.eml {x} {i}" for k in range(6) for i, x in enumerate(["r.pdf", "r.pdf", "r-2.pdf", f"own{k}.pdf"]))
+        for r in done.collect():  # notes link the names that were given
+            assert all(f"[[{a.name}" in r.markdown for a in r.attachments)
+            assert [(out / p.file).read_bytes() for p in r.planned] == [bytes(p.content) for p in r.planned]
+
+
+def test_two_notes_of_one_path(spark, folder):
+    rows = spark.createDataFrame([("/x/a.md", "one"), ("/x/a.md", "two"), ("/x/b.md", "three"), ("/x/c.md", None), ("/x/c.md", "four")], "path string, markdown string")
+    none = spark.createDataFrame([], "path string, markdown string")
+    found = sorted((r.path, r.status) for r in sinks.write_status(rows, none).collect())
+    assert found == [("/x/a.md", "duplicate"), ("/x/a.md", "duplicate"), ("/x/b.md", "new"), ("/x/c.md", "failed"), ("/x/c.md", "new")]
+    with pytest.raises(sinks.Conflict, match=r"/x/a\.md: several mails"):
+        sinks.write_notes(rows, none, force=True)
+
+
+def test_folders_are_checked_first(spark, folder):
+    none = spark.createDataFrame([], "path string, markdown string")
+    rows = spark.createDataFrame([(f"{folder}/in/new.md", "one"), (f"{folder}/missing/b.md", "two")], "path string, markdown string")
+    with pytest.raises(sinks.Unwritable, match="missing: no such folder"):
+        sinks.write_notes(rows, none)
+    assert not (folder / "in" / "new.md").exists()
+    (folder / "in" / "x.md").mkdir()
+    with pytest.raises(sinks.Unwritable, match="cannot be written"):
+        sinks.write_notes(spark.createDataFrame([(f"{folder}/in/x.md", "one")], "path string, markdown string"), none)
+
+
+def test_an_unreadable_file_is_a_row(spark, folder):
+    assert mail.read_one(f"file:{folder}/in/none.eml") == (None, "cannot be read: FileNotFoundError")
+    assert mail.read_one(f"file:{folder}/in")[1].startswith("cannot be read")
+    rows = mail.read_mail_tolerant(spark, str(folder / "in")).collect()
+    assert {os.path.basename(r.path): (bytes(r.content)[:9], r.read_error) for r in rows}["b.eml"] == (b"Subject: ", None)
+    bad = spark.createDataFrame([("x", "x", None, "cannot be read: PermissionError"), ("y", "y", bytearray(b"Subject: y"), None)], mail.COLUMNS + ", read_error string")
+    rows = {r.path: r for r in convert(bad).collect()}
+    assert rows["x"].error == "cannot be read: PermissionError" and rows["x"].markdown is None and rows["y"].error is None and "read_error" not in rows["x"]
+
+
 def test_stream(spark, folder):
     run = lambda: start(note_stream(spark, str(folder / "in")), str(folder / "t"), str(folder / "cp")).awaitTermination()
     run()
@@ -72,6 +141,8 @@ def test_command_line(spark, folder, capsys):
     assert main([str(folder / "in" / "a.eml"), "--inline-images", "-d", str(folder / "x"), "--attachment-name={name}-{date}"]) == 0
     assert "l-2026-02-03.png" in os.listdir(folder / "x")
     capsys.readouterr()
+    assert main([path, "-o", str(folder / "no" / "b.md")]) == 1 and "no such folder" in capsys.readouterr().err
+    assert main([str(folder / "in" / "a.eml"), "-x", "-f", "-d", str(folder / "in" / "b.eml")]) == 1 and "cannot be written" in capsys.readouterr().err
     assert main([str(folder / "none.eml")]) == 1 and "No such file" in capsys.readouterr().err
     assert main([str(folder)]) == 1 and "Is a directory" in capsys.readouterr().err
     assert main(["--version"]) == 0 and main(["-h"]) == 0 and "postmill 0" in capsys.readouterr().out
