@@ -340,6 +340,39 @@ def embedded_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert(_letters(spark, sf_dir), Options(pictures=True)).select("mail_id", "markdown")
 
 
+@query("""
+    select (p_partkey // 2)::bigint::varchar as mail_id,
+        string_agg(case p_partkey % 2 when 0 then 'Ä_' || p_size || ' p' || p_partkey || ';x.pdf' else 'ä ' || p_partkey || '.png' end, '|' order by p_partkey) as names
+    from part group by p_partkey // 2""")
+def continued_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names in sections that come in any order, with escaped bytes of a charset, and a semicolon in quotes."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    sections = F.concat(F.lit("attachment;\r\n filename*1=\" p"), key, F.lit(";x.pdf\"; filename*0*=utf-8''%C3%84_"), size)
+    one = F.when(F.col("p_partkey") % 2 == 0, part("application/pdf", "x", header("Content-Disposition", sections))).otherwise(
+        part(F.concat(F.lit("image/png; name*=iso-8859-1'de'%E4%20"), key, F.lit(".png")), "x", "Content-Disposition: attachment")
+    )
+    mails = table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 2).cast("long").alias("k")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", one.alias("one")))).alias("rows"))
+    done = M.parse(mail(mails, "k", multipart("mixed", F.transform("rows", lambda r: r["one"]))).select("mail_id", "content"))
+    return done.select("mail_id", F.array_join(F.transform("attachments", lambda a: a["name"]), "|").alias("names"))
+
+
+@query("select doc_id::varchar as mail_id, 'f' || (doc_id % 3) || '.txt' as name, octet_length(encode(text))::bigint as size, sha256(text) as digest from documents where text is not null and not contains(text, chr(13))")
+def file_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of attached files, in base64, quoted-printable and as they are."""
+    documents = table(spark, sf_dir, "documents").where(F.col("text").isNotNull() & ~F.col("text").contains("\r"))
+    kind, text = F.col("doc_id") % 3, F.col("text")
+    named = F.concat(F.lit('attachment; filename="f'), kind.cast("string"), F.lit('.txt"'))
+    file = lambda body, *more: part("text/plain; charset=utf-8", body, header("Content-Disposition", named), *more)
+    one = (
+        F.when(kind == 0, file(base64(text), "Content-Transfer-Encoding: base64"))
+        .when(kind == 1, file(quoted_printable(text), "Content-Transfer-Encoding: Quoted-Printable"))
+        .otherwise(file(text, "Content-Transfer-Encoding: 8bit"))
+    )
+    done = M.parse(mail(documents, "doc_id", multipart("mixed", F.array(part("text/plain", "see file"), one))).select("mail_id", "content"), files=True)
+    content = F.col("files")[0]["content"]
+    return done.select("mail_id", F.col("files")[0]["name"].alias("name"), F.octet_length(content).cast("long").alias("size"), F.sha2(content, 256).alias("digest"))
+
+
 # Names of files
 
 
@@ -372,9 +405,77 @@ def linkable_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("p_partkey", C.linkable(C.safe_name("own", F.lit("text/plain"))).alias("name"))
 
 
+@query("""
+    with named as (
+        select p_partkey, p_size, row_number() over (partition by p_size order by (p_partkey // 10)::bigint::varchar, p_partkey) - 1 as n from part),
+    taken as (select *, n + case when p_size = 7 then 1 else 0 end as number from named)
+    select (p_partkey // 10)::bigint::varchar as mail_id,
+        string_agg('s' || p_size || case when number = 0 then '' else '-' || number end || '.pdf', '|' order by p_partkey) as names
+    from taken group by p_partkey // 10""")
+def shared_folder_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of many mails in one folder, where one name is in use: each gets a name of its own."""
+    name = F.concat(F.lit('attachment; filename="s'), F.col("p_size").cast("string"), F.lit('.pdf"'))
+    one = part("application/pdf", "x", header("Content-Disposition", name))
+    mails = table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / 10).cast("long").alias("k")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", one.alias("one")))).alias("rows"))
+    # names within a mail are made unlike only once all mails are looked at
+    first = M.parse(mail(mails, "k", multipart("mixed", F.transform("rows", lambda r: r["one"]))).select("mail_id", "content"))
+    planned = first.withColumn("planned", F.transform("files", lambda f: F.struct(f["name"].alias("file"), f["name"].alias("source_name"))))
+    done = N.number_over_folder(planned, spark.createDataFrame([("s7.pdf",)], "name string"))
+    return done.select("mail_id", F.array_join(F.transform("planned", lambda p: p["file"]), "|").alias("names"))
+
+
+@query("""
+    select o_orderkey::varchar as mail_id, case when o_orderkey % 3 = 0 then 'a-' || o_orderkey || '.pdf' else strftime(o_orderdate, '%Y-%m-%d') || ' a-' || o_orderkey || '.pdf' end as file,
+        case when o_orderkey % 3 = 0 then 'no date for the file names' end as warning
+    from orders""")
+def naming_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern names the files of dated mails; those of undated ones keep their names, and a warning says so."""
+    orders, key = table(spark, sf_dir, "orders"), F.col("o_orderkey").cast("string")
+    date = F.when(F.col("o_orderkey") % 3 == 0, F.lit("X: y")).otherwise(header("Date", F.date_format("o_orderdate", "dd MMM yyyy HH:mm:ss '+0000'")))
+    file = part("application/pdf", "x", header("Content-Disposition", F.concat(F.lit("attachment; filename=a#"), key, F.lit(".pdf"))))
+    parsed = M.parse(mail(orders, "o_orderkey", multipart("mixed", F.array(file), date)).select("mail_id", "content"))
+    done = N.plan_files(parsed, "{date} {name}")
+    return done.select("mail_id", F.col("planned")[0]["file"].alias("file"), F.get(F.filter("warnings", lambda w: w.contains("file names")), F.lit(0)).alias("warning"))
+
+
+@query("""
+    select o_orderkey::varchar as mail_id, strftime(date_trunc('second', o_orderdate) + interval 5 hour + interval 30 minute, '%Y-%m-%dT%H:%M') as created from orders""")
+def local_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instants as the reader's clock shows them, half an hour off the hours."""
+    shown = F.date_format("o_orderdate", "dd MMM yyyy HH:mm:ss '+0000'")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("mail_id"), C.local_time(C.instant(shown), "Asia/Kolkata").alias("created"))
+
+
 # Invisible characters and ballast
 
 
+@query("select s_suppkey::varchar as mail_id, 'select a from b where' || chr(10) || 'x = ' || s_suppkey as body, 5::bigint as joiners from supplier")
+def code_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spaces of code blocks that some senders write as three characters; a joiner by itself stays and is counted."""
+    space = "\u00a0\u200d\u200b"
+    words = F.lit(f"select{space}a{space}from{space}b{space}where\r\nx{space}={space}")
+    raw = F.concat(lines("Content-Type: text/plain; charset=utf-8", ""), F.lit("\r\n"), words, F.col("s_suppkey").cast("string"), F.lit("\r\n"))
+    tail = F.concat(raw, F.lit(f"\r\n[cid:{'a' + chr(0x200D)}b{chr(0x200D)}c{chr(0x200D)}d{chr(0x200D)}e{chr(0x200D)}f]\r\n"))
+    done = M.parse(mail(table(spark, sf_dir, "supplier"), "s_suppkey", tail).select("mail_id", "content"))
+    return done.select("mail_id", "body", F.col("invisible.joiners").alias("joiners"))
+
+
+@query("""
+    select s_suppkey::varchar as mail_id, 'before' || chr(10) || chr(10) || '```sql' || chr(10) || '[cid:' || s_suppkey || ']  ' || chr(10) || chr(10) || chr(10) || chr(10) || 'end #x' || chr(10)
+        || '```' || chr(10) || chr(10) || 'after \\#' || s_name || chr(10) || '~~~' || chr(10) || 'open' as body
+    from supplier""")
+def fenced_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fenced code stays as it is; a fence that does not close is text."""
+    key = F.col("s_suppkey").cast("string")
+    text = F.concat_ws(
+        "\r\n", F.lit("before  "), F.lit(""), F.lit(""), F.lit("```sql"), F.concat(F.lit("[cid:"), key, F.lit("]  ")), F.lit(""), F.lit(""), F.lit(""), F.lit("end #x"), F.lit("```"), F.lit(""), F.lit(""),
+        F.concat(F.lit("after #"), F.col("s_name"), F.lit("  ")), F.lit("~~~"), F.lit("open [cid:x]"),
+    )
+    raw = F.concat(F.lit("Subject: x\r\n\r\n"), text)
+    done = M.parse(mail(table(spark, sf_dir, "supplier"), "s_suppkey", raw).select("mail_id", "content"))
+    return done.select("mail_id", N.escaped_tags("body").alias("body"))
+
+
 @query(f"select doc_id::varchar as mail_id, {_CLEAN} as body, 'invisible characters: removed 9 (zero-width chains 6, tag characters 1, ZWSP 1, BOM 1), kept 3 (ZWJ 1, LRM/RLM 1, bidi controls 1)' as summary from (select doc_id, text || ' ab\u200dc\u200ed\u202eef.' as text from documents)")
 def invisible_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fillers and strays are removed, what may be meant is kept and counted."""
@@ -424,7 +525,7 @@ def blank_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-    select doc_id, '"' || replace(replace(replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(7), '\x07'), chr(133), '\N') || '"'
+    select doc_id, '"' || replace(replace(replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n'), chr(7), '\x07'), chr(133), '\N') || '"' as quoted
     from (select doc_id, replace(replace(replace(text, 'e', chr(7)), 'a', chr(133)), 'i', '"\') as text from documents)""")
 def yaml_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes, backslashes, line ends and controls in frontmatter."""
@@ -522,6 +623,48 @@ def html_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _html(supplier, "s_suppkey", html, "obsidian")
 
 
+@query("""
+    select s_suppkey::varchar as mail_id, 'Name ' || s_name || chr(10) || 'Key ' || s_suppkey || chr(10) || '**Title ' || s_nationkey || '**' || chr(10) || 'plain' as body from supplier""")
+def layout_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of tables that only lay out, on one line each, and header cells outside of data in bold."""
+    supplier = table(spark, sf_dir, "supplier")
+    html = F.concat(
+        F.lit("<table role=presentation><tr><td>Name</td><td>"), F.col("s_name"), F.lit("</td></tr><tr><td>Key<td>"), F.col("s_suppkey").cast("string"),
+        F.lit("<tr><th>Title "), F.col("s_nationkey").cast("string"), F.lit("</th></tr><tr><th style='font-weight:normal'>plain</th></tr></table>"),
+    )
+    return _html(supplier, "s_suppkey", html)
+
+
+@query(r"""
+    select s_suppkey::varchar as mail_id,
+        case s_suppkey % 3 when 0 then '| From | To |' || chr(10) || '|---|---|' || chr(10) || '| ' || s_name || ' | ' || s_suppkey || '\|x |'
+            when 1 then '|  |  |' || chr(10) || '|---|---|' || chr(10) || '| From | To |' || chr(10) || '| ' || s_name || ' | ' || s_suppkey || '\|x |'
+            else 'From' || chr(10) || s_name || chr(10) || 'To' || chr(10) || s_suppkey || '|x' end as body
+    from supplier""")
+def mjml_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns side by side as a table, under titles or an empty header; columns wider than the page one below the other."""
+    supplier, kind = table(spark, sf_dir, "supplier"), F.col("s_suppkey") % 3
+    width = F.when(kind == 2, F.lit("66")).otherwise(F.lit("50"))
+    bold = lambda x: F.when(kind == 0, F.lit(f"<b>{x}</b>")).otherwise(F.lit(x))
+    column = lambda title, value: F.concat(F.lit("<div class='mj-column-per-"), width, F.lit("'><div>"), bold(title), F.lit("</div><div>"), value, F.lit("</div></div>"))
+    html = F.concat(F.lit("<div>"), column("From", F.col("s_name")), column("To", F.concat(F.col("s_suppkey").cast("string"), F.lit("|x"))), F.lit("</div>"))
+    return _html(supplier, "s_suppkey", html)
+
+
+@query("""
+    select s_suppkey::varchar as mail_id, '**bold** ' || s_name || ' **more** **six** upright *' || s_suppkey || '* ' || chr(128512) || ' ' || chr(65533) || 'x' || chr(10) || chr(10)
+        || '`` a`' || s_suppkey || ' `` `b`' || chr(10) || chr(10) || '`````' || chr(10) || '```' || chr(10) || s_name || chr(10) || '```` x' || chr(10) || '`````' as body
+    from supplier""")
+def weights_and_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight and slant by style, halves of an emoji, and code that holds backticks."""
+    supplier, key = table(spark, sf_dir, "supplier"), F.col("s_suppkey").cast("string")
+    html = F.concat(
+        F.lit("<p><b>bold <span style='font-weight:normal'>"), F.col("s_name"), F.lit("</span> more</b> <span style='font-weight:600'>six</span> <em style='font-style:normal'>upright</em> <span style='font-style:oblique'>"),
+        key, F.lit("</span> &#xD83D;&#56832; &#55357;x</p><p><code>a`"), key, F.lit("</code> <code>b</code></p><pre>\n```\n"), F.col("s_name"), F.lit("\n```` x\n</pre>"),
+    )
+    return _html(supplier, "s_suppkey", html)
+
+
 @query()
 def pages_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw web pages as Markdown: trees with open tags, which SQL cannot repair."""
