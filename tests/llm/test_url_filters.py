@@ -42,3 +42,10 @@ def test_no_rules_and_no_rows(spark):
     frame = spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")
     assert u.url_filters(frame, [], otherwise="block").first().verdict == "block"
     assert u.url_filters(frame.limit(0), URL_RULES).count() == 0
+
+
+def test_clashing_names_nulls_and_repeats(spark):
+    names = ["u", "r", "host", "verdict", "lengths"]
+    frame = spark.createDataFrame([("http://a.org/x", *range(5)), ("http://a.org/x", *range(5)), (None, *range(5))], ["url", *names])
+    rows = u.url_filters(frame, [("org", "/", "block")]).collect()
+    assert sorted((r.verdict, r.host, r.u, r.r, r.lengths) for r in rows) == [("allow", "", 0, 1, 4), ("block", "a.org", 0, 1, 4), ("block", "a.org", 0, 1, 4)]
