@@ -29,7 +29,8 @@ EMOJI = (
 TONES = "\U0001f3fb-\U0001f3ff"
 COUNTERS = ("zero_width_chains", "tag_characters", "zero_width_spaces", "byte_order_marks", "joiners", "direction_marks", "bidi_controls")
 
-_RUN = re.compile(f"[{ZERO_WIDTH}{HORIZONTAL}]+")
+# a run of spaces alone is no match, so plain text costs no call
+_RUN = re.compile(f"[{HORIZONTAL}]*[{ZERO_WIDTH}][{ZERO_WIDTH}{HORIZONTAL}]*")
 _NO_WIDTH = re.compile(f"[{ZERO_WIDTH}]")
 _SPACE = re.compile(f"[{HORIZONTAL}]")
 _STRAY = re.compile("(\U0001f3f4[\U000e0020-\U000e007e]+\U000e007f)|(\u200b)|(\ufeff)|[\U000e0000-\U000e007f]")

@@ -19,8 +19,9 @@ _WESTERN = {"iso8859-1", "ascii", "cp1252"}
 
 _SEGMENT = re.compile(r'(?:=[ \t]*"(?:\\.|[^"\\])*(?:"|\Z)|[^;])*', re.S)
 _ENCODED_WORD = re.compile(r"=\?([^?]+)\?([BbQq])\?([^?]*)\?=")
-_QUOTED = re.compile(rb"=(?:(\n)|(\Z)|([0-9A-Fa-f]{2}))")
-_QUOTED_HEADER = re.compile(rb"=([0-9A-Fa-f]{2})")
+# escapes in a row are decoded at once
+_ESCAPES = re.compile(rb"(?:=[0-9A-Fa-f]{2})+")
+_ESCAPES_OR_SOFT_END = re.compile(rb"=(?:\n|\Z)|((?:=[0-9A-Fa-f]{2})+)")
 _PERCENT = re.compile(rb"%([0-9A-Fa-f]{2})")
 _PIECE = re.compile(r'(?:"(?:\\.|[^"\\])*(?:"|\Z)|[^",])+', re.S)
 _PHRASE = re.compile(r'"((?:\\.|[^"\\])*)"|([ \t]+)|([^" \t]+)', re.S)
@@ -141,8 +142,8 @@ def decode_text(data: bytes, charset: str | None) -> str | None:
 def quoted_printable(data: bytes, header: bool = False) -> bytes:
     """Decoded bytes; an escape that is none stays. In headers "_" is a space and lines have no soft ends."""
     if header:
-        return _QUOTED_HEADER.sub(lambda m: bytes([int(m[1], 16)]), data.replace(b"_", b" "))
-    return _QUOTED.sub(lambda m: bytes([int(m[3], 16)]) if m[3] else b"", data)
+        return _ESCAPES.sub(lambda m: binascii.unhexlify(m[0].replace(b"=", b"")), data.replace(b"_", b" "))
+    return _ESCAPES_OR_SOFT_END.sub(lambda m: binascii.unhexlify(m[1].replace(b"=", b"")) if m[1] else b"", data)
 
 
 def base64_bytes(text: str) -> bytes | None:
