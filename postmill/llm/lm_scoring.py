@@ -33,8 +33,8 @@ from pyspark.sql.types import ArrayType, StructField, StructType
 from postmill.llm.common import Scratch, lean, small_batches
 from postmill.llm.ngram_join import _BASE, STEP, _mix, word_hashes
 
-#: Words of the longest context.
-DEPTH = 3
+#: Words of the longest context. Each one more is some two bytes a token to shuffle.
+DEPTH = 2
 #: Nats a token by which a retained context diverges.
 DIVERGENCE = 0.01
 #: Hash of the end of a text, which is a token.
@@ -44,8 +44,8 @@ ADDED = 0.1
 COMMON = 1 << 24
 #: Tokens of a shard on average, and those that a task deals at once. A context is hot from twice a shard's tokens on.
 SHARD_TOKENS, BLOCK_TOKENS = 1_000_000, 1_000_000
-#: Scores travel in units of 1 / UNIT.
-UNIT = float(1 << 28)
+#: Tokens that are scored at once, or all that follow one word. Scores travel in units of 1 / UNIT.
+PIECE_TOKENS, UNIT = 200_000, float(1 << 20)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -102,7 +102,7 @@ def _planes(x: np.ndarray) -> bytes:
 def _unplaned(data: memoryview, kind: str, n: int) -> tuple[np.ndarray, memoryview]:
     size = np.dtype(kind).itemsize
     found = np.frombuffer(data, np.uint8, n * size).reshape(size, n)
-    return np.ascontiguousarray(found.T).view(kind).ravel(), data[n * size :]
+    return found.T.copy().view(kind).ravel(), data[n * size :]
 
 
 def pack(columns: list[np.ndarray], kinds: str) -> bytes:
@@ -117,7 +117,7 @@ def unpack(data: bytes, kinds: str) -> list[np.ndarray]:
     lengths, rest, out = np.frombuffer(rest, "<i8", len(kinds)).tolist(), rest[8 * len(kinds) :], []
     for n, k in zip(lengths, kinds, strict=True):
         found, rest = _unplaned(rest, {"i": "<i4", "q": "<i8", "d": "<f8"}[k], n)
-        out.append(found.astype(np.int64) if k == "i" else found)
+        out.append(found)
     return out
 
 
@@ -168,14 +168,15 @@ def deal(block: int, hashes: np.ndarray, firsts: np.ndarray, salt: np.ndarray, l
     """
     n, most, depth = len(hashes), len(codes.counts), len(hot)
     at = _find(codes.hashes, hashes)
-    word = np.empty(n, np.int64)
+    word = np.empty(n, np.int32)
     word[at >= 0] = codes.codes[at[at >= 0]]
     unknown, place = np.unique(hashes[at < 0], return_inverse=True)
     word[at < 0] = most + place
     rows, into = _places(firsts, n)
-    columns = [np.where(into >= k, np.roll(word, k), 0) for k in range(1, depth + 1)] + [word]
-    texts = 2 * rows + learned[rows]
+    columns = [np.where(into >= k, np.roll(word, k), np.int32(0)) for k in range(1, depth + 1)] + [word]
+    texts = (2 * rows + learned[rows]).astype(np.int32)
     shard = shards_of(hashes, into, salt[rows], hot, shards)
+    del at, rows, into
     order = np.argsort(shard, kind="stable")
     bounds = np.searchsorted(shard[order], np.arange(shards + 1))
     out = []
@@ -183,7 +184,8 @@ def deal(block: int, hashes: np.ndarray, firsts: np.ndarray, salt: np.ndarray, l
         take = order[bounds[s] : bounds[s + 1]]
         mine = [x[take] for x in columns]
         rare = np.unique(np.concatenate([x[x >= most] for x in mine]))
-        mine = [np.where(x >= most, most + np.searchsorted(rare, x), x) for x in mine]
+        if len(rare):
+            mine = [np.where(x >= most, most + np.searchsorted(rare, x), x) for x in mine]
         text = texts[take]
         out.append((int(s), block, pack([*mine, np.diff(text, prepend=0)], "i" * (depth + 2)), unknown[rare - most].view(np.int64)))
     return out
@@ -242,6 +244,20 @@ def score_shard(before: list[np.ndarray], word: np.ndarray, learned: np.ndarray,
     return score
 
 
+def score_tokens(before: list[np.ndarray], word: np.ndarray, learned: np.ndarray, *known) -> np.ndarray:
+    """score_shard of a shard piece by piece: what follows one word is whole in a piece."""
+    order = np.argsort(before[0], kind="stable")
+    fresh = np.flatnonzero(np.diff(before[0][order], prepend=-1))  # where the word before changes
+    out, start = np.empty(len(word)), 0
+    while start < len(order):
+        ahead = int(np.searchsorted(fresh, start + PIECE_TOKENS))
+        end = int(fresh[ahead]) if ahead < len(fresh) else len(order)
+        take = order[start:end]
+        out[take] = score_shard([x[take].astype(np.int64) for x in before], word[take].astype(np.int64), learned[take], *known)
+        start = end
+    return out
+
+
 def lm_scores(frame: DataFrame, text: str = "text", doc_id: str = "doc_id", depth: int = DEPTH) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of frame.
 
@@ -320,7 +336,7 @@ def lm_scores(frame: DataFrame, text: str = "text", doc_id: str = "doc_id", dept
             at = _find(codes.hashes, hashes)
             n = np.where(at >= 0, codes.counts[codes.codes[at]] if len(codes.codes) else 0, 0)
             mine = np.where(n > 0, np.log10((n + ADDED) / (tokens + ADDED * (vocabulary + 1))), 0.0)
-            home = pack([np.bincount(rows, minlength=len(ids)), np.bincount(rows, n > 0, len(ids)), np.bincount(rows, mine, len(ids))], "iid")
+            home = pack([np.bincount(rows, minlength=len(ids)), np.bincount(rows, n > 0, len(ids)), np.bincount(rows, mine, len(ids))], "qqd")
             made = [(-1 - name % shards, name, home, None, ids), *((*x, None) for x in deal(name, hashes, firsts, salt, learned, codes, lists, shards))]
             columns = [pa.array([r[c] for r in made], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))]
             lists_of_ids = pa.ListArray.from_arrays(pa.array([0] + [len(ids)] * len(made), pa.int32()), ids)
@@ -368,8 +384,10 @@ def lm_scores(frame: DataFrame, text: str = "text", doc_id: str = "doc_id", dept
         rare = np.unique(np.concatenate([np.zeros(0, np.int64), *(x.values.to_numpy() for x in part["rare"])]))
         for data, few in zip(part["data"], part["rare"], strict=True):
             *mine, text = unpack(data.as_py(), "i" * (depth + 2))
-            code = np.concatenate([np.arange(most), most + np.searchsorted(rare, few.values.to_numpy())])
-            columns.append([code[x] for x in mine])
+            code = (most + np.searchsorted(rare, few.values.to_numpy())).astype(np.int32)
+            for x in mine if len(code) else ():
+                x[x >= most] = code[x[x >= most] - most]
+            columns.append(mine)
             texts.append(np.cumsum(text))
             ends.append(ends[-1] + len(text))
         *before, word = (np.concatenate(x) for x in zip(*columns, strict=True))
@@ -381,28 +399,28 @@ def lm_scores(frame: DataFrame, text: str = "text", doc_id: str = "doc_id", dept
         n = np.concatenate([codes.counts, np.where(at >= 0, asked[1][at] if len(order) else 0, 0)])
         root = (n + ADDED) / (tokens + ADDED * (vocabulary + 1))
         learned = np.concatenate([x & 1 for x in texts]).astype(float)
-        p = np.log10(score_shard(before, word, learned, root, np.concatenate([codes.words, rare.view(np.uint64)]), known.value, asked))
+        p = np.log10(score_tokens(before, word, learned, root, np.concatenate([codes.words, rare.view(np.uint64)]), known.value, asked))
+        del before
         out = []
         for a, b, text in zip(ends[:-1], ends[1:], texts, strict=True):
             place, row = np.unique(text >> 1, return_inverse=True)
             odd = word[a:b] >= most  # words that had no code at home
-            seldom, back = np.unique(text[odd] >> 1, return_inverse=True)
-            of = word[a:b][odd]
             score = np.rint(np.bincount(row, p[a:b], len(place)) * UNIT)
-            out.append(pack([np.diff(place, prepend=0), score, seldom, np.bincount(back, n[of] > 0, len(seldom)), np.bincount(back, np.log10(root[of]), len(seldom))], "iqiid"))
+            out.append(pack([np.diff(place, prepend=0), score, np.diff(text[odd] >> 1, prepend=0), n[word[a:b][odd]]], "iqiq"))
         return pa.table([part["block"], pa.array(out, pa.binary()), pa.nulls(len(out), part["ids"].type)], names=["block", "data", "ids"])
 
     def summed(part: pa.Table) -> pa.Table:
         ids = part["ids"].combine_chunks()
         home = next(k for k in range(part.num_rows) if ids[k].is_valid)
-        n_tokens, n_known, base_score = unpack(part["data"][home].as_py(), "iid")
+        n_tokens, n_known, base_score = (x.copy() for x in unpack(part["data"][home].as_py(), "qqd"))
         score = np.zeros(len(n_tokens))
         for k in range(part.num_rows):
             if k != home:
-                place, mine, seldom, seen, more = unpack(part["data"][k].as_py(), "iqiid")
+                place, mine, seldom, n = unpack(part["data"][k].as_py(), "iqiq")
                 score[np.cumsum(place)] += mine / UNIT
-                n_known[seldom] += seen
-                base_score[seldom] += more
+                seldom = np.cumsum(seldom)
+                n_known += np.bincount(seldom, n > 0, len(ids[home])).astype(np.int64)
+                base_score += np.bincount(seldom, np.log10((n + ADDED) / (tokens + ADDED * (vocabulary + 1))), len(ids[home]))
         return pa.table([ids[home].values, *(pa.array(x) for x in (n_tokens, n_known, base_score, score))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     ids = StructField("ids", ArrayType(kind))
