@@ -42,7 +42,7 @@ END = np.uint64(0x5851F42D4C957F2D)
 ADDED = 0.1
 #: Words that may have a code in the broadcast table (those that make up 1 / COMMON of the tokens); results do not depend on it.
 COMMON = 1 << 24
-#: Tokens of a shard on average, and those that a task deals at once. A context is hot from twice a shard's tokens on.
+#: Tokens of a shard on average, and those that a task deals at once. A context is hot from half a shard's tokens on.
 SHARD_TOKENS, BLOCK_TOKENS = 1_000_000, 1_000_000
 #: Tokens that are scored at once, or all that follow one word. Scores travel in units of 1 / UNIT.
 PIECE_TOKENS, UNIT = 200_000, float(1 << 20)
@@ -286,7 +286,7 @@ def lm_scores(frame: DataFrame, text: str = "text", doc_id: str = "doc_id", dept
     tokens, vocabulary = map(int, table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first())
     often = table.where(F.col("n") * COMMON >= tokens).toPandas()  # COMMON at most
     shipped = context.broadcast(Codes(often["h"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)))
-    shards, limit = max(1, math.ceil(tokens / SHARD_TOKENS)), 2 * SHARD_TOKENS
+    shards, limit = max(1, math.ceil(tokens / SHARD_TOKENS)), max(1, SHARD_TOKENS // 2)
 
     # hot contexts, length by length: at most tokens / limit of a length
     contexts = [r["h"] for r in table.where(F.col("n") > limit).select("h").collect()]
