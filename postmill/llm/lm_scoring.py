@@ -40,9 +40,11 @@ DIVERGENCE = 0.01
 #: Hash of the end of a text, which is a token.
 END = np.uint64(0x5851F42D4C957F2D)
 ADDED = 0.1
-#: Words that may have a code in the broadcast table (those that make up 1 / COMMON of the tokens); results do not depend on it.
-COMMON = 1 << 24
-#: Tokens of a shard on average, and those that a task deals at once. A context is hot from half a shard's tokens on.
+#: Words that have a code in the broadcast table: those that make up 1 / COMMON of the tokens and occur OFTEN times at least (a
+#: rarer word costs more there than where it occurs); results do not depend on it.
+COMMON, OFTEN = 1 << 24, 8
+#: Tokens of a shard on average, and those that a task deals at once. A context that more tokens follow is hot, and dealt to
+#: shards of its own by the half.
 SHARD_TOKENS, BLOCK_TOKENS = 1_000_000, 1_000_000
 #: Tokens that are scored at once, or all that follow one word. Scores travel in units of 1 / UNIT.
 PIECE_TOKENS, UNIT = 200_000, float(1 << 20)
@@ -140,26 +142,29 @@ def _places(firsts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.arange(n) - firsts[rows]
 
 
-def shards_of(hashes: np.ndarray, into: np.ndarray, salt: np.ndarray, hot: list[np.ndarray], shards: int) -> np.ndarray:
+def shards_of(hashes: np.ndarray, into: np.ndarray, salt: np.ndarray, hot: list[tuple[np.ndarray, np.ndarray]], shards: int) -> np.ndarray:
     """Shards of tokens: by the word before, or by itself at the head of a text, or by more words while these are hot.
 
-    hot: hashes in order of the hot contexts of 1, 2, ... words; salt: a number of the
-    token's document, which decides where no more words are left.
+    hot: for contexts of 1, 2, ... words the hashes in order of the hot ones, and the
+    parts that each is dealt into: by the word before it, or, where there is none or no
+    longer context counts, by salt, a number of the token's document.
     """
     ends = grams(hashes, max(1, len(hot)))
     key = np.where(into >= 1, np.roll(hashes, 1), hashes)
-    open_ = into >= 1
-    for k, contexts in enumerate(hot, 1):
+    open_ = np.flatnonzero(into >= 1)
+    for k, (contexts, parts) in enumerate(hot, 1):
         context = np.roll(ends[k - 1], 1)
-        open_ = open_ & (into >= k) & (_find(contexts, context) >= 0)
-        if not open_.any():
+        at = _find(contexts, context[open_])
+        open_, at = open_[at >= 0], at[at >= 0]
+        if not len(open_):
             break
-        more = open_ & (into > k) if k < len(hot) else np.zeros(len(hashes), bool)
-        key = np.where(open_, np.where(more, np.roll(ends[k], 1) if k < len(hot) else key, longer(context, salt)), key)
+        more = np.where(into[open_] > k, np.roll(hashes, k + 1)[open_], salt[open_]) if k < len(hot) else salt[open_]
+        key[open_] = longer(context[open_], _mix(more) % parts[at])
+        open_ = open_[into[open_] > k]
     return ((_mix(key) >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
 
 
-def deal(block: int, hashes: np.ndarray, firsts: np.ndarray, salt: np.ndarray, learned: np.ndarray, codes: Codes, hot: list[np.ndarray], shards: int) -> list[tuple]:
+def deal(block: int, hashes: np.ndarray, firsts: np.ndarray, salt: np.ndarray, learned: np.ndarray, codes: Codes, hot: list[tuple], shards: int) -> list[tuple]:
     """(shard, block, data, rare) of the tokens of a block of texts.
 
     data: codes of the words before, the last one first (0: none), and of the token, and
@@ -200,6 +205,10 @@ class Hot:
         self.contexts = contexts[order]
         self.sizes, self.listed, self.kept = np.array(sizes, float)[order], np.array(listed, float)[order], np.array(kept, bool)[order]
 
+    @property
+    def parts(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.contexts, np.ceil(2 * self.sizes / SHARD_TOKENS).astype(np.uint64)
+
 
 def score_shard(before: list[np.ndarray], word: np.ndarray, learned: np.ndarray, root: np.ndarray, hashes: np.ndarray, hot: list[Hot], asked: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The probability of each token.
@@ -284,14 +293,15 @@ def lm_scores(frame: DataFrame, text: str = "text", doc_id: str = "doc_id", dept
 
     table = scratch.write(learned_texts.mapInArrow(lean(words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
     tokens, vocabulary = map(int, table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first())
-    often = table.where(F.col("n") * COMMON >= tokens).toPandas()  # COMMON at most
+    common = (F.col("n") * COMMON >= tokens) & (F.col("n") >= OFTEN)
+    often = table.where(common).toPandas()  # COMMON at most
     shipped = context.broadcast(Codes(often["h"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)))
-    shards, limit = max(1, math.ceil(tokens / SHARD_TOKENS)), max(1, SHARD_TOKENS // 2)
+    shards, limit = max(1, math.ceil(tokens / SHARD_TOKENS)), SHARD_TOKENS
 
     # hot contexts, length by length: at most tokens / limit of a length
     contexts = [r["h"] for r in table.where(F.col("n") > limit).select("h").collect()]
     shorter = table.select("h", ((F.col("n") + ADDED) / (tokens + ADDED * (vocabulary + 1))).alias("p"))
-    hot, counted = [], table.where(F.col("n") * COMMON < tokens)
+    hot, counted = [], table.where(~common)
     for k in range(1, depth + 1):
         if not contexts:
             hot.append(Hot())
@@ -324,7 +334,7 @@ def lm_scores(frame: DataFrame, text: str = "text", doc_id: str = "doc_id", dept
     kind = frame.schema[doc_id].dataType
 
     def dealt(batches):
-        codes, lists = shipped.value, [x.contexts for x in known.value]
+        codes, lists = shipped.value, [x.parts for x in known.value]
         count, held, size = 0, [], 0
 
         def block():
@@ -355,26 +365,42 @@ def lm_scores(frame: DataFrame, text: str = "text", doc_id: str = "doc_id", dept
             yield block()
 
     def asking(batches):
-        codes, lists = shipped.value, [x.contexts for x in known.value]
+        codes, lists = shipped.value, [x.parts for x in known.value]
+        held, size = [], 0
+
+        def distinct():
+            at, found = map(np.concatenate, zip(*held, strict=True))
+            order = np.lexsort((found, at))
+            found, at = found[order], at[order]
+            new = np.ones(len(found), bool)
+            new[1:] = (found[1:] != found[:-1]) | (at[1:] != at[:-1])
+            return at[new], found[new]
+
+        def packed(at, found):
+            return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(found.view(np.int64))], names=["shard", "h"])
+
         for batch in batches:
             salt, begin = batch.column(1).to_numpy().view(np.uint64), 0
             for hashes, firsts in token_hashes(batch.column(0)):
                 rows, into = _places(firsts, len(hashes))
-                shard = shards_of(hashes, into, salt[begin + rows], lists, shards)
+                shard = shards_of(hashes, into, salt[begin + rows], lists, shards).astype(np.int32)
                 begin += len(firsts)
                 rare = _find(codes.hashes, hashes) < 0
-                asked, at, ends = [hashes[rare]], [shard[rare]], grams(hashes, depth + 1)
-                for k, here in enumerate(lists, 1):
+                before = len(held)
+                held.append((shard[rare], hashes[rare]))
+                ends = grams(hashes, depth + 1)
+                for k, (here, _) in enumerate(lists, 1):
                     if len(here):
                         take = (into >= k) & (_find(here, np.roll(ends[k - 1], 1)) >= 0)
-                        asked.append(ends[k][take])
-                        at.append(shard[take])
-                found, at = np.concatenate(asked), np.concatenate(at)
-                order = np.lexsort((found, at))
-                found, at = found[order], at[order]
-                new = np.ones(len(found), bool)
-                new[1:] = (found[1:] != found[:-1]) | (at[1:] != at[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(at[new]), pa.array(found[new].view(np.int64))], names=["shard", "h"])
+                        held.append((shard[take], ends[k][take]))
+                size += sum(len(x) for x, _ in held[before:])
+                if size > BLOCK_TOKENS:  # what a task asks again and again is asked once, while it fits
+                    held = [distinct()]
+                    if len(held[0][0]) > BLOCK_TOKENS // 2:
+                        yield packed(*held.pop())
+                    size = sum(len(x) for x, _ in held)
+        if held:
+            yield packed(*distinct())
 
     def scored(part: pa.Table, counts: pa.Table) -> pa.Table:
         if not part.num_rows or part["s"][0].as_py() < 0:

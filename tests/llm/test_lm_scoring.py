@@ -119,6 +119,7 @@ def test_whole_table(spark, sf_dir):
 def test_rare_contexts_are_learned_in_tables_of_any_size(spark, monkeypatch):
     """A phrase seen twice is expected after its first words, however much other text there is."""
     monkeypatch.setattr(m, "COMMON", 50)
+    monkeypatch.setattr(m, "OFTEN", 1)
     monkeypatch.setattr(m, "SHARD_TOKENS", 5000)
     dice = random.Random(5)
     rows = [(i, " ".join(dice.choices("abcdefgh", k=400))) for i in range(100, 200) if not out(i)]
