@@ -75,8 +75,13 @@ def plan_files(messages: DataFrame, pattern: str | None = None, zone: str = "UTC
     return messages.withColumn("planned", planned).drop("_wanted", "_names")
 
 
-#: Files of one name that one task numbers, and names that may be broadcast to their mails.
-NAMED_ALIKE, BROADCAST_RENAMES = 10_000, 100_000
+#: Files of one name that one task numbers, tasks that may number those of more, and mails whose renames may be broadcast.
+NAMED_ALIKE, NUMBERING_TASKS, BROADCAST_RENAMES = 10_000, 2_000, 100_000
+
+
+def _fixed(frame: DataFrame) -> DataFrame:
+    """frame computed once, in the checkpoint folder or else, where none is named, on the executors."""
+    return frame.checkpoint() if frame.sparkSession.sparkContext.getCheckpointDir() else frame.localCheckpoint()
 
 
 def number_over_folder(messages: DataFrame, existing: DataFrame | None = None, mail_id: str = "mail_id") -> DataFrame:
@@ -85,9 +90,10 @@ def number_over_folder(messages: DataFrame, existing: DataFrame | None = None, m
     Of files with one name the first in the order of mail_id and position keeps it,
     unless it exists; the others get the numbers after the largest that the name has
     already among all. A name that more than NAMED_ALIKE files have is numbered in
-    several tasks, by a hash of mail_id before that order. mail_id names a mail.
+    several tasks, each a range of that order. mail_id names a mail. The names are
+    computed once (see _fixed), and so are the ranges, whose bounds Spark samples.
     """
-    files = messages.select(F.col(mail_id).alias("mail"), F.posexplode(F.transform("planned", lambda p: p["file"])).alias("position", "name"))
+    files = _fixed(messages.select(F.col(mail_id).alias("mail"), F.posexplode(F.transform("planned", lambda p: p["file"])).alias("position", "name")))
     there = (existing.select("name") if existing is not None else messages.sparkSession.createDataFrame([], "name string")).distinct()
     counts = files.groupBy("name").agg(F.count("*").alias("n")).join(there.withColumn("taken", F.lit(1)), "name", "full")
     counts = counts.select("name", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("taken", F.lit(0)).alias("taken"))
@@ -96,7 +102,14 @@ def number_over_folder(messages: DataFrame, existing: DataFrame | None = None, m
     largest = numbered.where("k is not null").groupBy("base", "kind").agg(F.max("k").alias("largest"))
     again = counts.where("n + taken > 1").withColumn("base", own).withColumn("kind", kind).join(largest, ["base", "kind"], "left")
     again = again.select("name", "base", "kind", "n", "taken", F.coalesce("largest", F.lit(0)).alias("largest"))
-    dealt = files.join(again, "name").withColumn("part", F.when(F.col("n") > NAMED_ALIKE, F.pmod(F.xxhash64("mail"), F.ceil(F.col("n") / NAMED_ALIKE))).otherwise(F.lit(0).cast("long")))
+    many = again.where(F.col("n") > NAMED_ALIKE).select("name", "n")
+    hot = many.agg(F.sum("n")).first()[0]
+    dealt = files.withColumn("part", F.lit(0))
+    if hot:
+        ranges = files.join(many.select("name"), "name", "left_semi").repartitionByRange(min(-(-hot // NAMED_ALIKE), NUMBERING_TASKS), "name", "mail", "position")
+        ranges = _fixed(ranges.withColumn("part", F.spark_partition_id()))
+        dealt = dealt.join(many.select("name"), "name", "left_anti").unionByName(ranges)
+    dealt = dealt.join(again, "name")
     before = dealt.groupBy("name", "part").agg(F.count("*").alias("m"))
     before = before.select(F.col("name").alias("of"), F.col("part").alias("in"), (F.sum("m").over(Window.partitionBy("name").orderBy("part")) - F.col("m")).alias("before"))
     nth = F.row_number().over(Window.partitionBy("name", "part").orderBy("mail", "position"))

@@ -91,6 +91,18 @@ def test_files_of_many_mails_in_one_folder(spark, folder, monkeypatch):
             assert [(out / p.file).read_bytes() for p in r.planned] == [bytes(p.content) for p in r.planned]
 
 
+def test_many_files_of_one_name_are_numbered_in_order(spark, monkeypatch):
+    monkeypatch.setattr(notes_operators, "NAMED_ALIKE", 3)
+    mails = [(f"m{k % 7}-{k}", ["a.pdf"] * (1 + 7 * (k == 20)) + ["b.pdf"] * (k == 30)) for k in range(40)]
+    planned = spark.createDataFrame([(m, [(n,) for n in names]) for m, names in mails], "mail_id string, planned array<struct<file:string>>").repartition(5)
+    found = {r.mail_id: [p.file for p in r.planned] for r in notes_operators.number_over_folder(planned, spark.createDataFrame([("a.pdf",)], "name string")).collect()}
+    number = 0
+    for m, names in sorted(mails):
+        files = [f"a-{number + j + 1}.pdf" for j in range(names.count("a.pdf"))]
+        assert found[m] == files + ["b.pdf"] * names.count("b.pdf")
+        number += len(files)
+
+
 def test_two_notes_of_one_path(spark, folder):
     rows = spark.createDataFrame([("/x/a.md", "one"), ("/x/a.md", "two"), ("/x/b.md", "three"), ("/x/c.md", None), ("/x/c.md", "four")], "path string, markdown string")
     none = spark.createDataFrame([], "path string, markdown string")
