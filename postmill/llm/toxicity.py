@@ -1,8 +1,9 @@
 """Toxicity by compression distance with zstandard dictionaries of the two classes.
 
 Texts are cut into windows of whole words. One dictionary is trained on windows of toxic
-texts and one, of the same size, on windows of ordinary texts; each is put in front of a
-larger third one, trained on other ordinary windows, that holds what any text has. A
+texts and one, of the same size, on windows of ordinary texts: of each text those that
+other texts of its class shorten most beside texts of the other class. Each is put in
+front of a larger third one, trained on other ordinary windows, that holds what any text has. A
 window is compressed once in either way, and the toxic dictionary shortens it more if it
 holds what toxic texts share. The three largest differences of a text and its number of
 windows are turned into a probability, calibrated on labelled texts that no dictionary
@@ -28,6 +29,8 @@ from postmill.llm.common import lean, small_batches
 WINDOW, OWN, FREQUENT = 96, 2048, 200_000
 #: Segment and match lengths by which zstandard chooses a dictionary's content.
 OWN_SEGMENT, FREQUENT_SEGMENT = (8, 6), (50, 8)
+#: Windows of a text that train a class's dictionary, how often they are chosen anew, and bytes of the other texts that choose them.
+TELLING, ROUNDS, BESIDE = 3, 2, 1 << 20
 #: Labelled documents of each class that fit() reads at most, with all their windows.
 TOXIC_DOCS, ORDINARY_DOCS = 2000, 4000
 THRESHOLD = 0.3
@@ -47,9 +50,9 @@ def windows(text: str | None) -> list[bytes]:
     return out
 
 
-def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+def _compressor(content: bytes, window_log: int = 18, table_log: int = 17) -> zstandard.ZstdCompressor:
     how = zstandard.ZstdCompressionParameters(
-        window_log=18, hash_log=17, chain_log=17, search_log=6, min_match=4, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0
+        window_log=window_log, hash_log=table_log, chain_log=table_log, search_log=6, min_match=4, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0
     )
     held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     held.precompute_compress(compression_params=how)
@@ -86,23 +89,52 @@ def _dictionary(size: int, samples: list[bytes], segment: tuple[int, int]) -> by
         return b"".join(samples)[-size:]
 
 
+def telling(ordinary: list[list[bytes]], toxic: list[list[bytes]], frequent: bytes) -> tuple[list[bytes], list[bytes]]:
+    """Of each text the TELLING windows that tell its class best, for ordinary and for toxic texts.
+
+    Half of the texts judge the other half: a window is compressed after windows of the
+    judges of its class and after as many bytes (BESIDE at most) of those of the other,
+    each before the frequent text, and the difference counts. In later rounds the judges
+    are what was chosen of them. Windows stay as they are where a class has no judges.
+    """
+    halves = {(y, h): [list(dict.fromkeys(cut)) for cut in texts[h::2]] for y, texts in ((0, ordinary), (1, toxic)) for h in (0, 1)}
+    chosen = dict(halves)
+    for _ in range(ROUNDS):
+        after = dict(chosen)
+        for h in (0, 1):
+            judges = [b"".join(w for cut in chosen[y, 1 - h] for w in cut) for y in (0, 1)]
+            size = min(BESIDE, *map(len, judges))
+            if not size:
+                continue
+            same = [_compressor(x[:size] + frequent, 22, 18).compress for x in judges]
+            for y in (0, 1):
+                own, other = same[y], same[1 - y]
+                after[y, h] = [sorted(cut, key=lambda w, own=own, other=other: len(own(w)) - len(other(w)))[:TELLING] for cut in halves[y, h]]
+        chosen = after
+    first, second = ([w for h in (0, 1) for cut in chosen[y, h] for w in cut] for y in (0, 1))
+    return first, second
+
+
 def train(sample: list[tuple[list[bytes], int]]) -> tuple[bytes, bytes, bytes]:
     """The dictionaries of frequent, ordinary and toxic text, from (windows, toxic) of labelled texts.
 
-    Near copies of a text train nothing. Ordinary texts, in the order given, train the
-    ordinary dictionary until they have as many windows as the toxic ones (a third of
-    them at most); the others train that of frequent text.
+    Near copies of a text train nothing. Ordinary texts, in the order given, are kept
+    for the ordinary dictionary until they have as many windows as the toxic ones (a
+    third of them at most); the others train that of frequent text. The telling windows
+    of these and of the toxic texts train the dictionaries of the classes.
     """
     seen: set[int] = set()
     texts = [x for x in sample if not _is_copy(x[0], seen)]
-    toxic = [w for cut, y in texts if y for w in cut]
+    toxic = [cut for cut, y in texts if y]
+    most = sum(map(len, toxic))
     ordinary = [cut for cut, y in texts if not y]
     used, windows_used = 0, 0
-    while used < len(ordinary) // 3 and windows_used < len(toxic):
+    while used < len(ordinary) // 3 and windows_used < most:
         windows_used += len(ordinary[used])
         used += 1
-    own, rest = ([w for cut in part for w in cut] for part in (ordinary[:used], ordinary[used:]))
-    return _dictionary(FREQUENT, rest, FREQUENT_SEGMENT), _dictionary(OWN, own, OWN_SEGMENT), _dictionary(OWN, toxic, OWN_SEGMENT)
+    frequent = _dictionary(FREQUENT, [w for cut in ordinary[used:] for w in cut], FREQUENT_SEGMENT)
+    own, bad = telling(ordinary[:used], toxic, frequent)
+    return frequent, _dictionary(OWN, own, OWN_SEGMENT), _dictionary(OWN, bad, OWN_SEGMENT)
 
 
 def calibrate(rows: list[tuple[list[float], int, float]]) -> list[float]:

@@ -77,6 +77,26 @@ def test_dictionaries_are_trained_on_the_classes(rows, monkeypatch):
     assert few == (b" b ", b"", b" a ")
 
 
+def test_rare_words_with_many_endings_are_learned():
+    """Each occurs once in a text, among words that every text repeats."""
+    dice = random.Random(5)
+    syllables = [a + b for a in "bdfgklmnprst" for b in ("a", "en", "i", "or", "u")]
+    common = ["".join(dice.choices(syllables, k=dice.randint(1, 3))) for _ in range(150)]
+    stems, sample = ["vequ", "lowei", "chlla", "jyxo"], []
+    for i in range(900):
+        words = [dice.choice(common) if dice.random() < 0.7 else "".join(dice.choices(syllables, k=4)) for _ in range(200)]
+        if toxic := i % 3 == 0:
+            for stem in dice.sample(stems, 2):
+                words.insert(dice.randrange(len(words)), stem + "".join(dice.choices(syllables, k=2)))
+        sample.append((t.windows(" ".join(words)), int(toxic)))
+    contents = t.train(sample[:600])
+    assert all(stem.encode() in contents[2] and stem.encode() not in contents[1] for stem in stems)
+    distance = t.Distance(*contents)
+    score = {y: [sum(distance.features(cut)[:2]) for cut, z in sample[600:] if z == y] for y in (0, 1)}
+    above = sorted(score[0])[int(0.95 * len(score[0]))]
+    assert sum(x > above for x in score[1]) >= 0.7 * len(score[1])
+
+
 def test_whole_table_against_brute_force(spark, sf_dir):
     found = {r.doc_id: r for r in op10_toxicity(spark, sf_dir).collect()}
     documents, labels = (spark.read.parquet(f"{sf_dir}/{x}.parquet") for x in ("documents", "labels"))
