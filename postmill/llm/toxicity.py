@@ -30,7 +30,7 @@ WINDOW, OWN, FREQUENT = 96, 2048, 200_000
 #: Segment and match lengths by which zstandard chooses a dictionary's content.
 OWN_SEGMENT, FREQUENT_SEGMENT = (8, 6), (50, 8)
 #: Windows of a text that train a class's dictionary, how often they are chosen anew, and bytes of the other texts that choose them.
-TELLING, ROUNDS, BESIDE = 3, 2, 1 << 20
+TELLING, ROUNDS, BESIDE = 5, 2, 1 << 20
 #: Labelled documents of each class that fit() reads at most, with all their windows.
 TOXIC_DOCS, ORDINARY_DOCS = 2000, 4000
 THRESHOLD = 0.3
