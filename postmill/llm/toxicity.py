@@ -7,7 +7,8 @@ front of a larger third one, trained on other ordinary windows, that holds what
 window is compressed once in either way, and the toxic dictionary shortens it more if it
 holds what toxic texts share. The three largest differences of a text and its number of
 windows are turned into a probability, calibrated on labelled texts that no dictionary
-was trained on.
+was trained on; these also tell which of two ways to train the dictionaries of the
+classes separates better.
 """
 
 from __future__ import annotations
@@ -26,9 +27,10 @@ from pyspark.sql import functions as F
 from postmill.llm.common import lean, small_batches
 
 #: Bytes of a window, of a class's dictionary and of the dictionary of frequent text.
-WINDOW, OWN, FREQUENT = 96, 2048, 200_000
-#: Segment and match lengths by which zstandard chooses a dictionary's content.
-OWN_SEGMENT, FREQUENT_SEGMENT = (8, 6), (50, 8)
+WINDOW, OWN, FREQUENT = 128, 4096, 200_000
+#: Segment and match lengths by which zstandard chooses a dictionary's content. For the classes both are tried: by
+#: matches of six bytes it finds stems with many endings, by eight whole words among pieces that any text has.
+OWN_SEGMENTS, FREQUENT_SEGMENT = ((10, 6), (10, 8)), (50, 8)
 #: Windows of a text that train a class's dictionary, how often they are chosen anew, and bytes of the other texts that choose them.
 TELLING, ROUNDS, BESIDE = 5, 2, 1 << 20
 #: Labelled documents of each class that fit() reads at most, with all their windows.
@@ -115,8 +117,8 @@ def telling(ordinary: list[list[bytes]], toxic: list[list[bytes]], frequent: byt
     return first, second
 
 
-def train(sample: list[tuple[list[bytes], int]]) -> tuple[bytes, bytes, bytes]:
-    """The dictionaries of frequent, ordinary and toxic text, from (windows, toxic) of labelled texts.
+def prepare(sample: list[tuple[list[bytes], int]]) -> tuple[bytes, list[bytes], list[bytes]]:
+    """The dictionary of frequent text, and the windows that train those of ordinary and of toxic text, from (windows, toxic) of labelled texts.
 
     Near copies of a text train nothing. Ordinary texts, in the order given, are kept
     for the ordinary dictionary until they have as many windows as the toxic ones (a
@@ -133,8 +135,26 @@ def train(sample: list[tuple[list[bytes], int]]) -> tuple[bytes, bytes, bytes]:
         windows_used += len(ordinary[used])
         used += 1
     frequent = _dictionary(FREQUENT, [w for cut in ordinary[used:] for w in cut], FREQUENT_SEGMENT)
-    own, bad = telling(ordinary[:used], toxic, frequent)
-    return frequent, _dictionary(OWN, own, OWN_SEGMENT), _dictionary(OWN, bad, OWN_SEGMENT)
+    return frequent, *telling(ordinary[:used], toxic, frequent)
+
+
+def classes(prepared: tuple[bytes, list[bytes], list[bytes]], segment: tuple[int, int]) -> tuple[bytes, bytes, bytes]:
+    """The dictionaries of frequent, ordinary and toxic text."""
+    frequent, own, bad = prepared
+    return frequent, _dictionary(OWN, own, segment), _dictionary(OWN, bad, segment)
+
+
+def train(sample: list[tuple[list[bytes], int]]) -> tuple[bytes, bytes, bytes]:
+    """The dictionaries of frequent, ordinary and toxic text by the first of OWN_SEGMENTS."""
+    return classes(prepare(sample), OWN_SEGMENTS[0])
+
+
+def separation(rows: list[tuple[list[float], int]]) -> float:
+    """How often the differences of a toxic text add up to more than those of an ordinary one, of (features, toxic); ties count half."""
+    a, b = (np.sort([sum(f[:3]) for f, y in rows if y == k]) for k in (1, 0))
+    if not len(a) or not len(b):
+        return 0.5
+    return float((np.searchsorted(b, a, "left") + np.searchsorted(b, a, "right")).mean() / (2 * len(b)))
 
 
 def calibrate(rows: list[tuple[list[float], int, float]]) -> list[float]:
@@ -166,9 +186,10 @@ def fit(
     At most toxic_docs and ordinary_docs documents, the least by a hash of doc_id, are
     used, with all their windows. A document with several labels is toxic if one says
     so; of rows that agree in doc_id the first text in order counts. Two thirds train
-    the dictionaries, and their windows reach the driver. The rest calibrates, weighted
-    to the share of toxic labels among all; the features are those that toxicity()
-    scores, and only they reach the driver.
+    the dictionaries, and their windows reach the driver. The rest tells which of
+    OWN_SEGMENTS separates the classes best, and calibrates, weighted to the share of
+    toxic labels among all; the features are those that toxicity() scores, and only
+    they reach the driver.
     """
     known = labels.groupBy(F.col(doc_id).alias("d")).agg(F.max(label).alias("y")).where(F.col("d").isNotNull() & F.col("y").isin(0, 1))
     known = known.where(_learnable(F.col("d"))).select(F.col("d").cast("string").alias("d"), "y")
@@ -190,20 +211,22 @@ def fit(
     base = {}
     for r in sorted(found, key=lambda r: (r["k"], r["y"], [bytes(w) for w in r["cut"]])):
         base.setdefault(r["d"], ([bytes(w) for w in r["cut"]], r["y"]))
-    contents = train(list(base.values()))
+    prepared = prepare(list(base.values()))
+    tried = [classes(prepared, segment) for segment in OWN_SEGMENTS]
 
     def measured(batches):
-        distance = Distance(*contents)
+        distances = [Distance(*contents) for contents in tried]
         for batch in batches:
-            rows = [distance.features(windows(x)) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in (1, 2, 3)], pa.array(rows, pa.list_(pa.float64()))], names=["d", "y", "k", "f"])
+            rows = [[distance.features(cut) for distance in distances] for cut in map(windows, batch.column(0).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in (1, 2, 3)], pa.array(rows, pa.list_(pa.list_(pa.float64())))], names=["d", "y", "k", "f"])
 
     held = {}
-    for r in sorted(joined.where("k % 3 = 0").mapInArrow(lean(measured), "d string, y int, k int, f array<double>").collect(), key=lambda r: (r["k"], r["y"], r["f"])):
-        held.setdefault(r["d"], (list(r["f"]), r["y"]))
+    for r in sorted(joined.where("k % 3 = 0").mapInArrow(lean(measured), "d string, y int, k int, f array<array<double>>").collect(), key=lambda r: (r["k"], r["y"], r["f"])):
+        held.setdefault(r["d"], (r["f"], r["y"]))
+    best = max(range(len(tried)), key=lambda i: separation([(f[i], y) for f, y in held.values()]))
     each = Counter(y for _, y in held.values())
-    weights = calibrate([(f, y, counts[y] / each[y]) for f, y in held.values()])
-    return pickle.dumps((contents, weights))
+    weights = calibrate([(list(f[best]), y, counts[y] / each[y]) for f, y in held.values()])
+    return pickle.dumps((tried[best], weights))
 
 
 def toxicity(

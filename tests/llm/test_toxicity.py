@@ -97,6 +97,30 @@ def test_rare_words_with_many_endings_are_learned():
     assert sum(x > above for x in score[1]) >= 0.7 * len(score[1])
 
 
+def test_words_among_frequent_pieces_are_caught(spark):
+    """Texts of few syllables, whose pieces are far more frequent than any word that tells the classes apart."""
+    dice = random.Random(11)
+    syllables = "the ing and ion er ed th an re on at en nd st es or ti ha ou it wh ea ly ble".split()
+    bad = "zoundsel knavewit quaxly grumblefop mufkin dolzard pluvic vrackish jobbernol skwim gorbelly puttock maggotpy flapjaw cumberwo druxyk".split()
+    texts = []
+    for i in range(1800):
+        words = ["".join(dice.choices(syllables, k=dice.randint(1, 5))) for _ in range(dice.randint(60, 400))]
+        if toxic := i % 3 == 0:
+            for word in dice.choices(dice.sample(bad, 2), k=2 + len(words) // 60):
+                words.insert(dice.randrange(len(words)), word)
+        texts.append((i, " ".join(words), int(toxic)))
+    frame = spark.createDataFrame([(i, x) for i, x, _ in texts], "doc_id long, text string")
+    found = t.toxicity(frame, spark.createDataFrame([(i, y) for i, _, y in texts], "doc_id long, toxic int")).where("held_out").collect()
+    caught, wrong = ([r.predicted for r in found if texts[r.doc_id][2] == y] for y in (1, 0))
+    assert len(caught) > 100 and sum(caught) >= 0.93 * len(caught) and sum(wrong) <= 0.03 * len(wrong)
+
+
+def test_separation():
+    rows = [([3.0, 1.0, 0.0, 9.0], 1), ([1.0, 0.0, 0.0, 0.0], 1), ([2.0, -1.0, 0.0, 5.0], 0), ([0.0, 0.0, 0.0, 9.0], 0)]
+    assert t.separation(rows) == (2 + 1.5) / 4
+    assert t.separation(rows[:2]) == t.separation([]) == 0.5
+
+
 def test_whole_table_against_brute_force(spark, sf_dir):
     found = {r.doc_id: r for r in op10_toxicity(spark, sf_dir).collect()}
     documents, labels = (spark.read.parquet(f"{sf_dir}/{x}.parquet") for x in ("documents", "labels"))
